@@ -7,6 +7,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelytics import fixed_values as fv
+from parcelytics.functions import text
+
 
 def view_listings(t) -> DataFrame:
     li = t.lineitem
@@ -100,7 +103,57 @@ def view_pixels(t) -> DataFrame:
     )
 
 
+def view_gazetteer(t) -> DataFrame:
+    """Place dictionary: a word, a two-word and a three-word name from every benchmark item."""
+    words = t.benchmark.select("item_id", text.latin_tokens(F.col("text")).alias("w")).filter(F.size("w") >= 8)
+    names = words.select(
+        "item_id",
+        F.posexplode(F.array(*[F.array_join(F.slice("w", start, n), " ") for start, n in ((8, 1), (1, 2), (4, 3))]))
+        .alias("slot", "name"),
+    )
+    return names.select(
+        (F.col("item_id") * 3 + F.col("slot")).alias("place_id"), "name", text.latin_key(F.col("name")).alias("key"),
+        (1.0 + F.col("item_id") % 7).alias("area"),
+    )
+
+
+SOUND_STEPS = [*fv.ASPIRATES, *fv.VOWELS, ("w", "v")]
+
+
+def sound_sql(expression: str) -> str:
+    out = f"lower({expression})"
+    for old, new in SOUND_STEPS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return squeeze_sql(out)
+
+
+def squeeze_sql(expression: str) -> str:
+    """Doubled letters to one, without back-references."""
+    return (
+        f"array_to_string(list_transform(list_filter(list_zip(string_split({expression}, ''), [''] || string_split({expression}, '')),"
+        " lambda p: p[1] IS NOT NULL AND p[1] <> p[2]), lambda p: p[1]), '')"
+    )
+
+
+def tokens_sql(column: str) -> str:
+    return (
+        f"list_filter(string_split(regexp_replace(coalesce({column}, ''), '[^\\p{{L}}\\p{{N}}_\\x{{0D80}}-\\x{{0DFF}}]+', ' ', 'g'), ' '),"
+        " lambda w: w <> '' AND NOT regexp_matches(w, '^\\p{Nd}+$'))"
+    )
+
+
+def latin_sql(column: str) -> str:
+    return f"list_filter({tokens_sql(column)}, lambda w: regexp_matches(w, '[a-zA-Z]'))"
+
+
 VIEW_SQL = {
+    "doc_tokens": f"""SELECT doc_id, lang, pos, tok, {sound_sql('tok')} AS key, lower(tok) AS low FROM (
+        SELECT doc_id, lang, unnest(w) AS tok, unnest(range(1, len(w) + 1)) AS pos FROM (
+        SELECT doc_id, lang, {latin_sql('text')} AS w FROM documents))""",
+    "gazetteer": f"""SELECT item_id * 3 + slot AS place_id, name, array_to_string(list_transform(string_split(name, ' '), lambda x: {sound_sql('x')}), ' ') AS key,
+        CAST(1 + item_id % 7 AS DOUBLE) AS area FROM (
+        SELECT item_id, unnest([0, 1, 2]) AS slot, unnest([w[8], array_to_string(w[1:2], ' '), array_to_string(w[4:6], ' ')]) AS name FROM (
+        SELECT item_id, {latin_sql('text')} AS w FROM benchmark) WHERE len(w) >= 8)""",
     "listings": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey AS division,
         l_quantity AS land_size, l_extendedprice AS total_price, l_extendedprice / l_quantity AS unit_price,
         l_returnflag || '_' || l_linestatus AS land_type,
@@ -136,7 +189,7 @@ def expand_sql(sql: str) -> str:
     """Prepend the view definitions the statement mentions."""
     used = [name for name in VIEW_SQL if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b|,\s*{name}\s+(?:AS\s+)?[a-z]\b", sql)]
     if not used:
-        return sql
+        return sql.strip()
     head = ",\n".join(f"{name} AS ({VIEW_SQL[name]})" for name in used)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):

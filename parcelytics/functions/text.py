@@ -16,6 +16,11 @@ def literal_array(values: Sequence) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, for expressions that read it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse_spaces(col: Column) -> Column:
     return F.btrim(F.regexp_replace(col, r"\s+", " "))
 
@@ -127,11 +132,16 @@ def norm_address(col: Column, noise: Sequence[str] = ("no", "nos", "sri", "lanka
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All contiguous n-token slices joined by a space, in position order; empty when there are too few tokens."""
-    count = F.size(tokens) - F.lit(n - 1)
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+
+    def slices(words: Column) -> Column:
+        count = F.size(words) - F.lit(n - 1)
+        return F.when(
+            count > 0,
+            F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")),
+        ).otherwise(empty)
+
+    return let(tokens, slices)
 
 
 def is_all_filler(tokens: Column, filler: Sequence[str] = fv.FILLER_WORDS) -> Column:
@@ -173,10 +183,10 @@ def spelling_variants(name: Column, swaps: Sequence[tuple[str, str]] = fv.SPELLI
 
 
 def distinct_ignoring_case(names: Column) -> Column:
-    return F.filter(
-        names,
-        lambda v, i: ~F.exists(F.slice(names, F.lit(1), i), lambda earlier: F.lower(earlier) == F.lower(v)),
-    )
+    return let(names, lambda every: F.filter(
+        every,
+        lambda v, i: ~F.exists(F.slice(every, F.lit(1), i), lambda earlier: F.lower(earlier) == F.lower(v)),
+    ))
 
 
 def name_variants(
@@ -215,14 +225,12 @@ def name_variants(
     variants.append(
         F.when((place != "") & ~F.contains(F.lower(base), F.lower(place)), F.concat_ws(" ", base, place))
     )
-    needed = distinctive_tokens(name, generic)
     words = lambda v: F.regexp_extract_all(F.lower(v), F.lit("[a-z]+"), F.lit(0))
-    tidy = F.filter(
+    tidy = let(distinctive_tokens(name, generic), lambda needed: F.filter(
         F.transform(F.array_compact(F.array(*variants)), collapse_spaces),
         lambda v: (v != "") & (F.size(F.array_except(needed, words(v))) == 0),
-    )
-    unique = distinct_ignoring_case(tidy)
-    return F.when(F.size(unique) > 0, unique).otherwise(F.array(name))
+    ))
+    return let(distinct_ignoring_case(tidy), lambda unique: F.when(F.size(unique) > 0, unique).otherwise(F.array(name)))
 
 
 def name_similarity_bounds(length: Column, cutoff: float) -> tuple[Column, Column]:

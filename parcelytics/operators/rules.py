@@ -209,7 +209,7 @@ def dedup_keep_earliest(df: DataFrame, key: Sequence[str], date: str, order: Seq
     unique = df.groupBy(*columns).agg(F.count("*").alias("copies"))
     position = F.struct(F.col(date).isNull().alias("missing"), F.col(date).alias("at"),
                         *[o.alias(f"o{i}") for i, o in enumerate(order)],
-                        *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+                        F.xxhash64(*columns).alias("h1"), F.hash(*columns).alias("h2"))
     ranked = attach_stats(unique.withColumn("__o", position), key, F.min("__o").alias("__first"))
     is_first = F.col("__o").eqNullSafe(F.col("__first"))
     keep = ranked.filter(is_first).select(*columns)

@@ -28,7 +28,7 @@ def sql_frame(sql: str, folder: str) -> pd.DataFrame:
 
 
 def kind(series: pd.Series) -> str:
-    name = str(series.dtype)
+    name = str(series.dtype).lower()
     if name.startswith(("int", "uint")):
         return "int"
     if name.startswith("float"):
@@ -41,7 +41,7 @@ def kind(series: pd.Series) -> str:
 
 
 def value(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
     if hasattr(x, "item"):
         x = x.item()
