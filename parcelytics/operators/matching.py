@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from parcelytics import fixed_values as fv
 from parcelytics.functions import geo, text
 from parcelytics.plans.scale import attach_stats, keep_first, maybe_broadcast, null_safe_join
+from parcelytics.session import freeze
 
 OUT_OF_DISTRICT = "__OUT_OF_DISTRICT__"
 
@@ -194,10 +195,8 @@ def contains_match(texts: DataFrame, key: str, body: str, names: DataFrame) -> D
     heads = maybe_broadcast(offered.select("__head").distinct())
 
     def windows(width: int) -> Column:
-        size = F.length(F.col(body))
-        return F.when(size >= width, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), size - (width - 1)), lambda i: F.substring(F.col(body), i, F.lit(width))
-        ))).otherwise(F.array().cast("array<string>"))
+        """Distinct overlapping character windows, by a zero-width match at every position."""
+        return F.array_distinct(F.regexp_extract_all(F.col(body), F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
 
     seen = texts.select(key, F.explode(F.concat(windows(3), windows(6))).alias("__head")).join(heads, "__head", "left_semi")
     pairs = seen.join(maybe_broadcast(offered), "__head").select(key, "name", "division", "area")
@@ -237,7 +236,7 @@ def segment_candidates(queries: DataFrame, query: str, pool: DataFrame, name: st
         ),
     )
     pool_side = pool.select(*within, name).distinct().filter(length > 0).withColumn("__l", length).withColumn(
-        "__e", _max_edits(length, cutoff, mode)).select(*within, name, F.explode(pieces).alias("k"))
+        "__e", _max_edits(length, cutoff, mode)).select(*within, name, F.explode(pieces).alias("__k"))
     q = F.col(query)
     low, high = _length_band(F.length(q), cutoff, mode)
 
@@ -255,8 +254,8 @@ def segment_candidates(queries: DataFrame, query: str, pool: DataFrame, name: st
         return F.flatten(F.transform(F.sequence(F.lit(0), e), at_segment))
 
     keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(low, F.lit(1)), high), windows)))
-    query_side = queries.select(*within, query).distinct().filter(F.length(q) > 0).select(*within, query, F.explode(keys).alias("k"))
-    return query_side.join(pool_side, [*within, "k"]).select(*within, query, name).distinct()
+    query_side = queries.select(*within, query).distinct().filter(F.length(q) > 0).select(*within, query, F.explode(keys).alias("__k"))
+    return query_side.join(pool_side, [*within, "__k"]).select(*within, query, name).distinct()
 
 
 @F.pandas_udf("double")
@@ -351,7 +350,7 @@ def resolve_texts(texts: DataFrame, body: str, names: DataFrame, aliases: DataFr
     Order: other-district town, alias, script name, exact name, postal area, fuzzy name, geocoded outside place.
     A stage only looks at texts that no cheaper stage resolved, so the fuzzy join sees the remainder.
     """
-    distinct = texts.select(F.col(body).alias("text")).filter("text IS NOT NULL AND trim(text) <> ''").distinct()
+    distinct = freeze(texts.select(F.col(body).alias("text")).filter("text IS NOT NULL AND trim(text) <> ''").distinct())
     out = F.lit(OUT_OF_DISTRICT).alias("division")
     note = F.concat(F.col("district"), F.lit(" ["), F.col("token"), F.lit("/"), F.col("how"), F.lit("]"))
     scan = guarded_scan(distinct, "text", "text", other_places, names, cutoff, mode).select(
@@ -365,7 +364,7 @@ def resolve_texts(texts: DataFrame, body: str, names: DataFrame, aliases: DataFr
     postal = distinct.select("text", F.lit(5).alias("rank"), text.regex_code(F.col("text"), code_pattern, codes).alias("division"),
                              F.lit("postal").alias("stage"), F.col("text").alias("matched")).filter("division IS NOT NULL")
     cheap = scan.unionByName(alias).unionByName(script).unionByName(exact).unionByName(postal)
-    first = keep_first(cheap, ["text"], [F.col("rank")])
+    first = freeze(keep_first(cheap, ["text"], [F.col("rank")]))
     rest = distinct.join(first.select("text"), "text", "left_anti")
     fuzzy = fuzzy_ngram_match(rest, "text", "text", names, cutoff, mode).select(
         "text", F.lit(6).alias("rank"), "division", F.lit("fuzzy").alias("stage"), F.col("span").alias("matched"))
