@@ -201,6 +201,6 @@ def expand_sql(sql: str) -> str:
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float) -> str:
     return (
-        f"(2 * CAST({radius} AS DOUBLE) * asin(sqrt(least(CAST(1 AS DOUBLE), sin(radians({lat2} - {lat1}) / 2) ** 2"
-        f" + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) ** 2))))"
+        f"(2 * CAST({radius} AS DOUBLE) * asin(sqrt(sin(radians({lat2} - {lat1}) / 2) ** 2"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) ** 2)))"
     )

@@ -13,7 +13,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     p1, p2 = F.radians(lat1), F.radians(lat2)
     half_dp, half_dl = (p2 - p1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(half_dp) * F.sin(half_dp) + F.cos(p1) * F.cos(p2) * F.sin(half_dl) * F.sin(half_dl)
-    return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def distance_to_point(lat: Column, lon: Column, point: tuple[float, float] = fv.CITY_CENTRE,

@@ -72,11 +72,11 @@ def attach_stats(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> Dat
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row as scalar subqueries."""
     names = one_row.columns
-    packed = one_row.select(F.struct(*names).alias("__s"))
-    out = df.withColumn("__s", packed.scalar())
+    packed = one_row.select(F.struct(*names).alias("__scalar_row"))
+    out = df.withColumn("__scalar_row", packed.scalar())
     for name in names:
-        out = out.withColumn(name, F.col(f"__s.{name}"))
-    return out.drop("__s")
+        out = out.withColumn(name, F.col(f"__scalar_row.{name}"))
+    return out.drop("__scalar_row")
 
 
 def scalar(one_row: DataFrame) -> Column:
