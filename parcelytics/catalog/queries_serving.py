@@ -65,7 +65,7 @@ def _(t):
 
 
 @query("P2_score_points", f"""
-WITH h AS (SELECT p.point_id, min(b.address) FILTER (modelled) AS m FROM points p LEFT JOIN boxes b ON p.lat >= b.y0 AND p.lat < b.y1 AND p.lon >= b.x0 AND p.lon < b.x1 GROUP BY 1)
+WITH h AS (SELECT p.point_id, arg_min(b.address, b.poly_id) FILTER (modelled) AS m FROM points p LEFT JOIN boxes b ON p.lat >= b.y0 AND p.lat < b.y1 AND p.lon >= b.x0 AND p.lon < b.x1 GROUP BY 1)
 SELECT point_id, m IS NOT NULL AS known_division, CASE WHEN m IS NOT NULL THEN m END AS inside FROM h""")
 def _(t):
     boxes = t.boxes.withColumn("c_lat", (F.col("y0") + F.col("y1")) / 2).withColumn("c_lon", (F.col("x0") + F.col("x1")) / 2)

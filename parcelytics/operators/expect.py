@@ -77,7 +77,7 @@ def expect_close(left: DataFrame, right: DataFrame, key: str, columns: Sequence[
 
 def expect_area(units: DataFrame, key: str, rings: str, expected: str, tolerance: float = 0.01) -> DataFrame:
     """Spherical area of the rings against a stated area (same unit), relative error per unit at most `tolerance`."""
-    area = F.aggregate(F.transform(F.col(rings), geo.spherical_ring_area), F.lit(0.0), lambda a, x: a + x)
+    area = F.aggregate(F.transform(F.col(rings), lambda ring: geo.spherical_ring_area(ring)), F.lit(0.0), lambda a, x: a + x)
     error = F.abs(area - F.col(expected)) / F.col(expected)
     stats = units.select(error.alias("e")).agg(F.max("e").alias("worst"), F.count_if(F.col("e") > tolerance).alias("bad"))
     return _check(stats, f"area of {key}", F.col("bad") == 0, F.concat_ws(" ", F.col("bad"), F.lit("units off, worst"), F.round("worst", 6)))

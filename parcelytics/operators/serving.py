@@ -144,7 +144,7 @@ def indication(units: DataFrame, events: Sequence[str], n_years: Column) -> Data
 
 
 def unit_area_km2(rings: Column) -> Column:
-    return F.aggregate(F.transform(rings, geo.spherical_ring_area), F.lit(0.0), lambda a, x: a + x) / 1e6
+    return F.aggregate(F.transform(rings, lambda ring: geo.spherical_ring_area(ring)), F.lit(0.0), lambda a, x: a + x) / 1e6
 
 
 def assemble_units(members: DataFrame, unit: str, order: str, name: str, parent: str, known: DataFrame) -> DataFrame:
