@@ -21,6 +21,7 @@ SELECT rn = 1 AS kept, count(*) AS n, round(sum(total_price), 2) AS total, count
 def _(t):
     df = t.listings.withColumn("size_key", F.when(F.col("l_orderkey") % 5 != 0, F.col("land_size"))).withColumn("undated", F.col("posted").isNull())
     order = [F.col(c) for c in ["l_orderkey", "l_linenumber", "l_partkey", "total_price", "discount", "tax"]]
+    df = df.select("division", "land_type", "undated", "size_key", "posted", "l_orderkey", "l_linenumber", "l_partkey", "total_price", "discount", "tax")
     keep, removed = rules.dedup_keep_earliest(df, ["division", "land_type", "undated", "size_key"], "posted", order)
     both = keep.select(F.lit(True).alias("kept"), F.lit(1).alias("copies"), "total_price", "division").unionByName(
         removed.select(F.lit(False).alias("kept"), "copies", "total_price", "division"))

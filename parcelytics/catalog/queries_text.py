@@ -217,8 +217,7 @@ def _(t):
 SELECT a.doc_id, a.tok || ' ' || b.tok AS gram, count(*) AS n FROM doc_tokens a JOIN doc_tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
 WHERE NOT (a.low IN (SELECT unnest({filler})) AND b.low IN (SELECT unnest({filler}))) GROUP BY 1, 2""".replace("{filler}", str(fv.FILLER_WORDS)))
 def _(t):
-    grams = t.documents.select("doc_id", F.explode(text.ngrams(text.latin_tokens(F.col("text")), 2)).alias("gram"))
-    return grams.filter(~text.is_all_filler(F.split("gram", " "))).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    return matching.ngram_counts(t.documents, "doc_id", "text", 2)
 
 
 @query("B9_has_any_substring", """

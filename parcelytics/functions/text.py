@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
 
-NON_WORD = r"[^\p{L}\p{N}_඀-෿]+"
+WORD = r"\p{L}\p{N}_\x{0D80}-\x{0DFF}"
 
 
 def literal_array(values: Sequence) -> Column:
@@ -69,13 +69,15 @@ def sound_key(token: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Word tokens in order, pure digits dropped; NULL text gives an empty array."""
-    words = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), NON_WORD, " "), " ")
-    return F.filter(words, lambda w: (w != "") & ~w.rlike(r"^\p{Nd}+$"))
+    """Word tokens in order, pure digits dropped; NULL text gives an empty array. One pass of one pattern."""
+    pattern = rf"\p{{Nd}}*[{WORD}&&[^\p{{Nd}}]][{WORD}]*"
+    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
 def latin_tokens(text: Column) -> Column:
-    return F.filter(tokenize(text), lambda w: w.rlike("[a-zA-Z]"))
+    """Tokens that hold a Latin letter."""
+    pattern = rf"[{WORD}&&[^a-zA-Z]]*[a-zA-Z][{WORD}]*"
+    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
 def latin_key(text: Column) -> Column:
@@ -130,16 +132,17 @@ def norm_address(col: Column, noise: Sequence[str] = ("no", "nos", "sri", "lanka
     return collapse_spaces(dropped)
 
 
+def shifted(tokens: Column, n: int) -> Column:
+    """One struct (w0 .. w<n-1>) per position: the token and the n-1 tokens after it, NULL past the end."""
+    return F.arrays_zip(*[
+        (tokens if i == 0 else F.slice(tokens, F.lit(i + 1), F.greatest(F.size(tokens) - i, F.lit(0)))).alias(f"w{i}") for i in range(n)])
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All contiguous n-token slices joined by a space, in position order; empty when there are too few tokens."""
-    empty = F.array().cast("array<string>")
-
     def slices(words: Column) -> Column:
-        count = F.size(words) - F.lit(n - 1)
-        return F.when(
-            count > 0,
-            F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")),
-        ).otherwise(empty)
+        whole = F.filter(shifted(words, n), lambda s: s[f"w{n - 1}"].isNotNull())
+        return F.transform(whole, lambda s: F.concat_ws(" ", *[s[f"w{i}"] for i in range(n)]))
 
     return let(tokens, slices)
 

@@ -15,12 +15,9 @@ from parcelytics.plans.scale import (
 
 def group_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, sum, min, q1, median, q3, iqr and max of a value per group; n counts all rows of the group."""
-    basic = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
-    quartiles = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    joined = null_safe_join(basic, quartiles, keys, "left") if keys else attach_scalar(basic, quartiles)
-    return joined.withColumn("iqr", F.col("q3") - F.col("q1"))
+    basic = [F.count("*").alias("n"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max")]
+    out = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, also=basic)
+    return out.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def frequency_rank(counts: DataFrame, key: str, n: str, name: str = "frequency_rank") -> DataFrame:
@@ -174,8 +171,9 @@ def multi_membership_sum(df: DataFrame, key: str, delimited: str, dim: DataFrame
 
 def division_lookup(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Serving table: exact median of every feature per division, and the listing count."""
-    out = df.groupBy(key).agg(F.count("*").alias("listing_count"))
-    for c in columns:
+    first, *rest = columns
+    out = exact_quantiles(df, [key], first, {first: 0.5}, also=[F.count("*").alias("listing_count")])
+    for c in rest:
         out = null_safe_join(out, exact_quantiles(df, [key], c, {c: 0.5}), [key], "left")
     return out
 

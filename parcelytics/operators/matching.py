@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
 from parcelytics.functions import geo, text
-from parcelytics.plans.scale import attach_stats, keep_first, maybe_broadcast, null_safe_join
+from parcelytics.plans.scale import attach_stats, keep_first, maybe_broadcast, null_safe_join, spread
 from parcelytics.session import freeze
 
 OUT_OF_DISTRICT = "__OUT_OF_DISTRICT__"
@@ -96,32 +96,46 @@ def list_crosscheck(units: DataFrame, unit: str, members: Column, predicted: Col
 
 # --------------------------------------------------------------------------- dictionary scans
 def gram_table(texts: DataFrame, columns: Sequence[str], body: str, max_n: int = fv.MAX_NGRAM,
-               filler: Sequence[str] = fv.FILLER_WORDS) -> DataFrame:
-    """Every n-gram of Latin tokens: n, pos (1-based), gram (sound keys), span (as written), any_filler.
+               filler: Sequence[str] = fv.FILLER_WORDS, dictionary: DataFrame | None = None) -> DataFrame:
+    """N-grams of Latin tokens: n, pos (1-based), gram (sound keys), span (as written), any_filler.
 
-    Grams made only of filler words are left out. `columns` identify the text and are carried along.
+    Grams made only of filler words are left out. `columns` identify the text and are carried along. With a
+    `dictionary` (column gram) only grams that start with the first word of an entry are built, so most positions
+    are dropped by one join on a single key.
     """
-    prepared = texts.select(*columns, text.latin_tokens(F.col(body)).alias("__w")).filter(F.size("__w") > 0)
-    prepared = prepared.withColumn("__k", F.transform("__w", text.sound_key)).withColumn(
-        "__f", F.transform("__w", lambda w: F.lower(w).isin(list(filler)))
-    )
-    size = F.size("__w")
-
-    def grams(n: int) -> Column:
-        return F.when(size >= n, F.transform(
-            F.sequence(F.lit(1), size - (n - 1)),
-            lambda i: F.struct(
-                F.lit(n).alias("n"), i.alias("pos"), F.array_join(F.slice("__k", i, F.lit(n)), " ").alias("gram"),
-                F.array_join(F.slice("__w", i, F.lit(n)), " ").alias("span"),
-                F.exists(F.slice("__f", i, F.lit(n)), lambda f: f).alias("any_filler"),
-                F.forall(F.slice("__f", i, F.lit(n)), lambda f: f).alias("all_filler"),
-            ),
-        ))
-
-    every = F.flatten(F.array_compact(F.array(*[grams(n) for n in range(1, max_n + 1)])))
-    return prepared.select(*columns, F.explode(F.filter(every, lambda g: ~g["all_filler"])).alias("g")).select(
-        *columns, "g.n", "g.pos", "g.gram", "g.span", "g.any_filler"
-    )
+    prepared = spread(texts.select(*columns, body)).select(*columns, text.latin_tokens(F.col(body)).alias("__w"))
+    windows = prepared.select(*columns, F.posexplode(text.shifted(F.col("__w"), max_n)).alias("__i", "__s")).select(
+        *columns, (F.col("__i") + 1).alias("pos"), *[F.col("__s")[f"w{i}"].alias(f"__w{i}") for i in range(max_n)])
+    windows = windows.withColumn("__k0", text.sound_key(F.col("__w0")))
+    if dictionary is not None:
+        heads = dictionary.select(F.split("gram", " ")[0].alias("__k0")).distinct()
+        windows = windows.join(maybe_broadcast(heads), "__k0", "left_semi")
+    for i in range(max_n):
+        if i:
+            windows = windows.withColumn(f"__k{i}", text.sound_key(F.col(f"__w{i}")))
+        windows = windows.withColumn(f"__f{i}", F.lower(f"__w{i}").isin(list(filler)))
+
+    def gram(n: int) -> Column:
+        some, every = F.col("__f0"), F.col("__f0")
+        for i in range(1, n):
+            some, every = some | F.col(f"__f{i}"), every & F.col(f"__f{i}")
+        return F.when(F.col(f"__w{n - 1}").isNotNull() & ~every, F.struct(
+            F.lit(n).alias("n"), F.concat_ws(" ", *[f"__k{i}" for i in range(n)]).alias("gram"),
+            F.concat_ws(" ", *[f"__w{i}" for i in range(n)]).alias("span"), some.alias("any_filler")))
+
+    return windows.select(*columns, "pos", F.explode(F.array_compact(F.array(*[gram(n) for n in range(1, max_n + 1)]))).alias("g")).select(
+        *columns, "g.n", "pos", "g.gram", "g.span", "g.any_filler")
+
+
+def ngram_counts(texts: DataFrame, key: str, body: str, n: int, filler: Sequence[str] = fv.FILLER_WORDS) -> DataFrame:
+    """How often each n-gram of Latin tokens occurs per text, grams made only of filler words left out."""
+    words = spread(texts.select(key, body)).select(key, text.latin_tokens(F.col(body)).alias("__w"))
+    windows = words.select(key, F.explode(text.shifted(F.col("__w"), n)).alias("s")).select(key, "s.*").filter(F.col(f"w{n - 1}").isNotNull())
+    plain = F.lit(True)
+    for i in range(n):
+        plain = plain & F.lower(f"w{i}").isin(list(filler))
+    grams = windows.filter(~plain).select(key, F.concat_ws(" ", *[f"w{i}" for i in range(n)]).alias("gram"))
+    return grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
 def first_listed_token(texts: DataFrame, key: str, body: str, listed: DataFrame, token: str, order: str) -> DataFrame:
@@ -133,15 +147,15 @@ def first_listed_token(texts: DataFrame, key: str, body: str, listed: DataFrame,
 
 def first_place_in_scope(texts: DataFrame, key: str, body: str, places: DataFrame, place: str, max_n: int = 3) -> DataFrame:
     """The first in-scope place named in the text; at the same position the longer name wins."""
-    words = texts.select(key, F.transform(text.latin_tokens(F.col(body)), F.lower).alias("__w"))
-
-    def sized(n: int) -> Column:
-        return F.transform(
-            text.ngrams(F.col("__w"), n), lambda g, i: F.struct((i + 1).alias("position"), F.lit(-n).alias("neg"), g.alias(place))
-        )
-
-    every = F.flatten(F.array(*[sized(n) for n in range(1, max_n + 1)]))
-    grams = words.select(key, F.explode(every).alias("g")).select(key, "g.*")
+    words = spread(texts.select(key, body)).select(key, text.latin_tokens(F.lower(F.col(body))).alias("__w"))
+    windows = words.select(key, F.posexplode(text.shifted(F.col("__w"), max_n)).alias("__i", "__s")).select(
+        key, (F.col("__i") + 1).alias("position"), *[F.col("__s")[f"w{i}"].alias(f"__w{i}") for i in range(max_n)])
+    heads = places.select(F.split(place, " ")[0].alias("__w0")).distinct()
+    windows = windows.join(maybe_broadcast(heads), "__w0", "left_semi")
+    named = F.array_compact(F.array(*[
+        F.when(F.col(f"__w{n - 1}").isNotNull(), F.struct(F.lit(-n).alias("neg"), F.concat_ws(" ", *[f"__w{i}" for i in range(n)]).alias(place)))
+        for n in range(1, max_n + 1)]))
+    grams = windows.select(key, "position", F.explode(named).alias("g")).select(key, "position", "g.*")
     hits = grams.join(maybe_broadcast(places.select(place)), place)
     return hits.groupBy(key).agg(F.min(F.struct("position", "neg", place)).alias("b")).select(key, "b.position", f"b.{place}")
 
@@ -168,9 +182,11 @@ def alias_match(texts: DataFrame, key: str, body: str, aliases: DataFrame, max_n
     Returns key, division, span, n (0 for a whole-text hit).
     """
     table = maybe_broadcast(aliases.select(F.col("alias_key").alias("gram"), "division"))
-    whole = texts.select(key, text.latin_key(F.col(body)).alias("gram"), F.col(body).alias("span")).filter("gram <> ''").join(table, "gram").select(
+    longest = aliases.agg(F.max(F.size(F.split("alias_key", " "))).alias("m")).scalar()
+    short = spread(texts.select(key, body)).filter(F.size(text.latin_tokens(F.col(body))).between(F.lit(1), longest))
+    whole = short.select(key, text.latin_key(F.col(body)).alias("gram"), F.col(body).alias("span")).join(table, "gram").select(
         key, F.struct(F.lit(-1_000_000).alias("a"), F.lit(0).alias("b"), "division", "span").alias("o"), F.lit(0).alias("n"))
-    parts = gram_table(texts, [key], body, max_n).join(table, "gram").select(
+    parts = gram_table(texts, [key], body, max_n, dictionary=table).join(table, "gram").select(
         key, F.struct((-F.col("n")).alias("a"), F.col("pos").alias("b"), "division", "span").alias("o"), "n")
     best = whole.unionByName(parts).groupBy(key).agg(F.min(F.struct("o", "n")).alias("m"))
     return best.select(key, "m.o.division", "m.o.span", "m.n")
@@ -179,7 +195,7 @@ def alias_match(texts: DataFrame, key: str, body: str, aliases: DataFrame, max_n
 def exact_ngram_match(texts: DataFrame, key: str, body: str, names: DataFrame, max_n: int = fv.MAX_NGRAM) -> DataFrame:
     """Longest n with any hit, then the smallest area, then the leftmost. `names`: key, division, area."""
     table = maybe_broadcast(names.select(F.col("key").alias("gram"), "division", "area"))
-    hits = gram_table(texts, [key], body, max_n).join(table, "gram")
+    hits = gram_table(texts, [key], body, max_n, dictionary=table).join(table, "gram")
     order = F.struct((-F.col("n")).alias("n"), "area", "pos", "division", "span")
     return hits.groupBy(key).agg(F.min(order).alias("b")).select(key, "b.division", "b.span", (-F.col("b.n")).alias("n"))
 
@@ -258,10 +274,14 @@ def segment_candidates(queries: DataFrame, query: str, pool: DataFrame, name: st
     return query_side.join(pool_side, [*within, "__k"]).select(*within, query, name).distinct()
 
 
-@F.pandas_udf("double")
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def matching_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp ratio, 2 * matched characters / total length; the argument order matters."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)])
+
+    return ratio(a, b)
 
 
 def fuzzy_match(queries: DataFrame, query: str, pool: DataFrame, name: str, cutoff: float = fv.FUZZY_CUTOFF, mode: str = "edit",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parcelytics.operators import features as ft
 from parcelytics.operators.aggregates import correlation, spearman
-from parcelytics.plans.scale import attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, null_safe_join, with_positions, with_value_rank
+from parcelytics.plans.scale import attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, with_positions, with_value_rank
 from parcelytics.session import freeze
 
 BUCKETS = 1_000_000
@@ -167,13 +167,13 @@ def metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFram
     """n, R2, RMSE and MAE on the log scale; MAE, MAPE and median APE after exp. One pass plus the exact median."""
     scored = df.select(*keys, F.col(y).alias("__y"), F.col(p).alias("__p")).withColumn("__e", F.col("__y") - F.col("__p")).withColumn(
         "__re", F.abs(F.exp("__y") - F.exp("__p"))).withColumn("__ape", 100 * F.col("__re") / F.exp("__y"))
-    basic = scored.groupBy(*keys).agg(
+    basic = [
         F.count("*").alias("n"),
         (1 - F.sum(F.col("__e") * F.col("__e")) / F.nullif(F.var_pop("__y") * F.count("__y"), F.lit(0.0))).alias("r2"),
         F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse_log"), F.avg(F.abs("__e")).alias("mae_log"),
-        F.avg("__re").alias("mae"), F.avg("__ape").alias("mape"))
-    median = exact_quantiles(scored, keys, "__ape", {"median_ape": 0.5})
-    return null_safe_join(basic, median, keys, "left") if keys else attach_scalar(basic, median)
+        F.avg("__re").alias("mae"), F.avg("__ape").alias("mape"),
+    ]
+    return exact_quantiles(scored, keys, "__ape", {"median_ape": 0.5}, also=basic)
 
 
 def cross_validate(df: DataFrame, columns: Sequence[str], target: str, fold: str, group: str | None = None, kind: str = "forest",

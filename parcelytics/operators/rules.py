@@ -12,6 +12,7 @@ from parcelytics.functions import geo, numeric, text
 from parcelytics.plans.scale import (
     attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, null_safe_join, stack_rows,
 )
+from parcelytics.session import freeze
 
 Rule = tuple[str, Column] | tuple[str, Column, Column]
 
@@ -135,13 +136,13 @@ def clean_points(
 
 def quantile_band(df: DataFrame, value: str, low: float = fv.PRICE_BAND[0], high: float = fv.PRICE_BAND[1]) -> DataFrame:
     """Rows inside the global percentile band, both ends included."""
-    bounds = exact_quantiles(df, [], value, {"__lo": low, "__hi": high})
+    bounds = freeze(exact_quantiles(df, [], value, {"__lo": low, "__hi": high}))
     return attach_scalar(df, bounds).filter(F.col(value).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
 def trim_per_group(df: DataFrame, value: str, group: str, k: float = fv.TRIM_K) -> DataFrame:
     """Keep |x - mean| <= k * sd of the group; single-row groups (sd NULL) stay."""
-    stats = attach_stats(df, [group], F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
+    stats = attach_stats(df, [group], F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"), settle=True)
     keep = F.coalesce(F.abs(F.col(value) - F.col("__mean")) <= k * F.col("__sd"), F.col("__sd").isNull())
     return stats.filter(keep).drop("__mean", "__sd")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parcelytics import fixed_values as fv
 from parcelytics.functions import geo
 from parcelytics.operators import ordering, serving
-from parcelytics.plans.scale import exact_quantiles, is_small, keep_last, maybe_broadcast, null_safe_join, with_positions
+from parcelytics.plans.scale import exact_quantiles, is_small, keep_last, maybe_broadcast, with_positions
 
 ACTIVE = ("active", "trialing")
 
@@ -81,8 +81,8 @@ def subscription_state(events: DataFrame, customer: str, kind: str, status: str,
 def dashboard(history: DataFrame, user: str, ts: str, tie: str, price: str, total: str, division: str, n: int = 100) -> DataFrame:
     """KPIs per user over the newest n estimates: count, median price, total value, distinct divisions."""
     latest = ordering.latest_n(history, user, ts, tie, n)
-    basic = latest.groupBy(user).agg(F.count("*").alias("count"), F.sum(total).alias("total_value"), F.count_distinct(division).alias("division_count"))
-    return null_safe_join(basic, exact_quantiles(latest, [user], price, {"median_price": 0.5}), [user], "left")
+    basic = [F.count("*").alias("count"), F.sum(total).alias("total_value"), F.count_distinct(division).alias("division_count")]
+    return exact_quantiles(latest, [user], price, {"median_price": 0.5}, also=basic)
 
 
 def monthly_activity(history: DataFrame, ts: str, as_of: str, months: int = 6, by: Sequence[str] = ()) -> DataFrame:

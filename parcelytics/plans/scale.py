@@ -20,6 +20,8 @@ ONE_TASK_BYTES = 256 * 1024 * 1024
 # A side is broadcast by hint only when its whole estimated size is below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 QUANTILE_ACCURACY = 10_000
+# Without groups the built-in exact percentile ends in one task, so the sketch plan starts earlier.
+GLOBAL_QUANTILE_BYTES = 4 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> float:
@@ -50,6 +52,13 @@ def maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input over all cores before CPU-heavy work on its rows; a large one has enough splits already."""
+    session = df.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if is_small(df, cores * 8 * 1024 * 1024) else df
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equally named keys where NULL matches NULL; keeps the left keys."""
     renamed = right
@@ -61,12 +70,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def attach_stats(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
-    """Add per-group aggregates to every row (what a whole-partition window gives, without its skew)."""
-    if not keys:
-        return attach_scalar(df, df.agg(*aggregates))
+def attach_stats(df: DataFrame, keys: Sequence[str], *aggregates: Column, settle: bool = False) -> DataFrame:
+    """Add per-group aggregates to every row (what a whole-partition window gives, without its skew).
+
+    With `settle` the statistics (one row per group) are materialised first: a chain of such steps then reads its
+    input once per step instead of doubling the plan each time.
+    """
     stats = df.groupBy(*keys).agg(*aggregates)
-    return null_safe_join(df, stats, keys, "left")
+    stats = freeze(stats) if settle else stats
+    return null_safe_join(df, stats, keys, "left") if keys else attach_scalar(df, stats)
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -117,18 +129,25 @@ def exact_quantiles(
     value: str,
     quantiles: dict[str, float],
     one_task_bytes: int | None = None,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group: one row per key, one column per named probability.
 
     A small input uses the built-in `percentile`. Otherwise a bounded sketch brackets every wanted rank, and only
     the values inside the brackets (about 6/QUANTILE_ACCURACY of a group) are counted and ordered; the rest are
-    merely counted. The result is exact in both plans.
+    merely counted. The result is exact in both plans. `also` adds plain aggregates of the same groups.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    if one_task_bytes is None and not keys:
+        one_task_bytes = GLOBAL_QUANTILE_BYTES
     if is_small(df, one_task_bytes):
         return df.groupBy(*keys).agg(
-            *[F.percentile(F.col(value).cast("double"), F.lit(float(p))).alias(n) for n, p in quantiles.items()]
+            *also, *[F.percentile(F.col(value).cast("double"), F.lit(float(p))).alias(n) for n, p in quantiles.items()]
         )
+    if also:
+        plain = df.groupBy(*keys).agg(*also)
+        exact = exact_quantiles(df, keys, value, quantiles, one_task_bytes)
+        return null_safe_join(plain, exact, keys, "left") if keys else attach_scalar(plain, exact)
     names, probs = list(quantiles), [float(quantiles[n]) for n in quantiles]
     margin = 3.0 / QUANTILE_ACCURACY
     cuts = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
