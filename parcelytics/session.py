@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the reliable checkpoint folder: later steps see one fixed version of its rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the reliable checkpoint folder and read it back.
+
+    Later steps see one fixed version of the rows, their lineage ends here, a lost executor costs a re-read, and the
+    optimizer knows the real size of the table.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/frozen-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
