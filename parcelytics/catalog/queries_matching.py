@@ -211,15 +211,15 @@ WITH ad AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN '12 ' || p_name ||
     WHEN 5 THEN 'ගොඩගම පාර' WHEN 6 THEN 'nothing known' END AS address, CASE WHEN p_partkey % 2 = 0 THEN 'Old Town' ELSE p_type END AS town, p_name AS title, left(p_name, 2) || substring(p_name, 4) AS wrong, p_type FROM part),
 nm AS (SELECT p_name AS division, 1 + min(p_partkey) % 9 AS area FROM part WHERE p_size > 12 GROUP BY 1),
 nk AS (SELECT division, area, array_to_string(list_transform(string_split(division, ' '), lambda x: {sound_sql('x')}), ' ') AS key FROM nm),
-wr AS (SELECT DISTINCT wrong, array_to_string(list_transform(string_split(wrong, ' '), lambda x: {sound_sql('x')}), ' ') AS gram FROM ad),
+wr AS (SELECT DISTINCT wrong, array_to_string(list_transform(string_split(wrong, ' '), lambda x: {sound_sql('x')}), ' ') AS gram FROM (SELECT wrong FROM ad UNION SELECT title FROM ad)),
 bg AS (SELECT wrong, division, row_number() OVER (PARTITION BY wrong ORDER BY {LEV.format(a='gram', b='key')} DESC, key DESC) AS rn, {LEV.format(a='gram', b='key')} AS ratio FROM wr, nk WHERE {LEV.format(a='gram', b='key')} >= 0.90 - 1e-12),
-mt AS (SELECT ad.*, n.division AS title_div, e.division AS wrong_exact, f.division AS wrong_fuzzy FROM ad LEFT JOIN nm n ON ad.title = n.division LEFT JOIN nk e ON array_to_string(list_transform(string_split(ad.wrong, ' '), lambda x: {sound_sql('x')}), ' ') = e.key
-  LEFT JOIN bg f ON ad.wrong = f.wrong AND f.rn = 1),
-r1 AS (SELECT *, CASE WHEN p_partkey % 7 = 4 THEN 'out_of_district' WHEN p_partkey % 7 = 1 AND title_div IS NOT NULL THEN 'exact' WHEN p_partkey % 7 = 2 THEN 'postal' WHEN p_partkey % 7 = 5 THEN 'script'
+mt AS (SELECT ad.*, n.division AS title_div, e.division AS wrong_exact, f.division AS wrong_fuzzy, g.division AS title_fuzzy FROM ad LEFT JOIN nm n ON ad.title = n.division LEFT JOIN nk e ON array_to_string(list_transform(string_split(ad.wrong, ' '), lambda x: {sound_sql('x')}), ' ') = e.key
+  LEFT JOIN bg f ON ad.wrong = f.wrong AND f.rn = 1 LEFT JOIN bg g ON ad.title = g.wrong AND g.rn = 1),
+r1 AS (SELECT *, CASE WHEN p_partkey % 7 = 4 THEN 'out_of_district' WHEN p_partkey % 7 = 1 AND title_div IS NOT NULL THEN 'exact' WHEN p_partkey % 7 = 1 AND title_fuzzy IS NOT NULL THEN 'fuzzy' WHEN p_partkey % 7 = 2 THEN 'postal' WHEN p_partkey % 7 = 5 THEN 'script'
     WHEN p_partkey % 7 = 3 AND wrong_exact IS NOT NULL THEN 'exact' WHEN p_partkey % 7 = 3 AND wrong_fuzzy IS NOT NULL THEN 'fuzzy' WHEN p_partkey % 7 = 6 THEN 'out_of_district' END AS s1,
-  CASE WHEN p_partkey % 2 <> 0 AND p_type = 'PROMO' THEN 'alias' END AS s2, CASE WHEN title_div IS NOT NULL THEN 'exact' END AS s3 FROM mt)
+  CASE WHEN p_partkey % 2 <> 0 AND p_type = 'PROMO' THEN 'alias' END AS s2, CASE WHEN title_div IS NOT NULL THEN 'exact' WHEN title_fuzzy IS NOT NULL THEN 'fuzzy' END AS s3 FROM mt)
 SELECT p_partkey, CASE WHEN s1 = 'out_of_district' THEN NULL WHEN s1 = 'postal' THEN 'Havelock Town' WHEN s1 = 'script' THEN 'Godagama' WHEN s1 = 'exact' AND p_partkey % 7 = 1 THEN title_div WHEN s1 = 'exact' THEN wrong_exact
-  WHEN s1 = 'fuzzy' THEN wrong_fuzzy WHEN s2 = 'alias' THEN 'Promo Quarter' ELSE title_div END AS division,
+  WHEN s1 = 'fuzzy' AND p_partkey % 7 = 1 THEN title_fuzzy WHEN s1 = 'fuzzy' THEN wrong_fuzzy WHEN s2 = 'alias' THEN 'Promo Quarter' ELSE coalesce(title_div, title_fuzzy) END AS division,
   coalesce(s1, s2, s3, 'unmatched') AS match_stage, CASE WHEN s1 IS NOT NULL THEN 'address' WHEN s2 IS NOT NULL THEN 'town' WHEN s3 IS NOT NULL THEN 'title' END AS match_field FROM r1""")
 def _(t):
     return cascade(t, "edit").select("p_partkey", "division", "match_stage", "match_field")
