@@ -18,7 +18,7 @@ from parcelytics.session import freeze
 # Plans that hold one group in one task are used only when the whole input is estimated below this.
 ONE_TASK_BYTES = 256 * 1024 * 1024
 # A side is broadcast by hint only when its whole estimated size is below this.
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 16 * 1024 * 1024
 QUANTILE_ACCURACY = 10_000
 # Without groups the built-in exact percentile ends in one task, so the sketch plan starts earlier.
 GLOBAL_QUANTILE_BYTES = 4 * 1024 * 1024

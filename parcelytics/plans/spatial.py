@@ -90,6 +90,17 @@ def count_within(points: DataFrame, targets: DataFrame, radius_km: float, by: Se
     return near.groupBy("lat", "lon", *by).agg(F.sum("__w").alias("n"))
 
 
+def _thin_start(spots: DataFrame, by: Sequence[str], radius: float, sphere_km: float, crowded: int = 256) -> float:
+    """Shrink the first search radius until no cell holds many targets, so a dense cluster is not compared pairwise."""
+    for _ in range(12):
+        cell = target_cell(F.col("t_lat"), F.col("t_lon"), math.degrees(radius / sphere_km))
+        busiest = spots.groupBy(*by, cell.alias("__c")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if busiest <= crowded or radius <= 1e-4:
+            break
+        radius = max(radius / max(2.0, math.sqrt(busiest / (crowded / 2))), 1e-4)
+    return radius
+
+
 def nearest(points: DataFrame, targets: DataFrame, by: str | None = None, values: Sequence[str] = (), payload: Sequence[str] = (),
             sphere_km: float = fv.FEATURE_RADIUS_KM) -> DataFrame:
     """Nearest target per distinct point (and `by` value): lat, lon, [by], km, payload columns.
@@ -115,6 +126,7 @@ def nearest(points: DataFrame, targets: DataFrame, by: str | None = None, values
     height, width = (frame[1] - frame[0]) * degree, (frame[3] - frame[2]) * degree
     diameter = math.hypot(height, width) * 1.05 + 0.001
     radius = min(max(0.8 * math.sqrt(max(height * width, 1e-6) / count[0]), 0.05), diameter)
+    radius = _thin_start(spots, [by] if by else [], radius, sphere_km)
     pending = coords
     if by:
         pending = coords.withColumn(by, F.explode(F.array(*[F.lit(v) for v in values])))
