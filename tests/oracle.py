@@ -1,6 +1,6 @@
 """Compare every registered query with its SQL counterpart, value by value, ignoring row order.
 
-Command line: python -m tests.oracle [name-prefix ...] [--sf 0.01]
+Command line: python -m tests.oracle [name-prefix ...] [--sf 0.01] [--jobs 1]
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from multiprocessing.pool import ThreadPool
 
 import duckdb
 import pandas as pd
@@ -86,29 +87,38 @@ def main(argv: list[str]) -> int:
         at = argv.index("--sf")
         sf = argv[at + 1]
         argv = argv[:at] + argv[at + 2 :]
+    jobs = 1
+    if "--jobs" in argv:
+        at = argv.index("--jobs")
+        jobs = int(argv[at + 1])
+        argv = argv[:at] + argv[at + 2 :]
     folder = f"/root/testdata/sf{sf}"
     spark = build_session("oracle-check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
-    sqls, failed = oracle_sql(), []
-    for name, fn in queries().items():
-        if argv and not any(name.lower().startswith(p.lower()) for p in argv):
-            continue
+    sqls, failed, registered = oracle_sql(), [], queries()
+    names = [n for n in registered if not argv or any(n.lower().startswith(p.lower()) for p in argv)]
+
+    def run(name):
         start = time.time()
         try:
-            got = fn(spark, folder).toPandas()
-            took = time.time() - start
-            if name in sqls:
-                reason = compare(got, sql_frame(sqls[name], folder))
-            else:
-                reason = "" if len(got) else "EMPTY"
-                print(f"rows-only {name}: {len(got)} rows", flush=True)
+            got, reason = registered[name](spark, folder).toPandas(), ""
         except Exception as error:  # report and go on with the next query
-            took, reason = time.time() - start, f"{type(error).__name__}: {str(error)[:1500]}"
-        print(f"{'ok  ' if not reason else 'FAIL'} {took:6.2f}s {name} {reason}", flush=True)
-        if reason:
-            failed.append(name)
+            got, reason = None, f"{type(error).__name__}: {str(error)[:1500]}"
+        return name, got, reason, time.time() - start
+
+    with ThreadPool(jobs) as pool:
+        for name, got, reason, took in pool.imap_unordered(run, names, chunksize=1):
+            if got is not None:
+                if name in sqls:
+                    reason = compare(got, sql_frame(sqls[name], folder))
+                else:
+                    reason = "" if len(got) else "EMPTY"
+                    print(f"rows-only {name}: {len(got)} rows", flush=True)
+            print(f"{'ok  ' if not reason else 'FAIL'} {took:6.2f}s {name} {reason}", flush=True)
+            if reason:
+                failed.append(name)
     print(f"{len(failed)} failed: {failed}")
     return 1 if failed else 0
 
