@@ -12,6 +12,7 @@ from parcelytics import fixed_values as fv
 from parcelytics.functions import geo, numeric, text
 from parcelytics.operators import aggregates, features as ft
 from parcelytics.plans.scale import attach_scalar, maybe_broadcast, stack_rows, top_k_per_group
+from parcelytics.session import freeze
 
 
 @dataclass
@@ -38,7 +39,8 @@ class ServingTables:
 
 def build_serving_tables(train: DataFrame, division: str, target: str, columns: Sequence[str], order: Sequence[str]) -> ServingTables:
     encoding = ft.target_encoding(train, division, target).select(F.col(division).alias("division"), "target_enc")
-    lookup = aggregates.division_lookup(train.withColumnRenamed(division, "division") if division != "division" else train, "division", columns)
+    # One row per division: settled here because the fallback, the price table and the writer all read it.
+    lookup = freeze(aggregates.division_lookup(train.withColumnRenamed(division, "division"), "division", columns))
     mean = train.agg(F.avg(target).alias("global_mean_log_price"))
     return ServingTables(encoding, lookup, attach_scalar(mean, aggregates.global_row(lookup, columns)), list(order))
 
