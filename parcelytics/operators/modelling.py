@@ -184,7 +184,9 @@ def cross_validate(df: DataFrame, columns: Sequence[str], target: str, fold: str
     of the whole training part. Folds run side by side on one session.
     """
     if folds is None:
-        folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(1000).collect()]
+        folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(1001).collect()]
+        if len(folds) > 1000:
+            raise ValueError(f"{fold} is not a fold column: more than 1000 values")
 
     def run(held_out: int) -> DataFrame:
         train, test = df.filter(F.col(fold) != held_out), df.filter(F.col(fold) == held_out)

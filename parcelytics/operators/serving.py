@@ -33,7 +33,7 @@ class ServingTables:
 
     @classmethod
     def read(cls, spark, path: str) -> "ServingTables":
-        order = [r["feature"] for r in spark.read.parquet(f"{path}/order").orderBy("position").limit(100_000).collect()]
+        order = [r["feature"] for r in spark.read.parquet(f"{path}/order").orderBy("position").collect()]
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("encoding", "lookup", "fallback")], order)
 
 
