@@ -311,14 +311,15 @@ class PieceModel:
         return "".join(out)
 
 
-_LOADED: dict[int, PieceModel] = {}
+_LOADED: dict[bytes, PieceModel] = {}
 
 
 def _model(shared) -> PieceModel:
     """The model of a broadcast file, built once in a worker."""
-    if shared.id not in _LOADED:
-        _LOADED[shared.id] = PieceModel(shared.value)
-    return _LOADED[shared.id]
+    data = shared.value
+    if data not in _LOADED:
+        _LOADED[data] = PieceModel(data)
+    return _LOADED[data]
 
 
 def _shared(df: DataFrame, model_path: str):

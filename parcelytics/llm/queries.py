@@ -41,7 +41,7 @@ WITH RECURSIVE w AS (
 ), sh AS (
   SELECT DISTINCT rep, shingle FROM (
     SELECT rep, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-      ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i+4], ' ')) END) AS shingle FROM reps)
+      ELSE [array_to_string(words[i:i+4], ' ') FOR i IN range(1, len(words) - 3)] END) AS shingle FROM reps)
 ), n AS (SELECT rep, count(*) AS n FROM sh GROUP BY rep
 ), common AS (
   SELECT a.rep AS x, b.rep AS y, count(*) AS k FROM sh a JOIN sh b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY ALL
