@@ -240,23 +240,26 @@ def with_positions(
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__ix", F.monotonically_increasing_id())
     )
-    inside = Window.partitionBy("__pid", *keys).orderBy("__ix")
-    frame = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = laid_out.withColumn(name, F.row_number().over(inside))
-    for i, label in enumerate(running):
-        local = local.withColumn(label, F.sum(f"__w{i}").over(frame))
+    if running:
+        inside = Window.partitionBy("__pid", *keys).orderBy("__ix")
+        frame = inside.rowsBetween(Window.unboundedPreceding, 0)
+        local = laid_out.select("*", *[F.sum(f"__w{i}").over(frame).alias(label) for i, label in enumerate(running)])
+    else:
+        local = laid_out
+    # rows of a group are neighbours in a partition: its first row there and the rows before that partition number it
     sizes = laid_out.groupBy(*keys, "__pid").agg(
-        F.count("*").alias("__n"), *[F.sum(f"__w{i}").alias(f"__s{i}") for i in range(len(running))]
+        F.count("*").alias("__n"), F.min("__ix").alias("__first"), *[F.sum(f"__w{i}").alias(f"__s{i}") for i in range(len(running))]
     )
     before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
         *keys,
         "__pid",
-        F.sum("__n").over(before).alias("__shift"),
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
         *[F.sum(f"__s{i}").over(before).alias(f"__shift{i}") for i in range(len(running))],
-    ).filter("__shift IS NOT NULL")
-    out = null_safe_join(local, F.broadcast(shifts), [*keys, "__pid"], "left")
-    out = out.withColumn(name, F.col(name) + F.coalesce(F.col("__shift"), F.lit(0)))
+    )
+    # without keys there is one row per partition; with keys one per group, which AQE broadcasts when it is small
+    out = null_safe_join(local, shifts if keys else F.broadcast(shifts), [*keys, "__pid"], "inner")
+    out = out.withColumn(name, F.col("__ix") + F.col("__shift"))
     for i, label in enumerate(running):
         out = out.withColumn(label, F.col(label) + F.coalesce(F.col(f"__shift{i}"), F.lit(0)))
     return out.drop("__pid", "__ix", "__shift", *[f"__shift{i}" for i in range(len(running))],
