@@ -16,7 +16,7 @@ SPACE = "▁"
 #: Word segments that a task remembers with their ids; beyond that it forgets all and starts anew.
 CACHE_WORDS = 300_000
 #: Characters whose segments are held at a time.
-_PORTION = 2_000_000
+_PORTION = 500_000
 #: Symbols from which a word whose merges meet is finished by a queue.
 _QUEUED = 64
 _NO_RANK = np.int64(2**40)
@@ -244,23 +244,15 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, with the begin and end ids."""
-        out: list[bytes] = []
         begin, end = (int(i).to_bytes(4, "little") for i in (self.begin, self.end))
-        at = 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= _PORTION):
-                size, to = size + len(texts[to]), to + 1
-            cut = [_segments(t) for t in texts[at:to]]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            missing = list(set().union(*cut).difference(self.cache)) if cut else []
-            if missing:
-                self.cache.update(zip(missing, self.encode_words(missing)))
-            get = self.cache.__getitem__
-            out += [begin + b"".join(map(get, words)) + end for words in cut]
-            at = to
-        return out
+        cut = [_segments(t) for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        missing = list(set().union(*cut).difference(self.cache))
+        if missing:
+            self.cache.update(zip(missing, self.encode_words(missing)))
+        get = self.cache.__getitem__
+        return [begin + b"".join(map(get, words)) + end for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids as the library gives it; ids outside the vocabulary are refused."""
@@ -328,6 +320,20 @@ def _shared(df: DataFrame, model_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _portions(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts of a batch, null as empty, in lists of a bounded number of characters (or one longer text)."""
+    held, size = [], 0
+    for text in texts:
+        text = text or ""
+        if held and size + len(text) > _PORTION:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """`df` with the token ids of each whole text, as binary: little-endian unsigned 32-bit integers.
 
@@ -341,7 +347,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text", out: str = "ids")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _model(shared)
         for batch in batches:
-            yield pd.Series(model.encode([t or "" for t in batch]), dtype=object)
+            for texts in _portions(batch):
+                yield pd.Series(model.encode(texts), dtype=object)
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -359,6 +366,21 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded
     return df.withColumn(out, text(F.col(ids)))
 
 
+def encode_decode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`df` with the ids of each text and the text decoded from them, in one pass: `encode` and `decode` in one worker."""
+    shared = _shared(df, model_path)
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = _model(shared)
+        for batch in batches:
+            for texts in _portions(batch):
+                found = model.encode(texts)
+                yield pd.DataFrame({"ids": found, "decoded": [model.decode(np.frombuffer(x, "<u4")) for x in found]})
+
+    return df.withColumn("__both", both(F.col(text))).withColumn(ids, F.col("__both.ids")).withColumn(decoded, F.col("__both.decoded")).drop("__both")
+
+
 def n_tokens(ids: str = "ids"):
     """Number of ids in a binary column."""
     return (F.octet_length(ids) / 4).cast("long")

@@ -62,7 +62,7 @@ FROM w JOIN reps USING (text) JOIN class ON node = rep LEFT JOIN degree ON x = r
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     path = piece_model_path()
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    done = pieces.decode(pieces.encode(docs, path), path)
+    done = pieces.encode_decode(docs, path)
     return done.select("doc_id", pieces.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
