@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelytics.llm import ngram_jaccard, pieces, toxicity
+from parcelytics.llm import embed_dedup, hilbert, mixing, ngram_jaccard, pieces, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,78 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.toxicity(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    slim = docs.select(
+        "doc_id", "source", "lang", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
+    )
+    cells = [hilbert.by_name(F.col("source")), hilbert.by_name(F.col("lang")), hilbert.by_size(F.col("size"))]
+    # rows of one place follow their id; the other columns only order rows that have no id or share one
+    out = hilbert.curve_shards(slim, cells, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
+@query
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["rank"] < len(secrets.BASE))
+    counts = [secrets.count_of(F.col("secrets"), k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
+@query
+def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.with_copies(_table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
+
+
+# The level at which the shares stop rising: sources in order of cap per weight, the first k at their caps.
+ORACLES["op6_source_mix"] = r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s GROUP BY source
+), ordered AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+    sum(3.0::DOUBLE * source_size) OVER w AS capped, sum(weight) OVER w AS used, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights
+  FROM per WINDOW w AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), levels AS (
+  SELECT CAST(any_value(total) AS DOUBLE) / CAST(any_value(weights) AS DOUBLE) AS level FROM ordered
+  UNION ALL SELECT (CAST(total AS DOUBLE) - capped) / CAST(weights - used AS DOUBLE) FROM ordered WHERE weights > used
+), top AS (SELECT max(level) AS level FROM levels
+), t AS (
+  SELECT source, source_size, least(weight * level, cap) AS target, CASE WHEN source_size > 0 THEN least(weight * level, cap) / source_size ELSE 0.0 END AS rate
+  FROM ordered CROSS JOIN top
+), c AS (
+  SELECT doc_id, size, source_size, target, s.source,
+    CAST(floor(rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies FROM c
+"""
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.cosine_links(_table(spark, folder, "embeddings"))
+
+
+ORACLES["op8_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0 AS good
+  FROM embeddings
+), link AS (
+  SELECT a.rid AS x, b.rid AS y FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND a.good AND b.good
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93
+), reach AS (SELECT rid AS node, rid AS other FROM v UNION SELECT l.y, r.other FROM reach r JOIN link l ON l.x = r.node
+), c AS (SELECT node, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = other GROUP BY node
+), n AS (SELECT x, count(*) AS k FROM link GROUP BY x)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON node = rid LEFT JOIN n ON x = rid
+"""

@@ -2,80 +2,135 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Kinds in their order, their patterns (Java syntax), the group that is measured and its least length.
-ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
-#: Candidates of the entropy scan: runs of these characters, of the least length, with a letter and a digit.
-CANDIDATE, LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
-#: Characters in a window, and bits of entropy that a window of each class of characters must reach.
-WINDOW, HEX_BITS, ALPHANUMERIC_BITS, BASE64_BITS = 20, 3.0, 3.7, 3.9
+# Kinds in their order, their patterns (Java syntax), the group that is measured and its least length. A run
+# of hex digits is taken whole, so looking for long runs that no digit precedes finds the same as dropping short ones.
+BASE = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
+)
+#: Candidates of the entropy scan: whole runs of these characters of the least length, with a letter and a digit.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Characters in a window, and bits of entropy that some window of a candidate must reach, by its class of characters.
+WINDOW = 20
+CLASSES = (("hexadecimal", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0), ("alphanumeric", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9))
 #: Candidates that hold one of these, in either case, are not reported by their entropy.
 ALLOWED = ("example", "sample", "dummy", "placeholder", "changeme", "xxxx", "0123456789", "abcdefghij", "license", "http")
-#: Candidates that match this as a whole are not reported either: identifiers that are public by design.
-ALLOWED_SHAPE = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|sha(?:256|512)-[A-Za-z0-9+/=]+)$"
+#: Nor are candidates of this shape: identifiers that are public by design (UUID, digest of a public file).
+ALLOWED_SHAPE = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|sha(?:256|384|512)-[A-Za-z0-9+/=]+)$"
 MARK = "[SECRET]"
-_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,body:string>>"
-_FIRST, _LAST = 43, 122  # the candidates' characters lie between '+' and 'z'
+_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,body:string>>"
+_FIRST, _LAST = 43, 122  # a candidate's characters lie between '+' and 'z'
 
 
-def spans_of(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Matches of `pattern`, leftmost and non-overlapping, whose `group` has `least` characters: an array of spans.
+def matches(text: Column, kind: str, rank: int, pattern: str, group: int = 0, least: int = 1) -> Column:
+    """Matches of `pattern`, leftmost and non-overlapping, whose `group` has `least` characters, as an array of spans.
 
-    Start and end count code points, end exclusive. The parts between the matches and the matches themselves add up to
-    the text, which gives the places without a search of its own.
+    Start and end count code points, end exclusive. The parts between the matches and the matches themselves make up the
+    text, so their lengths give the places.
     """
     lit = F.lit(pattern)
     whole = F.regexp_extract_all(text, lit, F.lit(0))
-    gaps = F.split(text, pattern, -1)
     measured = whole if group == 0 else F.regexp_extract_all(text, lit, F.lit(group))
-    parts = F.arrays_zip(whole.alias("m"), F.transform(F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(1))), lambda g: F.length(g)).alias("g"), measured.alias("b"))
-    empty = F.from_json(F.lit("[]"), _SPAN)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    parts = F.zip_with(
+        F.zip_with(whole, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))), measured,
+        lambda p, b: F.struct(p["m"].alias("m"), p["g"].alias("g"), F.length(b).alias("n")),
+    )
+    none = F.array().cast(_SPANS)
 
     def step(acc: Column, part: Column) -> Column:
         begin = acc["at"] + part["g"]
         end = begin + F.length(part["m"])
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), part["m"].alias("body"))
-        keep = F.length(part["b"]) >= least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(part["n"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, lit), found).otherwise(empty)
+    parts = F.filter(parts, lambda p: p["m"].isNotNull())  # the part behind the last match
+    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(F.regexp_like(text, lit), found).otherwise(none)
 
 
 def window_entropy(body: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy, in bits, of the windows of `window` characters of a candidate; 0 for a shorter one.
 
-    Counts per character move with the window: a step adds one to the character that comes in and takes one from that
-    which goes out, and the sum of c * log2(c) changes by those two characters alone.
+    Counts per character move with the window: a step adds one for the character that comes in and takes one from that
+    which goes out, and the sum of c * log2(c) changes by those two alone.
     """
     codes = F.transform(F.split(body, ""), lambda c: F.ascii(c) - _FIRST)
-    none = F.array_repeat(F.lit(0), _LAST - _FIRST + 1)
-    start = F.struct(none.alias("counts"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("least"))
+    late = F.slice(F.concat(F.array_repeat(F.lit(-1), window), codes), F.lit(1), F.size(codes))
+    steps = F.zip_with(codes, late, lambda i, o: F.struct(i.alias("i"), o.alias("o")))
 
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def change(counts: Column, code: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, i: F.when(i == code, c + by).otherwise(c))
-
     def step(acc: Column, at: Column) -> Column:
-        incoming = F.get(codes_of(at), at["i"])
-        outgoing = F.get(codes_of(at), at["i"] - window)
-        before = F.get(acc["counts"], incoming)
-        grown = F.struct(change(acc["counts"], incoming, 1).alias("counts"), (acc["s"] - term(before) + term(before + 1)).alias("s"))
-        slid = F.when(at["i"] < window, grown).otherwise(_dropped(grown, outgoing, term, change))
-        least = F.when(at["i"] >= window - 1, F.least(acc["least"], slid["s"])).otherwise(acc["least"])
-        return F.struct(slid["counts"].alias("counts"), slid["s"].alias("s"), least.alias("least"))
+        counts = F.transform(acc["counts"], lambda c, k: c + (k == at["i"]).cast("int") - (k == at["o"]).cast("int"))
+        comes, goes = F.get(acc["counts"], at["i"]), F.get(acc["counts"], at["o"])
+        s = acc["s"] + F.when(at["i"] == at["o"], F.lit(0.0)).otherwise(
+            term(comes + 1) - term(comes) + F.when(at["o"] < 0, F.lit(0.0)).otherwise(term(goes - 1) - term(goes))
+        )
+        full = acc["n"] + 1 >= window
+        return F.struct(counts.alias("counts"), s.alias("s"), (acc["n"] + 1).alias("n"), F.when(full, F.least(acc["low"], s)).otherwise(acc["low"]).alias("low"))
 
-    def codes_of(at: Column) -> Column:
-        return at["codes"]
+    none = F.array_repeat(F.lit(0), _LAST - _FIRST + 1)
+    start = F.struct(none.alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(float("inf")).alias("low"))
+    least = F.aggregate(steps, start, step, lambda acc: acc["low"])
+    return F.when(F.length(body) < window, F.lit(0.0)).otherwise(F.lit(math.log2(window)) - least / window)
 
-    places = F.transform(codes, lambda c, i: F.struct(i.alias("i"), codes.alias("codes")))
-    least = F.aggregate(places, start, step, lambda acc: acc["least"])
-    import math
 
-    return F.when(F.length(body) < window, F.lit(0.0)).otherwise(F.lit(math.log2(window)) - least / window)
+def _needed(body: Column) -> Column:
+    out = F.lit(float("inf"))
+    for _, pattern, bits in reversed(CLASSES):
+        out = F.when(F.regexp_like(body, F.lit(pattern)), F.lit(bits)).otherwise(out)
+    return out
+
+
+def _suspicious(body: Column) -> Column:
+    plain = F.lower(body)
+    allowed = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in ALLOWED]) | F.regexp_like(body, F.lit(ALLOWED_SHAPE))
+    both = F.regexp_like(body, F.lit("[0-9]")) & F.regexp_like(body, F.lit("[A-Za-z]"))
+    return both & ~allowed & (window_entropy(body) >= _needed(body))
+
+
+def spans(text: Column) -> Column:
+    """All secrets of a text by start, then kind: the fixed patterns, and candidates with a window of high entropy.
+
+    Each is (start, rank, end, kind, body), in code points with an exclusive end. Null and empty texts have none; a very
+    long text or candidate is read whole.
+    """
+    text = F.coalesce(text, F.lit(""))
+    found = [matches(text, kind, rank, pattern, group, least) for rank, (kind, pattern, group, least) in enumerate(BASE)]
+    high = F.filter(matches(text, "entropy", len(BASE), CANDIDATE), lambda s: _suspicious(s["body"]))
+    return F.array_sort(F.concat(*found, high))
+
+
+def scan(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
+    """`df` with its secrets; other columns stay, a column called like `out` is replaced, an empty table gives no rows."""
+    return df.withColumn(out, spans(F.col(text)))
+
+
+def listed(found: Column) -> Column:
+    """Spans as kind:start:end, joined by commas; the empty text for none."""
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_of(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind))
+
+
+def redact(text: Column, found: Column, mark: str = MARK) -> Column:
+    """The text with every secret replaced by `mark`; secrets that overlap become one mark. Null stays null."""
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, done).otherwise(text)
