@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelytics.llm import embed_dedup, hilbert, mixing, ngram_jaccard, pieces, secrets, toxicity
+from parcelytics.llm import embed_dedup, hilbert, media, mixing, ngram_jaccard, pieces, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,13 @@ WITH RECURSIVE v AS (
 ), n AS (SELECT x, count(*) AS k FROM link GROUP BY x)
 SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON node = rid LEFT JOIN n ON x = rid
 """
+
+
+@query
+def op5_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    kept = media.stored_texts(_table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).cast("long").alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"),
+    )
