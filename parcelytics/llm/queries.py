@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelytics.llm import embed_dedup, hilbert, media, mixing, ngram_jaccard, pieces, secrets, toxicity
+from parcelytics.llm import embed_dedup, hilbert, html_blocks, licenses, media, mixing, ngram_jaccard, pieces, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,21 @@ def op5_media_columns(spark: SparkSession, folder: str) -> DataFrame:
         F.crc32(F.substring("payload", -64, 64)).cast("long").alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"),
     )
+
+
+@query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
+    shown = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"), F.format_number(x["dice"], 4)))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_passages"), F.array_join(names, ",").alias("licenses"),
+        F.array_max(F.transform("licenses", lambda x: x["dice"])).alias("best_dice"), F.array_join(shown, ",").alias("passages"),
+    )
+
+
+@query
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url", "html")
+    out = html_blocks.main_text(pages, html_blocks.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
