@@ -208,9 +208,9 @@ def text_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     `links` rows are (text_key, links, root): how many rows (copies counted) of other texts a task found linked to the
     text, and the smallest text the task could reach from it. A text's links add up over its rows.
 
-    Plan: MinHash bands give buckets. A text's home is the largest of its buckets; two homes are compared when some
-    bucket holds texts of both, so each pair of texts meets in one task at most, however many bands it shares. Homes are
-    cut into blocks, and no pair is ever a row: a group of near copies costs rows in proportion to its size times its
+    Plan: MinHash bands give buckets. A text's home is the largest of its buckets, or a larger home beside it; two homes
+    are compared when some bucket holds texts of both, so each pair of texts meets in one task at most, however many
+    bands it shares. Homes are cut into blocks, and no pair is ever a row: a group of near copies costs rows in proportion to its size times its
     number of blocks.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -227,7 +227,13 @@ def text_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     )
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = freeze(banded.join(full, "bucket"))
-    home = crowded.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("h")).select("node", F.col("h.bucket").alias("home"))
+    home = freeze(crowded.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("h")).select("node", F.col("h.bucket").alias("home")))
+    # a home joins the largest home that shares a bucket with it, so a group of near copies isn't scattered over many homes
+    size = home.groupBy("home").agg(F.count("*").alias("size"))
+    near = crowded.select("bucket", "node").join(home, "node").select("bucket", "home").distinct().join(size, "home")
+    leader = near.groupBy("bucket").agg(F.max(F.struct("size", "home")).alias("top"))
+    leader = near.join(leader, "bucket").groupBy("home").agg(F.max("top").alias("top")).select("home", F.col("top.home").alias("cell"))
+    home = home.join(leader, "home").select("node", F.col("cell").alias("home"))
     blocks = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     homes = freeze(home.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
     # pairs of homes that some bucket joins
@@ -257,7 +263,8 @@ def text_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     wanted = distinct.select("text_key", "copies", F.xxhash64("text_key").alias("node")).join(homes.select("node", "home", "block"), "node")
     wanted = freeze(wanted.select("text_key", "copies", "home", "block"))
     texts = (
-        slim.select(F.unhex(F.md5("text")).alias("text_key"), "text").join(wanted.select("text_key"), "text_key")
+        # the candidates grow with the table, so they are merged in and never broadcast
+        slim.select(F.unhex(F.md5("text")).alias("text_key"), "text").join(wanted.select("text_key").hint("merge"), "text_key")
         .groupBy("text_key").agg(F.first("text").alias("text"))
     )
     detail = freeze(texts.mapInPandas(_detailed(words), "text_key binary, sig binary, shingles binary"))
