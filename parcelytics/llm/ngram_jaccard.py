@@ -284,6 +284,17 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     doc_id is null takes part, and a class of such rows alone has a null class_id and keeps all of its rows. An empty
     table gives no rows; other columns are ignored.
     """
+    members, texts = _classes(docs, doc_id, text, words, threshold)
+    own = F.col("blank")
+    return members.join(texts, "text_key").select(
+        "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        (own | F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull())).alias("kept"),
+    )
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members, texts): doc_id, text_key and blank of every row; class_id and n_links of every text."""
     members, links = text_links(docs, doc_id, text, words, threshold)
     groups = members.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     linked = links.groupBy("text_key").agg(F.sum("links").alias("links"))
@@ -292,10 +303,21 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         "text_key", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "text_key").alias("root"),
     ))
     classes = texts.groupBy("root").agg(F.min("least").alias("class_id"))
-    texts = texts.join(classes, "root").select("text_key", "class_id", "n_links")
-    own = F.col("blank")
-    return members.join(texts, "text_key").select(
-        "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-        (own | F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull())).alias("kept"),
-    )
+    return members, texts.join(classes, "root").select("text_key", "class_id", "n_links")
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that near-duplicate removal keeps, with their columns.
+
+    Of every class the document with the smallest id stays, once where its row repeats; texts without words all stay; a
+    class without any id keeps each of its texts once.
+    """
+    members, texts = _classes(docs, doc_id, text, words, threshold)
+    # texts that have no row here are all dropped, so a join by key alone decides
+    keep = members.join(texts, "text_key").filter(~F.col("blank") & F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()))
+    keep = keep.select(F.col("text_key").alias("__key"), F.col("class_id").alias("__class")).distinct()
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.withColumn("__key", F.unhex(F.md5(body)))
+    blank = docs.filter(~F.regexp_like(body, F.lit(r"[^\x20\x09-\x0D]")))
+    first = keyed.join(keep.hint("merge"), "__key").filter(F.col("__class").isNull() | (F.col(doc_id) == F.col("__class")))
+    return first.dropDuplicates(["__key", doc_id]).select(*docs.columns).unionByName(blank)
