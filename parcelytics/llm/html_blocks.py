@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Pages (those with the smallest hash) a labeller is fitted on at most, blocks of each that it reads, passes and seed.
 TRAINING_PAGES, TRAINING_BLOCKS, PASSES, SEED = 300, 50, 20, 5
+#: Random frames that training reads at least, whatever the number of pages, and two of each page.
+FRAMES = 600
 #: Sizes of the path vector, the word vector and the recurrent state of a direction.
 PATH, WORDS, EXTRA, STATE = 96, 24, 7, 16
 INPUT = PATH + WORDS + EXTRA
@@ -344,8 +346,8 @@ def reframed(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block]
 def fit(pages: DataFrame, html: str = "html", most: int = TRAINING_PAGES, seed: int = SEED) -> Labeller:
     """A labeller from at most `most` different pages, those whose hash is smallest.
 
-    Each page is read as it stands, labelled by the names around its blocks, and again in two random frames whose labels
-    are known. Pages without such names still train through their frames. An empty table gives the labeller of the
+    Each page is read as it stands, labelled by the names around its blocks, and again in random frames whose labels are
+    known: two for each page, more where pages are few. Pages without such names still train through their frames. An empty table gives the labeller of the
     frames of a made-up page.
     """
     chosen = pages.filter(F.col(html).isNotNull()).select(F.md5(html).alias("k"), F.col(html).alias("html")).distinct().orderBy("k").limit(most).collect()
@@ -357,7 +359,7 @@ def fit(pages: DataFrame, html: str = "html", most: int = TRAINING_PAGES, seed:
             continue
         if any(map(teacher, blocks)):
             data.append((vectors(blocks)[:TRAINING_BLOCKS], np.array([teacher(b) for b in blocks], np.float32)[:TRAINING_BLOCKS]))
-        for _ in range(2):
+        for _ in range(max(2, -(-FRAMES // max(len(chosen), 1)))):
             own, marks = reframed(blocks[:TRAINING_BLOCKS], rng)
             data.append((vectors(own)[: 2 * TRAINING_BLOCKS], np.array(marks, np.float32)[: 2 * TRAINING_BLOCKS]))
     return Labeller(seed).fit(data)
