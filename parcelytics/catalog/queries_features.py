@@ -92,14 +92,33 @@ def _(t):
     return out.select("feature", "nulls", "distinct", r("min", 4), r("max", 4), "verdict")
 
 
-@query("H9_resolve_collinear", f"""
-WITH {UNIT}, p AS (SELECT 'size' AS a, 'total' AS b, corr(size, total) AS r FROM u UNION ALL SELECT 'price', 'total', corr(price, total) FROM u UNION ALL SELECT 'price', 'size', corr(price, size) FROM u),
-s AS (SELECT *, row_number() OVER (ORDER BY abs(r) DESC) AS rn FROM p WHERE abs(r) > 0.05)
-SELECT CASE WHEN a < b THEN a ELSE b END AS first, CASE WHEN a < b THEN b ELSE a END AS second, round(r, 6) AS r FROM s WHERE rn = 1""")
+PREFER = ["tax", "total", "size", "price", "disc"]
+
+
+def h9_sql():
+    """Pairs by strength; each drops its less preferred column unless one of them is gone; size and tax stand already."""
+    names = ["disc", "price", "size", "tax", "total"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    each = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM u" for a, b in pairs)
+    place = lambda c: f"list_position({PREFER!r}, {c})"
+    loser = f"""CASE WHEN (a IN ('size', 'tax')) <> (b IN ('size', 'tax')) THEN CASE WHEN a IN ('size', 'tax') THEN b ELSE a END
+      WHEN {place('a')} <= {place('b')} THEN b ELSE a END"""
+    return f"""
+WITH RECURSIVE {UNIT}, p AS ({each}), s AS (SELECT a, b, r, row_number() OVER (ORDER BY abs(r) DESC, a, b) AS rn FROM p WHERE abs(r) > 0.005),
+c AS (SELECT *, CASE WHEN a IN ('size', 'tax') AND b IN ('size', 'tax') OR a = 'disc' AND b = 'price' THEN NULL ELSE {loser} END AS out FROM s),
+w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS gone, false AS taken
+  UNION ALL SELECT c.rn, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) OR out IS NULL THEN gone ELSE list_append(gone, out) END, NOT (list_contains(gone, a) OR list_contains(gone, b))
+  FROM w JOIN c ON c.rn = w.rn + 1)
+SELECT a AS first, b AS second, round(r, 6) AS r, CASE WHEN out IS NULL THEN 'flagged' ELSE 'dropped' END AS action, out AS loser FROM c JOIN w ON c.rn = w.rn WHERE taken"""
+
+
+@query("H9_resolve_collinear", h9_sql())
 def _(t):
-    pairs = aggregates.corr_matrix(unit_table(t), ["price", "size", "total"])
-    out = ft.resolve_collinear(pairs, ["price", "size", "total"], ["total", "size", "price"], r_max=0.05)
-    return out.orderBy(F.abs("r").desc()).limit(1).select(F.col("a").alias("first"), F.col("b").alias("second"), r("r"))
+    names = ["disc", "price", "size", "tax", "total"]
+    pairs = aggregates.corr_matrix(unit_table(t), names)
+    out = ft.resolve_collinear(pairs, names, PREFER, existing=["size", "tax"], flag_only=[("disc", "price")], r_max=0.005)
+    swap = F.col("a") < F.col("b")
+    return out.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("second"), r("r"), "action", "loser")
 
 
 @query("H10_physical_consistency", f"""

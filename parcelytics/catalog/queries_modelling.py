@@ -8,7 +8,8 @@ from parcelytics.operators import aggregates, features as ft
 from parcelytics.operators import modelling as ml
 
 FEATURES = ["land_size", "discount", "tax", "Land_type_A_F", "Land_type_N_O"]
-ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "total_price", "discount", "tax"]
+ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+IS_TEST = "CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, '42')), 1, 12) AS BIGINT) % 1000000 < 200000"
 
 
 def training(t):
@@ -24,27 +25,35 @@ def scored(t):
     return t.listings.withColumn("y", F.log("unit_price")).withColumn("p", 7.2 + F.col("discount") * 3 - F.col("land_size") / 500)
 
 
-@query("M1_random_split")
+@query("M1_random_split", f"SELECT *, {IS_TEST} AS is_test FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM listings)")
 def _(t):
-    return ml.random_split(t.listings, ROW, 0.2, 42).groupBy("is_test").agg(F.count("*").alias("n"))
+    return ml.random_split(t.listings, ROW, 0.2, 42).select(*ROW, "is_test")
 
 
-@query("M2_source_aware_split")
+@query("M2_source_aware_split", f"SELECT land_type, {IS_TEST} AND coalesce(land_type <> 'R_F', true) AS is_test, count(*) AS n FROM listings GROUP BY ALL")
 def _(t):
     out = ml.source_aware_split(t.listings, ROW, F.col("land_type") == "R_F", 0.2, 42)
     return out.groupBy("land_type", "is_test").agg(F.count("*").alias("n"))
 
 
-@query("M3_group_folds")
+def folds_sql(tie):
+    """The greedy walk itself: largest group first, each to the first of the lightest folds."""
+    return f"""
+WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, {tie}) AS rn FROM g),
+w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS BIGINT) AS n, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads, 0 AS fold
+  UNION ALL SELECT o.rn, o.o_custkey, o.n, [CASE WHEN i = list_position(loads, list_min(loads)) THEN loads[i] + o.n ELSE loads[i] END FOR i IN range(1, 6)], CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER)
+  FROM w JOIN o ON o.rn = w.rn + 1)
+SELECT o_custkey, n, fold FROM w WHERE rn > 0"""
+
+
+@query("M3_group_folds", folds_sql("o_custkey"))
 def _(t):
-    folds = ml.group_folds(t.orders, "o_custkey", 5)
-    return folds.groupBy("fold").agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+    return ml.group_folds(t.orders, "o_custkey", 5)
 
 
-@query("M4_shuffled_group_folds")
+@query("M4_shuffled_group_folds", folds_sql("CAST('0x' || substr(md5(concat_ws('|', o_custkey, '7')), 1, 12) AS BIGINT), o_custkey"))
 def _(t):
-    folds = ml.shuffled_group_folds(t.orders, "o_custkey", 5, 7)
-    return folds.groupBy("fold").agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+    return ml.shuffled_group_folds(t.orders, "o_custkey", 5, 7)
 
 
 @query("M5_fit_regressor")

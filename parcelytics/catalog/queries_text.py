@@ -120,14 +120,14 @@ def _(t):
 
 
 @query("A10_union_sources_with_failures", """
-WITH s AS (SELECT p_brand AS source, p_name FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')),
+WITH s AS (SELECT p_brand AS source, p_name FROM part),
 k AS (SELECT p_name, min(source) AS source FROM s GROUP BY 1)
-SELECT e.source, coalesce(f.n, 0) AS fetched, coalesce(g.n, 0) AS kept, f.n IS NULL AS unavailable FROM (SELECT unnest(['Brand#1', 'Brand#2', 'Brand#3', 'Brand#99']) AS source) e
+SELECT e.source, coalesce(f.n, 0) AS fetched, coalesce(g.n, 0) AS kept, f.n IS NULL AS unavailable FROM (SELECT DISTINCT source FROM s UNION SELECT 'Brand#99') e
 LEFT JOIN (SELECT source, count(*) AS n FROM s GROUP BY 1) f ON e.source = f.source LEFT JOIN (SELECT source, count(*) AS n FROM k GROUP BY 1) g ON e.source = g.source""")
 def _(t):
-    brands = ["Brand#1", "Brand#2", "Brand#3"]
-    sources = {b: t.part.filter(F.col("p_brand") == b).select("p_name") for b in brands}
-    return readers.union_sources(sources, [*brands, "Brand#99"], ["p_name"])[1]
+    rows = t.part.select(F.col("p_brand").alias("source"), "p_name")
+    brands = [x["source"] for x in rows.select("source").distinct().collect()]
+    return readers.union_by_source(rows, [*brands, "Brand#99"], ["p_name"])[1]
 
 
 def b1_names(t):

@@ -25,11 +25,11 @@ def collapse_spaces(col: Column) -> Column:
     return F.btrim(F.regexp_replace(col, r"\s+", " "))
 
 
-def reduce_name(name: Column, protected: Sequence[str] = fv.PROTECTED_NAMES, depth: int = 6) -> Column:
+def reduce_name(name: Column, protected: Sequence[str] = fv.PROTECTED_NAMES) -> Column:
     """Struct(base, qualifiers): strip letter, town, cardinal and prefix qualifiers until none applies.
 
-    Each round takes the first pattern that matches; `qualifiers` lists what was stripped, in order. `settled`
-    is false if another round would still strip something.
+    Each round takes the first pattern that matches; `qualifiers` lists what was stripped, in order. A round removes one
+    part of the name at least, so as many rounds as it has parts reach the end; `settled` says that the last changed nothing.
     """
     patterns = [(fv.LETTER_SUFFIX, 1, 2), (fv.TOWN_SUFFIX, 1, 2), (fv.CARDINAL_SUFFIX, 1, 2), (fv.SIZE_PREFIX, 2, 1)]
 
@@ -57,7 +57,12 @@ def reduce_name(name: Column, protected: Sequence[str] = fv.PROTECTED_NAMES, dep
             done.alias("settled"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth + 1)), start, step)
+    return F.aggregate(F.sequence(F.lit(1), _parts(name) + 1), start, step)
+
+
+def _parts(name: Column) -> Column:
+    """Number of parts between blanks and hyphens, at least 1."""
+    return F.coalesce(F.size(F.split(name, r"[\s\-]+")), F.lit(1))
 
 
 def sound_key(token: Column) -> Column:
@@ -88,9 +93,12 @@ def script_base(
     name: Column,
     suffixes: Sequence[str] = fv.SCRIPT_SUFFIXES,
     prefixes: Sequence[str] = fv.SCRIPT_PREFIXES,
-    rounds: int = 6,
 ) -> Column:
-    """Strip qualifier words (also when the last letter was truncated) from non-Latin names, to a fixpoint."""
+    """Strip qualifier words (also when the last letter was truncated) from non-Latin names, to a fixpoint.
+
+    A round that changes a name removes a character of it at least, and a word wherever words are parted by one blank;
+    rounds in the number of blank-parted parts, plus the suffixes that stand without a blank, reach the end.
+    """
     forms = [w for q in suffixes for w in (q, q[:-1]) if len(w) >= 2]
 
     def strip_suffix(s: Column) -> Column:
@@ -109,7 +117,7 @@ def script_base(
     def step(acc: Column, _: Column) -> Column:
         return F.aggregate(F.array(strip_suffix(acc)), F.lit(""), lambda _a, x: strip_prefixes(x))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), name, step)
+    return F.aggregate(F.sequence(F.lit(1), _parts(name) + F.coalesce(F.length(name), F.lit(0))), name, step)
 
 
 def norm_key(col: Column) -> Column:

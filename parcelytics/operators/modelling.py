@@ -25,9 +25,15 @@ BUCKETS = 1_000_000
 
 
 # --------------------------------------------------------------------------- splits and folds
+def seeded_number(keys: Sequence[str], seed: int) -> Column:
+    """A number below 2^48 from the md5 of the keys and the seed, which any engine with md5 can repeat."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 12), 16, 10).cast("long")
+
+
 def random_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int, name: str = "is_test") -> DataFrame:
     """Mark test rows by a hash of the key and the seed: independent of partitioning and stable over re-runs."""
-    bucket = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(BUCKETS))
+    bucket = seeded_number(keys, seed) % BUCKETS
     return df.withColumn(name, bucket < int(round(test_share * BUCKETS)))
 
 
@@ -81,7 +87,7 @@ def group_folds(df: DataFrame, group: str, k: int, tie: Column | None = None, na
 
 def shuffled_group_folds(df: DataFrame, group: str, k: int, seed: int, name: str = "fold") -> DataFrame:
     """As `group_folds`, with equal sizes walked in a seeded random order."""
-    return group_folds(df, group, k, F.xxhash64(F.col(group), F.lit(seed)), name)
+    return group_folds(df, group, k, seeded_number([group], seed), name)
 
 
 # --------------------------------------------------------------------------- training

@@ -136,16 +136,16 @@ def duplicate_pin_audit(units: DataFrame, order: str, name: str, metres: float =
     )
 
 
-def claim_pins(units: DataFrame, order: str, name: str, metres: float = fv.DUPLICATE_PIN_M, max_rounds: int = 200) -> DataFrame:
+def claim_pins(units: DataFrame, order: str, name: str, metres: float = fv.DUPLICATE_PIN_M) -> DataFrame:
     """Greedy claiming in order: a blocked unit does not claim its pin, so it cannot block a later one.
 
     Solved in rounds instead of one sequential task: a unit is decided once the earliest unblocked unit near it is
-    decided. Every round decides at least the earliest open unit of each neighbourhood; copies of one pin are settled
-    together.
+    decided. Every round decides at least the earliest open unit of each neighbourhood, so the rounds end, after the
+    length of the longest chain of open units at most; copies of one pin are settled together.
     """
     pairs = freeze(earliest_neighbours(units, order, metres))
     state = freeze(units.select(F.col(order).alias("o"), F.col(name).alias("nm"), "lat", "lon", F.lit(None).cast("string").alias("verdict")))
-    for _ in range(max_rounds):
+    while True:
         live = state.filter("verdict IS NULL OR verdict <> 'blocked'")
         first = live.groupBy(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).agg(
             F.min(F.struct("o", "nm", F.col("verdict").isNotNull().alias("done"))).alias("owner"))
@@ -159,8 +159,6 @@ def claim_pins(units: DataFrame, order: str, name: str, metres: float = fv.DUPLI
         state = freeze(joined.select("o", "nm", "lat", "lon", decision.alias("verdict")))
         if state.filter("verdict IS NULL").isEmpty():
             break
-    else:
-        raise RuntimeError(f"pins not settled after {max_rounds} rounds")
     return units.join(state.select(F.col("o").alias(order), "verdict"), order)
 
 

@@ -13,6 +13,7 @@ from parcelytics import fixed_values as fv
 from parcelytics.functions import geo
 from parcelytics.operators import ordering, serving
 from parcelytics.plans.scale import exact_quantiles, is_small, keep_last, maybe_broadcast, with_positions
+from parcelytics.session import freeze
 
 ACTIVE = ("active", "trialing")
 
@@ -22,7 +23,8 @@ def rolling_quota(history: DataFrame, user: str, event: str, ts: str, days: int,
 
     A small history uses a range window. Otherwise each event adds a marker where its period starts and one where it
     ends; running counts of events over the time-ordered mix, taken at the markers, give the same number while a
-    heavy user's rows are spread over many tasks.
+    heavy user's rows are spread over many tasks. Rows are told apart by their place in a frozen copy, so an event id may
+    repeat or be NULL; rows without a time count each other, as in the range window.
     """
     span = F.expr(f"interval {days} days")
     if is_small(history, one_task_bytes):
@@ -32,10 +34,11 @@ def rolling_quota(history: DataFrame, user: str, event: str, ts: str, days: int,
         marks = F.explode(F.array(
             F.struct((F.col(ts) - span).alias("at"), F.lit(0).alias("kind")), F.struct(F.col(ts).alias("at"), F.lit(1).alias("kind")),
             F.struct(F.col(ts).alias("at"), F.lit(2).alias("kind")))).alias("m")
-        mixed = history.select(user, event, marks).select(user, event, "m.at", "m.kind")
-        ran = with_positions(mixed, [user], [F.col("at"), F.col("kind"), F.col(event)], "__rn", {"__run": (F.col("kind") == 1).cast("long")}, one_task_bytes)
+        placed = freeze(history.withColumn("__row", F.monotonically_increasing_id()))
+        mixed = placed.select(user, "__row", marks).select(user, "__row", "m.at", "m.kind")
+        ran = with_positions(mixed, [user], [F.col("at"), F.col("kind"), F.col("__row")], "__rn", {"__run": (F.col("kind") == 1).cast("long")}, one_task_bytes)
         sign = F.when(F.col("kind") == 2, F.col("__run")).when(F.col("kind") == 0, -F.col("__run")).otherwise(0)
-        counted = history.join(ran.groupBy(event).agg(F.sum(sign).alias("used")), event)
+        counted = placed.join(ran.groupBy("__row").agg(F.sum(sign).alias("used")), "__row").drop("__row")
     return counted.withColumn("remaining", F.greatest(F.lit(limit) - F.col("used"), F.lit(0))).withColumn("blocked", F.col("used") >= limit)
 
 

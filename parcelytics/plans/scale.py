@@ -135,14 +135,16 @@ def exact_quantiles(
 
     A small input uses the built-in `percentile`. Otherwise a bounded sketch brackets every wanted rank, and only
     the values inside the brackets (about 6/QUANTILE_ACCURACY of a group) are counted and ordered; the rest are
-    merely counted. The result is exact in both plans. `also` adds plain aggregates of the same groups.
+    merely counted. The result is exact in both plans: NaN counts as missing, a group without values has NULL quantiles.
+    `also` adds plain aggregates of the same groups.
     """
-    data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    data = df.select(*keys, number.alias("__v"))
     if one_task_bytes is None and not keys:
         one_task_bytes = GLOBAL_QUANTILE_BYTES
     if is_small(df, one_task_bytes):
         return df.groupBy(*keys).agg(
-            *also, *[F.percentile(F.col(value).cast("double"), F.lit(float(p))).alias(n) for n, p in quantiles.items()]
+            *also, *[F.percentile(number, F.lit(float(p))).alias(n) for n, p in quantiles.items()]
         )
     if also:
         plain = df.groupBy(*keys).agg(*also)
@@ -155,6 +157,8 @@ def exact_quantiles(
         F.count("__v").alias("__n"),
         F.percentile_approx("__v", [float(c) for c in cuts], QUANTILE_ACCURACY).alias("__c"),
     )
+    groups = sketch.select(*keys, "__n")
+    data = data.filter(F.col("__v").isNotNull())
     whole = F.col("__n") <= 4 * QUANTILE_ACCURACY
     for i, p in enumerate(probs):
         sketch = sketch.withColumn(
@@ -199,9 +203,10 @@ def exact_quantiles(
     result = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(
         (1 - share) * F.col("__a") + share * F.col("__b")
     )
-    return per_prob.groupBy(*keys).agg(
+    found = per_prob.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__i") == i, result)).alias(name) for i, name in enumerate(names)]
     )
+    return null_safe_join(groups, found, keys, "left").drop("__n") if keys else found
 
 
 def attach_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:

@@ -31,18 +31,21 @@ def target_cell(lat: Column, lon: Column, step: float) -> Column:
 
 
 def disc_cells(lat: Column, lon: Column, radius_km: float, step: float, sphere_km: float) -> Column:
-    """All cells a disc can touch; points must stay clear of the poles and the date line."""
+    """All cells a disc can touch, also beyond the date line; a disc over a pole touches its bands all around."""
     reach = math.degrees(radius_km / sphere_km) * (1 + 1e-9) + 1e-9
     sine = math.sin(math.radians(reach))
-    lon_reach = F.degrees(F.asin(F.least(F.lit(sine) / F.cos(F.radians(lat)), F.lit(1.0)))) + 1e-9
+    ratio = F.lit(sine) / F.cos(F.radians(lat))
+    lon_reach = F.when((ratio >= 1) | (F.abs(lat) + reach >= 90), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) + 1e-9)
     bands = F.sequence(F.floor((lat - reach) / step), F.floor((lat + reach) / step))
 
     def columns(band: Column) -> Column:
         width = _band_width(band, step)
-        return F.transform(
-            F.sequence(F.floor((lon - lon_reach) / width), F.floor((lon + lon_reach) / width)),
-            lambda c: F.struct(band.alias("band"), c.alias("col")),
+        none = F.array().cast("array<bigint>")
+        around = lambda at: F.sequence(F.floor((at - lon_reach) / width), F.floor((at + lon_reach) / width))
+        found = F.concat(
+            around(lon), F.when(lon + lon_reach > 180, around(lon - 360)).otherwise(none), F.when(lon - lon_reach < -180, around(lon + 360)).otherwise(none)
         )
+        return F.transform(F.array_distinct(found), lambda c: F.struct(band.alias("band"), c.alias("col")))
 
     return F.flatten(F.transform(bands, columns))
 

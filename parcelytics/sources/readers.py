@@ -116,7 +116,16 @@ def union_sources(sources: dict[str, DataFrame], expected: Sequence[str], key: S
     for i, (name, df) in enumerate(sources.items()):
         tagged = df.withColumn("source", F.lit(name)).withColumn("__i", F.lit(i))
         union = tagged if union is None else union.unionByName(tagged, allowMissingColumns=True)
-    unique = keep_first(union, list(key), [F.col("__i")]).drop("__i")
+    return _unique_by_source(union, expected, key, F.col("__i"))
+
+
+def union_by_source(rows: DataFrame, expected: Sequence[str], key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """As `union_sources` for lists that stand in one table with a `source` column, in one scan; names in order win."""
+    return _unique_by_source(rows.withColumn("__i", F.col("source")), expected, key, F.col("__i"))
+
+
+def _unique_by_source(union: DataFrame, expected: Sequence[str], key: Sequence[str], first: Column) -> tuple[DataFrame, DataFrame]:
+    unique = keep_first(union, list(key), [first]).drop("__i")
     counts = union.groupBy("source").agg(F.count("*").alias("fetched"))
     names = union.sparkSession.createDataFrame([(n,) for n in expected], "source string")
     kept = unique.groupBy("source").agg(F.count("*").alias("kept"))

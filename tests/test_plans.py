@@ -25,6 +25,33 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id long, g string, v double").repartition(7)
 
 
+@pytest.fixture(scope="module")
+def stored(skewed, spark, tmp_path_factory):
+    """The skewed rows, a group without values and one with NaN, read back from Parquet so that their size is known."""
+    path = str(tmp_path_factory.mktemp("stored") / "rows")
+    extra = [(9000, "void", None), (9001, "void", None), (9002, "nan", float("nan")), (9003, "nan", 1.0), (9004, "nan", 2.0), (9005, "only nan", float("nan"))]
+    skewed.unionByName(spark.createDataFrame(extra, skewed.schema)).write.parquet(path)
+    frame = spark.read.parquet(path)
+    assert scale.is_small(frame) and not scale.is_small(frame, 0)
+    return frame
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_quantiles_agree_on_missing_values(stored, keys, accuracy, monkeypatch):
+    monkeypatch.setattr(scale, "QUANTILE_ACCURACY", accuracy)
+    probs = {"lo": 0.0, "q1": 0.25, "med": 0.5, "hi": 1.0}
+    small = {r["g"] if keys else 0: r for r in scale.exact_quantiles(stored, keys, "v", probs).collect()}
+    large = {r["g"] if keys else 0: r for r in scale.exact_quantiles(stored, keys, "v", probs, 0).collect()}
+    assert small.keys() == large.keys()
+    for k, row in small.items():
+        for p in probs:
+            a, b = row[p], large[k][p]
+            assert a is None and b is None or math.isclose(a, b, rel_tol=1e-12), (k, p)
+    if keys:
+        assert small["void"]["med"] is None and small["only nan"]["med"] is None and small["nan"]["hi"] == 2.0
+
+
 def as_set(df):
     return sorted(map(str, (tuple(r) for r in df.collect())))
 
@@ -47,16 +74,20 @@ def test_exact_quantiles_of_both_plans(skewed, keys, accuracy, monkeypatch):
 
 
 @pytest.mark.parametrize("keys", [["g"], []])
-def test_positions_of_both_plans(skewed, keys):
+def test_positions_of_both_plans(stored, keys):
+    skewed = stored
     order = [F.col("v").desc_nulls_last(), F.col("id")]
-    running = {"total": F.coalesce(F.col("v"), F.lit(0.0)).cast("decimal(20,2)")}
+    running = {"total": F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0)).cast("decimal(20,2)")}
     small = scale.with_positions(skewed, keys, order, "rn", running)
     large = scale.with_positions(skewed, keys, order, "rn", running, 0)
     columns = ["id", "rn", "total"]
     assert as_set(small.select(*columns)) == as_set(large.select(*columns))
+    plain = scale.with_positions(skewed, keys, order, "rn", one_task_bytes=0)
+    assert as_set(plain.select("id", "rn")) == as_set(small.select("id", "rn"))
 
 
-def test_ranks_of_both_plans(skewed):
+def test_ranks_of_both_plans(stored):
+    skewed = stored
     columns = ["id", "rank_min", "rank_avg"]
     small = scale.with_value_rank(skewed, ["g"], "v", True).select(*columns)
     large = scale.with_value_rank(skewed, ["g"], "v", True, one_task_bytes=0).select(*columns)
@@ -71,7 +102,8 @@ def test_results_do_not_depend_on_partitioning(skewed, parts):
     assert as_set(rules.trim_per_group(rules.quantile_band(other, "v"), "v", "g").select(*columns)) == base
 
 
-def test_fill_down_of_both_plans(skewed, monkeypatch):
+def test_fill_down_of_both_plans(stored, monkeypatch):
+    skewed = stored
     order = [F.col("id")]
     small = as_set(readers.fill_down(skewed, ["g"], order, ["v"]))
     monkeypatch.setattr(scale, "ONE_TASK_BYTES", 0)
@@ -85,6 +117,29 @@ def test_rolling_quota_of_both_plans(spark):
     assert as_set(usage.rolling_quota(events, *args).select(*columns)) == as_set(usage.rolling_quota(events, *args, one_task_bytes=0).select(*columns))
 
 
+def test_rolling_quota_counts_repeated_and_missing_ids(spark, tmp_path):
+    rows = [("u", 1, "2024-01-01 00:00:00"), ("u", 1, "2024-01-02 00:00:00"), ("u", None, "2024-01-03 00:00:00"), ("u", None, None), ("u", 5, None),
+            (None, 6, "2024-01-01 00:00:00"), (None, 6, "2024-01-01 00:00:00"), ("u", 7, "2024-01-20 00:00:00")]
+    spark.createDataFrame(rows, "who string, event long, at string").withColumn("at", F.col("at").cast("timestamp")).write.parquet(f"{tmp_path}/rows")
+    events = spark.read.parquet(f"{tmp_path}/rows")
+    assert scale.is_small(events)
+    args = (events, "who", "event", "at", 7, 2)
+    columns = ["who", "event", "at", "used", "remaining", "blocked"]
+    small, large = usage.rolling_quota(*args), usage.rolling_quota(*args, one_task_bytes=0)
+    assert as_set(small.select(*columns)) == as_set(large.select(*columns))
+    assert sorted(r["used"] for r in large.collect()) == [1, 1, 2, 2, 2, 2, 2, 3]
+
+
+def test_pairs_over_the_date_line_and_the_poles(spark):
+    rng = random.Random(9)
+    spots = [(rng.uniform(-5, 5), rng.choice((1, -1)) * (180 - rng.uniform(0, 0.05))) for _ in range(60)] + [(rng.choice((1, -1)) * (90 - rng.uniform(0, 0.05)), rng.uniform(-180, 180)) for _ in range(60)]
+    spots += [(0.0, 179.999), (0.0, -179.999), (90.0, 0.0), (-90.0, 30.0)]
+    p, t = spark.createDataFrame(spots, "lat double, lon double"), spark.createDataFrame(spots, "t_lat double, t_lon double")
+    counts = {(r["lat"], r["lon"]): r["n"] for r in count_within(p, t, 4.0).collect()}
+    for point in spots:
+        assert counts.get(point, 0) == sum(hav(point, x) <= 4.0 for x in spots), point
+
+
 def test_keep_first_is_null_safe_and_total(skewed):
     first = scale.keep_first(skewed, ["g"], [F.col("v").isNull(), F.col("v"), F.col("id")]).collect()
     frame = skewed.toPandas().sort_values(["v", "id"], na_position="last").groupby("g", dropna=False).head(1)
