@@ -23,11 +23,11 @@ def _(t):
 
 # each user's requests in order, with the accepted times so far
 @query("U1_replay_quota", """
-WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-w AS (SELECT user_id, event_id, rn, [at] AS taken, true AS accepted FROM o WHERE rn = 1
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT user_id, event_id, rn, [us] AS taken, true AS accepted FROM o WHERE rn = 1
   UNION ALL SELECT o.user_id, o.event_id, o.rn,
-    CASE WHEN len([x FOR x IN taken IF x >= o.at - 604800000000]) < 40 THEN list_append([x FOR x IN taken IF x >= o.at - 604800000000], o.at) ELSE taken END,
-    len([x FOR x IN taken IF x >= o.at - 604800000000]) < 40
+    CASE WHEN len([x FOR x IN taken IF x >= o.us - 604800000000]) < 40 THEN list_append([x FOR x IN taken IF x >= o.us - 604800000000], o.us) ELSE taken END,
+    len([x FOR x IN taken IF x >= o.us - 604800000000]) < 40
   FROM w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
 SELECT user_id, event_id, accepted FROM w""")
 def _(t):
