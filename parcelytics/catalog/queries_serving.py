@@ -1,5 +1,6 @@
 """Serving tables, batch scoring, flood records and admin units."""
 
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
@@ -7,7 +8,7 @@ from parcelytics.catalog.registry import query
 from parcelytics.catalog.registry import rounded as r
 from parcelytics.catalog.queries_text import scratch
 from parcelytics.functions import geo
-from parcelytics.operators import expect, serving as sv
+from parcelytics.operators import expect, modelling as ml, serving as sv
 from parcelytics.operators import spatial as sp
 
 TYPES = ["Land_type_A_F", "Land_type_N_O", "Land_type_R_F"]
@@ -170,3 +171,31 @@ def _(t):
 def _(t):
     out = t.boxes.select("poly_id", geo.ring_centroid(F.col("rings")[0]).alias("c"))
     return out.select("poly_id", r(F.col("c.lon")).alias("lon"), r(F.col("c.lat")).alias("lat"))
+
+
+@query("P2_score_fitted_with_record", f"""
+WITH {SERVING}, fit AS (SELECT regr_slope(enc - CAST(0.01 AS DOUBLE) * land_size, enc) AS k, regr_intercept(enc - CAST(0.01 AS DOUBLE) * land_size, enc) AS c FROM lk),
+rec AS (SELECT division, avg(land_size) AS hazard, avg(discount) * 5 AS flooded, avg(tax) * 15 AS covered, min(l_linenumber) AS since FROM listings GROUP BY 1),
+rq AS (SELECT request_id, 'unit ' || (division % 150) AS division, division % 150 AS d, perches FROM requests)
+SELECT request_id, rq.division, lk.division IS NOT NULL AS known_division, round(exp(c + k * coalesce(enc, mean)), 4) AS price_per_perch, round(hazard, 6) AS hazard,
+  CASE WHEN covered > 0.5 THEN round_even(flooded * 100, 1) END AS flooded_pct_a, since AS first_year
+FROM rq CROSS JOIN fit CROSS JOIN mu LEFT JOIN lk ON lk.division = rq.d LEFT JOIN rec ON rec.division = rq.d""")
+def _(t):
+    """Names in any case and with blanks, a linear model that was saved and loaded again, risk and flood record of the unit."""
+    built = tables(t)
+    name = lambda c: F.concat(F.lit("unit "), F.col(c).cast("string"))
+    built.encoding, built.lookup = built.encoding.withColumn("division", name("division")), built.lookup.withColumn("division", name("division"))
+    train = built.lookup.join(built.encoding, "division").withColumn("label", F.col("target_enc") - 0.01 * F.col("land_size"))
+    path = scratch(t, "model")
+    sv.save_model(ml.fit_regressor(train, ["target_enc"], "label", "linear"), path)
+    prices = sv.price_table(built, TYPES, sv.load_predictor(LinearRegressionModel, path, ["target_enc"]))
+    units = t.listings.groupBy(name("division").alias("division")).agg(
+        F.avg("land_size").alias("hazard"), (F.avg("discount") * 5).alias("flooded_share_a"), (F.avg("tax") * 15).alias("covered_a"), F.min("l_linenumber").cast("string").alias("years"))
+    records = sv.risk_profile(units, ["division"], ["hazard"]).join(sv.event_record(units, ["a"], ["division"], "years"), "division")
+    k = F.col("request_id") % 3
+    plain = name("asked")
+    asked = t.requests.withColumn("asked", F.col("division") % 150).select(
+        "request_id", F.when(k == 0, plain).when(k == 1, F.upper(plain)).otherwise(F.concat(F.lit("  "), F.initcap(plain), F.lit(" "))).alias("division"),
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "perches", F.lit(TYPES[0]).alias("land_type"))
+    out = sv.score(asked, prices, TYPES, records=records)
+    return out.select("request_id", "division", "known_division", r("price_per_perch", 4), r("hazard"), "flooded_pct_a", F.get("years", 0).cast("long").alias("first_year"))

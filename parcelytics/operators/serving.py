@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,13 +75,39 @@ def validate_requests(requests: DataFrame, land_types: Sequence[str]) -> DataFra
         .when(F.col("division").isNull() & ~has_point, "a division or a point is required"))
 
 
+def save_model(model, path: str) -> None:
+    """Write a fitted Spark ML model of log_price to a folder that every executor can reach."""
+    model.write().overwrite().save(path)
+
+
+def load_predictor(model_class, path: str, columns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """The saved model as the predictor of `price_table`: adds log_price from the given columns, missing ones as 0."""
+    model = model_class.load(path)
+
+    def predict(rows: DataFrame) -> DataFrame:
+        vector = array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]))
+        scored = model.transform(rows.withColumn("features", vector))
+        return scored.withColumn("log_price", F.col("prediction")).drop("features", "prediction")
+
+    return predict
+
+
+def division_key(division: Column) -> Column:
+    """The form in which a requested name is looked up: without outer blanks, in lower case."""
+    return F.lower(F.trim(division))
+
+
 def score(requests: DataFrame, prices: DataFrame, land_types: Sequence[str], located: Callable[[DataFrame], DataFrame] | None = None,
-          default_land_type: str | None = None) -> DataFrame:
+          default_land_type: str | None = None, records: DataFrame | None = None) -> DataFrame:
     """Price every request: division, known_division, listing_count, confidence, price_per_perch, total_price, small_plot, error.
 
     `requests`: division, lat, lon, perches, land_type. `located` adds loc_division, loc_nearest and loc_inside for a
     point. A point outside every modelled polygon is labelled with the nearest division but priced by the fallback row.
+    A requested name is compared without outer blanks and in lower case, as the names in `prices` are to be written.
+    `records` (one row per division: address, risk profile, flood record) adds its columns for the unit that is asked for.
     """
+    if dict(requests.dtypes)["division"] == "string":
+        requests = requests.withColumn("division", division_key(F.col("division")))
     start = requests.withColumn("land_type", F.coalesce("land_type", F.lit(default_land_type or land_types[0])))
     checked = validate_requests(start, land_types)
     if located is not None:
@@ -100,11 +127,14 @@ def score(requests: DataFrame, prices: DataFrame, land_types: Sequence[str], loc
     log_price = F.when(F.col("error").isNull(), F.coalesce("__lp", "__fb"))
     priced = joined.withColumn("known_division", F.col("__lp").isNotNull()).withColumn(
         "listing_count", F.coalesce("__lc", F.lit(0))).withColumn("log_price", log_price)
+    extra = [] if records is None else [c for c in records.columns if c != "division"]
+    if records is not None:
+        priced = priced.join(maybe_broadcast(records.withColumnRenamed("division", "__named")), "__named", "left")
     return priced.select(
         *[c for c in requests.columns if c not in ("division", "land_type")], F.col("__named").alias("division"), "land_type",
         "known_division", "listing_count", numeric.band_grade(F.col("listing_count")).alias("confidence"),
         "log_price", F.exp("log_price").alias("price_per_perch"), (F.exp("log_price") * F.col("perches")).alias("total_price"),
-        (F.col("perches") < fv.SMALL_PLOT_PERCHES).alias("small_plot"), "error")
+        (F.col("perches") < fv.SMALL_PLOT_PERCHES).alias("small_plot"), "error", *extra)
 
 
 def compare_categories(requests: DataFrame, key: str, prices: DataFrame, land_types: Sequence[str],

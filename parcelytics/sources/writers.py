@@ -23,9 +23,8 @@ def write_commented_csv(df: DataFrame, path: str, meta: dict[str, str]) -> None:
 
 
 def write_category(df: DataFrame, path: str, category: str) -> None:
-    """One folder per category; rows are spread by category and a salt so that no category is written by one task."""
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
-    salted.repartition(category, "__salt").drop("__salt").write.mode("overwrite").partitionBy(category).parquet(path)
+    """One folder per category; rows of a category stay together, and AQE cuts a large one over tasks by its size."""
+    df.hint("rebalance", category).write.mode("overwrite").partitionBy(category).parquet(path)
 
 
 def write_cleaned(flagged: DataFrame, path: str) -> None:
