@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelytics.functions import numeric, text
 from parcelytics.plans.scale import (
-    attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, null_safe_join, stack_rows, top_k_per_group,
+    attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, null_safe_join, quantile_of_columns, stack_rows, top_k_per_group,
     with_positions, with_value_rank,
 )
 
@@ -129,9 +129,8 @@ def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"),
                  F.avg(c).alias(f"av{i}")]
-    stats = df.agg(*aggs)
-    for i, c in enumerate(columns):
-        stats = attach_scalar(stats, exact_quantiles(df, [], c, {f"md{i}": 0.5}))
+    medians = quantile_of_columns(df, [], columns, 0.5)
+    stats = attach_scalar(df.agg(*aggs), medians.select(*[F.col(c).alias(f"md{i}") for i, c in enumerate(columns)]))
     missing = lambda i: F.col("rows") - F.col(f"n{i}")
     rows = [
         (F.lit(c), missing(i), 100 * missing(i) / F.col("rows"), F.col(f"lo{i}"), F.col(f"md{i}"), F.col(f"av{i}"), F.col(f"hi{i}"))
@@ -171,20 +170,12 @@ def multi_membership_sum(df: DataFrame, key: str, delimited: str, dim: DataFrame
 
 def division_lookup(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Serving table: exact median of every feature per division, and the listing count."""
-    first, *rest = columns
-    out = exact_quantiles(df, [key], first, {first: 0.5}, also=[F.count("*").alias("listing_count")])
-    for c in rest:
-        out = null_safe_join(out, exact_quantiles(df, [key], c, {c: 0.5}), [key], "left")
-    return out
+    return quantile_of_columns(df, [key], columns, 0.5, also=[F.count("*").alias("listing_count")])
 
 
 def global_row(lookup: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Column medians of the lookup: the fallback row."""
-    first, *rest = columns
-    out = exact_quantiles(lookup, [], first, {first: 0.5})
-    for c in rest:
-        out = attach_scalar(out, exact_quantiles(lookup, [], c, {c: 0.5}))
-    return out
+    return quantile_of_columns(lookup, [], columns, 0.5)
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

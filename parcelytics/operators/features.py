@@ -122,9 +122,12 @@ def screen_features(df: DataFrame, candidates: Sequence[str], anchor: str, rejec
     """KEEP, DROP or REJECT per candidate with nulls, distinct values, range, mean and correlation with the anchor."""
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(candidates):
-        aggs += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"), F.min(c).cast("double").alias(f"lo{i}"),
+        aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("double").alias(f"lo{i}"),
                  F.max(c).cast("double").alias(f"hi{i}"), F.avg(c).alias(f"av{i}"), correlation(F.col(c), F.col(anchor)).alias(f"r{i}")]
-    stats = df.agg(*aggs)
+    # distinct (column, value) pairs combine in the map tasks; distinct counts in one aggregate would copy every row per column
+    pairs = stack_rows(df, [(F.lit(i), F.col(c).cast("double")) for i, c in enumerate(candidates)], ["i", "v"]).filter("v IS NOT NULL").distinct()
+    distinct = pairs.groupBy().agg(*[F.count_if(F.col("i") == i).alias(f"d{i}") for i in range(len(candidates))])
+    stats = attach_scalar(df.agg(*aggs), distinct)
     rows = []
     for i, c in enumerate(candidates):
         verdict = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelytics import fixed_values as fv
 from parcelytics.functions import numeric
 from parcelytics.operators.aggregates import correlation
-from parcelytics.plans.scale import exact_quantiles, keep_first, maybe_broadcast, null_safe_join, stack_rows
+from parcelytics.plans.scale import exact_quantiles, keep_first, maybe_broadcast, stack_rows
 
 
 def qa_clear(qa: Column, thermal: Column, bits: Sequence[int] = fv.QA_MASK_BITS) -> Column:
@@ -48,10 +48,9 @@ def scene_values(pixels: DataFrame) -> DataFrame:
 
 def temporal_median(values: DataFrame, cell: Sequence[str], bands: Sequence[str]) -> DataFrame:
     """Median composite per pixel and the number of clear observations; NULL observations are skipped."""
-    out = values.groupBy(*cell).agg(F.count(bands[0]).alias("n_clear"))
-    for band in bands:
-        out = null_safe_join(out, exact_quantiles(values, cell, band, {band: 0.5}), cell, "left")
-    return out
+    # a pixel has as many observations as there are scenes, so one aggregate holds them whatever the area
+    median = lambda b: F.percentile(F.nanvl(F.col(b).cast("double"), F.lit(None).cast("double")), F.lit(0.5)).alias(b)
+    return values.groupBy(*cell).agg(F.count(bands[0]).alias("n_clear"), *[median(b) for b in bands])
 
 
 def zone_pixels(pixels: DataFrame, zones: DataFrame, zone: str, radius: float) -> DataFrame:

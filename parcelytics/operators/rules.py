@@ -207,7 +207,8 @@ def dedup_keep_earliest(df: DataFrame, key: Sequence[str], date: str, order: Seq
     number of copies removed in `copies`.
     """
     columns = df.columns
-    unique = df.groupBy(*columns).agg(F.count("*").alias("copies"))
+    # both outputs and the minimum per key read it
+    unique = freeze(df.groupBy(*columns).agg(F.count("*").alias("copies")))
     position = F.struct(F.col(date).isNull().alias("missing"), F.col(date).alias("at"),
                         *[o.alias(f"o{i}") for i, o in enumerate(order)],
                         F.xxhash64(*columns).alias("h1"), F.hash(*columns).alias("h2"))

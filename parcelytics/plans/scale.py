@@ -209,6 +209,29 @@ def exact_quantiles(
     return null_safe_join(groups, found, keys, "left").drop("__n") if keys else found
 
 
+def quantile_of_columns(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], p: float, also: Sequence[Column] = (), one_task_bytes: int | None = None,
+) -> DataFrame:
+    """The same exact quantile of several columns per group, under the columns' names, with plain aggregates `also`.
+
+    A small input is one aggregate. A large one is stacked to (column, value) rows, so that all columns share the passes of
+    one `exact_quantiles`.
+    """
+    if one_task_bytes is None and not keys:
+        one_task_bytes = GLOBAL_QUANTILE_BYTES
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    if is_small(df, one_task_bytes):
+        return df.groupBy(*keys).agg(*also, *[F.percentile(number(c), F.lit(float(p))).alias(c) for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), number(c).alias("__val")) for c in columns]))
+    stacked = df.select(*keys, each.alias("__e")).select(*keys, "__e.__col", "__e.__val")
+    found = exact_quantiles(stacked, [*keys, "__col"], "__val", {"__q": p}, 0)
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("__col") == c, F.col("__q"))).alias(c) for c in columns])
+    if not also:
+        return wide
+    plain = df.groupBy(*keys).agg(*also)
+    return null_safe_join(plain, wide, keys, "left") if keys else attach_scalar(plain, wide)
+
+
 def attach_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     stats = exact_quantiles(df, keys, value, quantiles)
     return null_safe_join(df, stats, keys, "left") if keys else attach_scalar(df, stats)
