@@ -8,6 +8,7 @@ from parcelytics.catalog.registry import rounded as r
 from parcelytics.functions import numeric, text
 from parcelytics.operators import aggregates, rules
 from parcelytics.plans.scale import attach_quantiles
+from parcelytics.session import freeze
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEYS = ", ".join(KEY)
@@ -28,7 +29,8 @@ SELECT division, n, round(med, 4) AS median_price, round(q1, 4) AS q1, round(q3,
 def _(t):
     banded = rules.quantile_band(t.listings.select("division", "unit_price", "land_size"), "unit_price")
     trimmed = rules.trim_per_group(rules.trim_per_group(banded, "unit_price", "division"), "land_size", "division")
-    profile = aggregates.group_summary(trimmed, ["division"], "unit_price")
+    # the profile reads its rows several times; without this the band and both trims would run again each time
+    profile = aggregates.group_summary(freeze(trimmed), ["division"], "unit_price")
     ranked = aggregates.frequency_rank(profile, "division", "n")
     return ranked.select(
         "division", "n", r(F.col("median"), 4).alias("median_price"), r(F.col("q1"), 4).alias("q1"),

@@ -20,6 +20,8 @@ ONE_TASK_BYTES = 256 * 1024 * 1024
 # A side is broadcast by hint only when its whole estimated size is below this.
 BROADCAST_BYTES = 16 * 1024 * 1024
 QUANTILE_ACCURACY = 10_000
+# Values of one bracket that are ordered by a window in one task; more are ordered by a range partitioning.
+ONE_TASK_VALUES = 5_000_000
 # Without groups the built-in exact percentile ends in one task, so the sketch plan starts earlier.
 GLOBAL_QUANTILE_BYTES = 4 * 1024 * 1024
 
@@ -135,7 +137,7 @@ def exact_quantiles(
 
     A small input uses the built-in `percentile`. Otherwise a bounded sketch brackets every wanted rank, and only
     the values inside the brackets (about 6/QUANTILE_ACCURACY of a group) are counted and ordered; the rest are
-    merely counted. The result is exact in both plans: NaN counts as missing, a group without values has NULL quantiles.
+    merely counted. A bracket of more than ONE_TASK_VALUES is ordered over many tasks. The result is exact in all plans: NaN counts as missing, a group without values has NULL quantiles.
     `also` adds plain aggregates of the same groups.
     """
     number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
@@ -153,10 +155,13 @@ def exact_quantiles(
     names, probs = list(quantiles), [float(quantiles[n]) for n in quantiles]
     margin = 3.0 / QUANTILE_ACCURACY
     cuts = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    sketch = data.groupBy(*keys).agg(
+    # one row per group; frozen because the group list, the brackets and the size of the largest all read it
+    sketch = freeze(data.groupBy(*keys).agg(
         F.count("__v").alias("__n"),
         F.percentile_approx("__v", [float(c) for c in cuts], QUANTILE_ACCURACY).alias("__c"),
-    )
+    ))
+    largest = sketch.agg(F.max("__n")).first()[0] or 0
+    in_bracket = largest if largest <= 4 * QUANTILE_ACCURACY else 2 * margin * largest
     groups = sketch.select(*keys, "__n")
     data = data.filter(F.col("__v").isNotNull())
     whole = F.col("__n") <= 4 * QUANTILE_ACCURACY
@@ -187,8 +192,11 @@ def exact_quantiles(
         .groupBy(*keys, "__i", "__v")
         .agg(F.count("*").alias("__k"))
     )
-    ordered = Window.partitionBy(*keys, "__i").orderBy("__v")
-    near = near.withColumn("__cum", F.sum("__k").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    if in_bracket > ONE_TASK_VALUES:
+        near = with_positions(near, [*keys, "__i"], [F.col("__v")], "__rn", {"__cum": F.col("__k")}, -1).drop("__rn")
+    else:
+        ordered = Window.partitionBy(*keys, "__i").orderBy("__v")
+        near = near.withColumn("__cum", F.sum("__k").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     joined = null_safe_join(near, below, keys, "inner") if keys else attach_scalar(near, below)
     position = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("__i") + 1)
     start = F.element_at(F.array(*[F.col(f"__below{i}") for i in range(len(probs))]), F.col("__i") + 1)

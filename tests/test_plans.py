@@ -36,10 +36,11 @@ def stored(skewed, spark, tmp_path_factory):
     return frame
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 50])
+@pytest.mark.parametrize("accuracy,in_one_task", [(10_000, 5_000_000), (50, 5_000_000), (50, 0)])
 @pytest.mark.parametrize("keys", [["g"], []])
-def test_quantiles_agree_on_missing_values(stored, keys, accuracy, monkeypatch):
+def test_quantiles_agree_on_missing_values(stored, keys, accuracy, in_one_task, monkeypatch):
     monkeypatch.setattr(scale, "QUANTILE_ACCURACY", accuracy)
+    monkeypatch.setattr(scale, "ONE_TASK_VALUES", in_one_task)
     probs = {"lo": 0.0, "q1": 0.25, "med": 0.5, "hi": 1.0}
     small = {r["g"] if keys else 0: r for r in scale.exact_quantiles(stored, keys, "v", probs).collect()}
     large = {r["g"] if keys else 0: r for r in scale.exact_quantiles(stored, keys, "v", probs, 0).collect()}
