@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -15,10 +14,11 @@ from pyspark.sql.types import StructType
 from parcelytics.plans.scale import keep_last
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Parquet files as a stream; a single file is addressed through its folder and a name filter."""
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files as a stream; the last part of `path` is a name or a pattern of names in its folder."""
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
 
 
 def build_window_counts(stream: DataFrame, key: str, ts: str, width: str, late: str = "1 hour") -> DataFrame:
@@ -28,75 +28,119 @@ def build_window_counts(stream: DataFrame, key: str, ts: str, width: str, late:
     return counts.select(F.col("window.start").alias("window_start"), key, "n")
 
 
-def run_window_counts(spark: SparkSession, path: str, schema: StructType, work: str, key: str, ts: str, width: str) -> DataFrame:
+def run_window_counts(spark: SparkSession, path: str, schema: StructType, work: str, key: str, ts: str, width: str, files_per_trigger: int | None = None) -> DataFrame:
     """Drain the files into an update-mode upsert table and return the final counts."""
-    counts = build_window_counts(file_stream(spark, path, schema), key, ts, width)
+    counts = build_window_counts(file_stream(spark, path, schema, files_per_trigger), key, ts, width)
     return _drain_upsert(counts, work, ["window_start", key], ["n"], "update")
 
 
-def _quota_step(user: str, event: str, span_us: int):
+def _quota_step(user: str, event: str, span_us: int, late_us: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at_us", event])
         known = sorted(times + rows["at_us"].tolist())
         used = [bisect.bisect_right(known, at) - bisect.bisect_left(known, at - span_us) for at in rows["at_us"]]
-        newest = known[-1] if known else 0
-        state.update(([x for x in known if x >= newest - span_us],))
+        newest = known[-1]
+        state.update(([x for x in known if x >= newest - span_us - late_us],))
+        state.setTimeoutTimestamp(max((newest + span_us + late_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({event: rows[event].to_numpy(), user: [key[0]] * len(rows), "used": used})
 
     return step
 
 
-def build_quota(stream: DataFrame, user: str, event: str, ts: str, days: int) -> DataFrame:
-    """Trailing count per event; the state of a user is the times inside one period. Events are expected in time order
-    between micro-batches; inside a batch they are sorted."""
-    span = days * 86_400_000_000
+def build_quota(stream: DataFrame, user: str, event: str, ts: str, days: int, late_days: int = 1) -> DataFrame:
+    """Trailing count per event. The state of a user holds the times of one period and of the lateness allowed, and goes
+    when both have passed. An event up to `late_days` behind the newest one is counted among all that came before it;
+    counts already given don't change; later events are dropped by the watermark. Rows without a time are left out."""
+    span, late = days * 86_400_000_000, late_days * 86_400_000_000
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    timed = stream.select(user, event, F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
+    at = F.col(ts).cast("timestamp")
+    timed = stream.select(user, event, at.alias("at"), F.unix_micros(at).alias("at_us")).filter("at IS NOT NULL").withWatermark("at", f"{late_days} days")
     return timed.groupBy(user).applyInPandasWithState(
-        _quota_step(user, event, span), f"{event} {kinds[event]}, {user} {kinds[user]}, used long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+        _quota_step(user, event, span, late), f"{event} {kinds[event]}, {user} {kinds[user]}, used long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_quota(spark: SparkSession, path: str, schema: StructType, work: str, user: str, event: str, ts: str, days: int) -> DataFrame:
-    out = build_quota(file_stream(spark, path, schema), user, event, ts, days)
+def run_quota(spark: SparkSession, path: str, schema: StructType, work: str, user: str, event: str, ts: str, days: int, files_per_trigger: int | None = None) -> DataFrame:
+    """Drain the files that haven't been read yet; a run with the same `work` folder goes on where the last one ended."""
+    out = build_quota(file_stream(spark, path, schema, files_per_trigger), user, event, ts, days)
     q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start(f"{work}/table")
     q.awaitTermination()
-    return spark.read.parquet(f"{work}/table")
+    return spark.read.schema(out.schema).parquet(f"{work}/table")
 
 
-def upsert_latest(work: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: merge a batch into a versioned latest-per-key table.
+#: Buckets of an upserted table: a batch rewrites only those that its keys fall into.
+BUCKETS = 16
 
-    The version of a batch is fixed by its id and built from the version before it, so a replayed batch writes the
-    same version again.
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _manifest(spark: SparkSession, work: str, before: int | None = None) -> dict[int, int]:
+    """bucket -> version of the newest finished batch (below `before`); one row per bucket at most."""
+    fs, at = _folder(spark, f"{work}/manifest")
+    if not fs.exists(at):
+        return {}
+    ids = [int(s.getPath().getName()) for s in fs.listStatus(at) if fs.exists(_folder(spark, f"{s.getPath()}/_SUCCESS")[1])]
+    ids = [i for i in ids if before is None or i < before]
+    if not ids:
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{work}/manifest/{max(ids)}").collect()}
+
+
+def _read(spark: SparkSession, work: str, manifest: dict[int, int], schema: StructType) -> DataFrame:
+    paths = [f"{work}/v{v}/__bucket={b}" for b, v in sorted(manifest.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_latest(work: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: merge a batch into a latest-per-key table of hash buckets.
+
+    A batch writes new versions of the buckets it touches and then a manifest of all buckets' versions. Both are fixed by
+    the batch's id and built from the manifest before it, so a replayed batch writes the same again. Versions that neither
+    this manifest nor the one before names are deleted.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if batch_id > 0:
-            merged = batch.sparkSession.read.parquet(f"{work}/v{batch_id - 1}").unionByName(batch)
-        keep_last(merged, list(keys), [F.col(c) for c in order]).write.mode("overwrite").parquet(f"{work}/v{batch_id}")
+        spark = batch.sparkSession
+        before = _manifest(spark, work, batch_id)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        tagged = batch.withColumn("__bucket", bucket).persist()
+        touched = [r[0] for r in tagged.select("__bucket").distinct().collect()]
+        if touched:
+            old = _read(spark, work, {b: v for b, v in before.items() if b in touched}, batch.schema).withColumn("__bucket", bucket)
+            merged = keep_last(old.unionByName(tagged), [*keys, "__bucket"], [F.col(c) for c in order])
+            merged.write.mode("overwrite").partitionBy("__bucket").parquet(f"{work}/v{batch_id}")
+        tagged.unpersist()
+        after = before | {b: batch_id for b in touched}
+        rows = spark.createDataFrame(sorted(after.items()), "bucket int, version int")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{work}/manifest/{batch_id}")
+        fs, at = _folder(spark, work)
+        for status in fs.listStatus(at):
+            name = status.getPath().getName()
+            if name[0] == "v" and name[1:].isdigit() and int(name[1:]) < batch_id and int(name[1:]) not in {*before.values(), *after.values()}:
+                fs.delete(status.getPath(), True)
 
     return sink
 
 
 def run_latest_per_key(spark: SparkSession, path: str, schema: StructType, work: str, keys: Sequence[str], order: Sequence[str],
-                       prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Drain the files into a latest-per-key table."""
-    stream = file_stream(spark, path, schema)
+                       prepare: Callable[[DataFrame], DataFrame] | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """Drain the files that haven't been read yet into a latest-per-key table."""
+    stream = file_stream(spark, path, schema, files_per_trigger)
     stream = prepare(stream) if prepare else stream
     return _drain_upsert(stream, work, keys, order, "append")
 
 
 def _drain_upsert(stream: DataFrame, work: str, keys: Sequence[str], order: Sequence[str], mode: str) -> DataFrame:
-    last: dict[str, int] = {}
-    sink = upsert_latest(work, keys, order)
-
-    def counted(batch: DataFrame, batch_id: int) -> None:
-        sink(batch, batch_id)
-        last["id"] = batch_id
-
-    q = (stream.writeStream.outputMode(mode).foreachBatch(counted).option("checkpointLocation", f"{work}/checkpoint-{uuid.uuid4().hex}")
+    """Run to the end of what is there; the checkpoint stays in `work`, so a restart reads only new files."""
+    spark = stream.sparkSession
+    q = (stream.writeStream.outputMode(mode).foreachBatch(upsert_latest(work, keys, order)).option("checkpointLocation", f"{work}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{work}/v{last['id']}")
+    return _read(spark, work, _manifest(spark, work), stream.schema)
