@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelytics.llm.sampling import smallest_hashes
+
 #: Labelled texts that a model is fitted on at most: those whose text hash is smallest, whatever their place in the table.
 MAX_TRAINING_TEXTS = 12_000
 #: Lengths of the n-grams, size of their hash space, n-grams that become features, and texts a feature occurs in at least.
@@ -88,7 +90,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
     therefore broadcast.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    known = known.filter(usable).orderBy(F.xxhash64(doc_id), doc_id).limit(most)
+    known = smallest_hashes(known.filter(usable), F.col(doc_id), most)
     joined = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), doc_id)
     return joined.groupBy(F.md5("text").alias("k")).agg(F.first("text").alias("text"), F.avg("y").alias("y")).select("text", "y")
 

@@ -516,3 +516,14 @@ def test_pipeline_edges(spark, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.freeze(stage(spark, docs, FOLDER))
         assert docs.count() <= 3 * n
+
+
+def test_bounded_sample(spark):
+    from parcelytics.llm.sampling import smallest_hashes
+
+    frame = spark.range(5000).withColumn("k", F.col("id") % 4000)
+    want = sorted(r["h"] for r in frame.select(F.xxhash64("k").alias("h")).collect())[:100]
+    for parts in (1, 9):
+        got = smallest_hashes(frame.repartition(parts), F.col("k"), 100)
+        assert sorted(r["h"] for r in got.select(F.xxhash64("k").alias("h")).collect()) == want and got.columns == ["id", "k"]
+    assert smallest_hashes(frame, F.col("k"), 10_000).count() == 5000
