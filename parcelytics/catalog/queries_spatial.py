@@ -18,10 +18,13 @@ def as_targets(df, *keep):
 
 
 @query("D16_haversine", f"""
-SELECT p.point_id, q.unit_id, round({HAV}, 6) AS km FROM points p JOIN units q ON p.nation = q.nation""")
+WITH n AS (SELECT count(*) AS n FROM units)
+SELECT p.point_id, q.unit_id, round({HAV}, 6) AS km FROM points p CROSS JOIN n JOIN units q ON p.point_id % n = q.unit_id % n""")
 def _(t):
-    units = t.units.select("nation", "unit_id", F.col("lat").alias("a"), F.col("lon").alias("o"))
-    return t.points.join(units, "nation").select("point_id", "unit_id", r(geo.haversine(F.col("lat"), F.col("lon"), F.col("a"), F.col("o"))).alias("km"))
+    """Every point with one unit: the pairs grow with the points."""
+    n = t.units.agg(F.count("*")).scalar()
+    units = t.units.select((F.col("unit_id") % n).alias("pair"), "unit_id", F.col("lat").alias("a"), F.col("lon").alias("o"))
+    return t.points.withColumn("pair", F.col("point_id") % n).join(units, "pair").select("point_id", "unit_id", r(geo.haversine(F.col("lat"), F.col("lon"), F.col("a"), F.col("o"))).alias("km"))
 
 
 @query("D17_distance_to_point", f"SELECT point_id, round({haversine_sql('lat', 'lon', '6.9333', '79.8433', fv.FEATURE_RADIUS_KM)}, 6) AS km FROM points")
