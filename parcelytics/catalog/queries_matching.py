@@ -95,6 +95,20 @@ def _(t):
     return m.alias_match(t.documents, "doc_id", "text", named, 3)
 
 
+@query("D8_script_aliases", """
+WITH t AS (SELECT p_partkey, p_name || ' ' || lower(p_type) AS body FROM part), w AS (SELECT unnest(string_split(body, ' ')) AS name FROM t),
+al AS (SELECT name, 'A ' || name AS division FROM w WHERE length(name) BETWEEN 3 AND 5 GROUP BY 1), nm AS (SELECT name, 'N ' || name AS division FROM w WHERE length(name) >= 6 GROUP BY 1),
+h AS (SELECT p_partkey, 0 AS r, al.* FROM t JOIN al ON contains(body, name) UNION ALL SELECT p_partkey, 1, nm.* FROM t JOIN nm ON contains(body, name)),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY r, -length(name), name, division) AS rn FROM h)
+SELECT p_partkey, division, name, CASE r WHEN 0 THEN 'alias' ELSE 'script' END AS how FROM b WHERE rn = 1""")
+def _(t):
+    texts = t.part.select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("body"))
+    words = texts.select(F.explode(F.split("body", " ")).alias("name")).distinct()
+    aliases = words.filter(F.length("name").between(3, 5)).withColumn("division", F.concat(F.lit("A "), F.col("name")))
+    names = words.filter(F.length("name") >= 6).select("name", F.concat(F.lit("N "), F.col("name")).alias("division"), F.lit(1.0).alias("area"))
+    return m.script_match(texts, "p_partkey", "body", names, aliases)
+
+
 @query("D9_exact_ngram_match", f"""
 WITH {filler_sql(3)}, h AS (SELECT doc_id, place_id, area, span, n, pos FROM grams JOIN gazetteer ON gram = key),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, area, pos, place_id, span) AS rn FROM h)

@@ -221,6 +221,19 @@ def contains_match(texts: DataFrame, key: str, body: str, names: DataFrame) -> D
     return best.select(key, "b.division", "b.name")
 
 
+def script_match(texts: DataFrame, key: str, body: str, names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Names in a non-Latin script, found as substrings: an alias goes before every official name.
+
+    `names`: name, division, area; `aliases`: name, division. Returns key, division, name, how ('alias' or 'script').
+    """
+    official = contains_match(texts, key, body, names).select(key, F.lit(1).alias("__r"), "division", "name", F.lit("script").alias("how"))
+    if aliases is None:
+        return official.drop("__r")
+    known = contains_match(texts, key, body, aliases.withColumn("area", F.lit(0.0)))
+    known = known.select(key, F.lit(0).alias("__r"), "division", "name", F.lit("alias").alias("how"))
+    return keep_first(known.unionByName(official), [key], [F.col("__r")]).drop("__r")
+
+
 # --------------------------------------------------------------------------- fuzzy joins
 def _max_edits(length: Column, cutoff: float, mode: str) -> Column:
     share = (1 - cutoff) / cutoff * (1 if mode == "edit" else 2)
@@ -364,10 +377,10 @@ def guarded_scan(texts: DataFrame, key: str, body: str, places: DataFrame, known
 # --------------------------------------------------------------------------- the cascade
 def resolve_texts(texts: DataFrame, body: str, names: DataFrame, aliases: DataFrame, other_places: DataFrame, script_names: DataFrame,
                   geocoded_out: DataFrame, codes: dict[int, str] = fv.POSTAL_AREAS, code_pattern: str = fv.POSTAL_PATTERN,
-                  cutoff: float = fv.FUZZY_CUTOFF, mode: str = "edit") -> DataFrame:
+                  cutoff: float = fv.FUZZY_CUTOFF, mode: str = "edit", script_aliases: DataFrame | None = None) -> DataFrame:
     """Stage results for distinct texts: text, division, stage, matched. Each text is resolved once.
 
-    Order: other-district town, alias, script name, exact name, postal area, fuzzy name, geocoded outside place.
+    Order: other-district town, alias, script alias, script name, exact name, postal area, fuzzy name, geocoded outside place.
     A stage only looks at texts that no cheaper stage resolved, so the fuzzy join sees the remainder.
     """
     distinct = freeze(texts.select(F.col(body).alias("text")).filter("text IS NOT NULL AND trim(text) <> ''").distinct())
@@ -377,8 +390,8 @@ def resolve_texts(texts: DataFrame, body: str, names: DataFrame, aliases: DataFr
         "text", F.lit(1).alias("rank"), out, F.lit("out_of_district").alias("stage"), note.alias("matched"))
     alias = alias_match(distinct, "text", "text", aliases).select(
         "text", F.lit(2).alias("rank"), "division", F.lit("alias").alias("stage"), F.col("span").alias("matched"))
-    script = contains_match(distinct, "text", "text", script_names).select(
-        "text", F.lit(3).alias("rank"), "division", F.lit("script").alias("stage"), F.col("name").alias("matched"))
+    script = script_match(distinct, "text", "text", script_names, script_aliases).select(
+        "text", F.lit(3).alias("rank"), "division", F.col("how").alias("stage"), F.col("name").alias("matched"))
     exact = exact_ngram_match(distinct, "text", "text", names).select(
         "text", F.lit(4).alias("rank"), "division", F.lit("exact").alias("stage"), F.col("span").alias("matched"))
     postal = distinct.select("text", F.lit(5).alias("rank"), text.regex_code(F.col("text"), code_pattern, codes).alias("division"),
