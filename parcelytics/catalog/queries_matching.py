@@ -142,6 +142,18 @@ def _(t):
     return m.fuzzy_match(queries, "q", pool, "n", 0.85, "edit").select("q", "n", r("ratio"))
 
 
+@query("D11_near_misses", f"""
+WITH {MISSPELT}, w AS (SELECT DISTINCT CASE length(q) % 3 WHEN 0 THEN 'zz' || substring(q, 5) WHEN 1 THEN substring(q, 4) || 'zz' ELSE q END AS q FROM q),
+s AS (SELECT w.q, n, 1 - levenshtein(w.q, n) / CAST(greatest(length(w.q), length(n)) AS DOUBLE) AS ratio FROM w, p),
+b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ratio DESC, n DESC) AS rn FROM s WHERE ratio >= 0.70)
+SELECT q, n, round(ratio, 6) AS ratio FROM b WHERE rn = 1 AND ratio < 0.85""")
+def _(t):
+    queries, pool = misspelt(t)
+    k, q = F.length("q") % 3, F.col("q")
+    worse = F.when(k == 0, F.concat(F.lit("zz"), F.substring(q, 5, 1000))).when(k == 1, F.concat(F.substring(q, 4, 1000), F.lit("zz"))).otherwise(q)
+    return m.near_misses(queries.select(worse.alias("q")), "q", pool, "n", 0.70, 0.85).select("q", "n", r("ratio"))
+
+
 @query("D11_fuzzy_match_exact_ratio")
 def _(t):
     queries, pool = misspelt(t)

@@ -308,6 +308,11 @@ def fuzzy_match(queries: DataFrame, query: str, pool: DataFrame, name: str, cuto
     return best.select(*within, query, F.col("b.name").alias(name), (F.col("b.__r") if mode == "edit" else reported).alias("ratio"))
 
 
+def near_misses(texts: DataFrame, query: str, pool: DataFrame, name: str, low: float = 0.70, cutoff: float = fv.FUZZY_CUTOFF, mode: str = "edit") -> DataFrame:
+    """Audit of unmatched texts: the best name of each distinct text whose ratio reaches `low` but not the cutoff."""
+    return fuzzy_match(texts.select(query).distinct(), query, pool, name, low, mode).filter(F.col("ratio") < cutoff)
+
+
 def fuzzy_ngram_match(texts: DataFrame, key: str, body: str, names: DataFrame, cutoff: float = fv.FUZZY_CUTOFF, mode: str = "edit",
                       max_n: int = fv.MAX_NGRAM, min_length: int = 5) -> DataFrame:
     """Longest n with a name at or above the cutoff, then best ratio, largest area last. `names`: key, division, area.
