@@ -165,7 +165,17 @@ def _(t):
     return sp.duplicate_pin_audit(pins(t), "id", "name", 600.0).select("id", "owner_order", "verdict")
 
 
-@query("D26_claim_pins")
+HAV_LIVE = haversine_sql("p.lat", "p.lon", "x.lat", "x.lon", fv.MATCH_RADIUS_KM)
+
+
+# the walk in order itself, with the pins claimed so far
+@query("D26_claim_pins", f"""
+WITH RECURSIVE {PINS}, o AS (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM pins),
+w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS verdict, CAST([] AS STRUCT(name VARCHAR, lat DOUBLE, lon DOUBLE)[]) AS live
+  UNION ALL SELECT rn, id, verdict, CASE WHEN verdict = 'blocked' THEN live ELSE list_append(live, struct_pack(name := name, lat := lat, lon := lon)) END
+  FROM (SELECT *, CASE WHEN owner IS NULL THEN 'free' WHEN list_has_any(string_split(name, ' '), string_split(owner.name, ' ')) THEN 'shared' ELSE 'blocked' END AS verdict
+    FROM (SELECT p.rn, p.id, p.name, p.lat, p.lon, w.live, [x FOR x IN w.live IF abs(p.lat - x.lat) < 0.01 AND {HAV_LIVE} <= 0.6][1] AS owner FROM w JOIN o p ON p.rn = w.rn + 1)))
+SELECT id, verdict FROM w WHERE rn > 0""")
 def _(t):
     return sp.claim_pins(pins(t), "id", "name", 600.0).select("id", "verdict")
 
