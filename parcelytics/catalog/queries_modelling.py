@@ -67,6 +67,35 @@ def _(t):
     return out
 
 
+# a linear model of one feature has a closed form
+LINE = f"""d AS (SELECT fold, coalesce(land_size, 0) AS x, ln(unit_price) AS y, {IS_TEST} AS is_test FROM listings)"""
+SCORES = """count(*) AS n, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) AS r2, sqrt(avg((y - p) * (y - p))) AS rmse_log, avg(abs(y - p)) AS mae_log,
+  avg(abs(exp(y) - exp(p))) AS mae, avg(100 * abs(exp(y) - exp(p)) / exp(y)) AS mape, median(100 * abs(exp(y) - exp(p)) / exp(y)) AS median_ape"""
+ROUNDED = "round(r2, 5) AS r2, round(rmse_log, 5) AS rmse_log, round(mae_log, 5) AS mae_log, round(mae, 2) AS mae, round(mape, 4) AS mape, round(median_ape, 4) AS median_ape"
+
+
+def rounded_scores(out):
+    return out.select(*[c for c in ("fold", "n") if c in out.columns], r("r2", 5), r("rmse_log", 5), r("mae_log", 5), r("mae", 2), r("mape", 4), r("median_ape", 4))
+
+
+@query("M5_fit_linear", f"""
+WITH {LINE}, f AS (SELECT regr_slope(y, x) AS k, regr_intercept(y, x) AS c FROM d WHERE NOT is_test), s AS (SELECT y, c + k * x AS p FROM d CROSS JOIN f WHERE is_test)
+SELECT n, {ROUNDED} FROM (SELECT {SCORES} FROM s)""")
+def _(t):
+    data = ml.random_split(training(t), ROW, 0.2, 42)
+    model = ml.fit_regressor(data.filter("NOT is_test"), ["land_size"], "y", "linear")
+    return rounded_scores(ml.metrics(ml.predict(model, data.filter("is_test"), ["land_size"]), "y", "prediction"))
+
+
+@query("M10_cross_validate_linear", f"""
+WITH {LINE}, f AS (SELECT g.fold, regr_slope(y, x) AS k, regr_intercept(y, x) AS c FROM (SELECT DISTINCT fold FROM d) g JOIN d ON d.fold <> g.fold GROUP BY 1),
+s AS (SELECT d.fold, y, c + k * x AS p FROM d JOIN f ON d.fold = f.fold), m AS (SELECT CAST(fold AS VARCHAR) AS fold, {SCORES} FROM s GROUP BY 1)
+SELECT fold, n, {ROUNDED} FROM m UNION ALL
+SELECT 'mean', CAST(sum(n) AS BIGINT), round(avg(r2), 5), round(avg(rmse_log), 5), round(avg(mae_log), 5), round(avg(mae), 2), round(avg(mape), 4), round(avg(median_ape), 4) FROM m""")
+def _(t):
+    return rounded_scores(ml.cross_validate(training(t), ["land_size"], "y", "fold", None, "linear"))
+
+
 @query("M6_random_search_cv")
 def _(t):
     return ml.random_search_cv(training(t), FEATURES, "y", "fold", "forest", {"numTrees": [3, 6], "maxDepth": [3, 5]}, 3, 5)
