@@ -141,22 +141,20 @@ def passages(text: str) -> Iterator[tuple[int, int]]:
 def find(text: str, known: Templates) -> list[tuple[str, float, int, int]]:
     """(licence, dice, start, end) of every passage that is a licence, with its best licence; ties go to the first name."""
     plain = text.lower()
-    if len(plain) != len(text):  # rare signs grow in lower case; places then need the text itself
-        plain = text
+    hits = np.array([m.start() for m in known.pattern.finditer(plain)], np.int64)
+    if not len(hits):
+        return []
+    aligned = len(plain) == len(text)  # rare signs grow in lower case; then places don't tell which passage they are in
+    most = int(known.sizes[-1] * (2 - known.threshold) / known.threshold) + 1
     out = []
-    last = int(known.sizes[-1] * (2 - known.threshold) / known.threshold) + 1
-    hits = [m.start() for m in known.pattern.finditer(plain if plain is not text else text.lower())]
-    if not hits:
-        return out
-    places = np.array(hits) if plain is not text else None
     for start, end in passages(text):
-        if places is not None and np.searchsorted(places, start) == np.searchsorted(places, end):
-            continue
-        # no word is shorter than two signs with its gap, and equal bigrams count once: only a bound on words is safe
+        if aligned and np.searchsorted(hits, start) == np.searchsorted(hits, end):
+            continue  # no anchor word in it
         words = normalised(text[start:end])
-        if len(words) < 2:
+        # a passage of more different bigrams than the largest template allows can't reach the threshold
+        if len(words) < 2 or len(words) > most and len(bigrams(words)) > most:
             continue
-        best = known.best(words) if len(words) <= last or len(bigrams(words)) <= last else []
+        best = known.best(words)
         if best:
             out.append((best[0][0], best[0][1], start, end))
     return out
