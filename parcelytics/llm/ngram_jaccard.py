@@ -262,11 +262,10 @@ def text_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     # pass 2: shingles of the candidates only
     wanted = distinct.select("text_key", "copies", F.xxhash64("text_key").alias("node")).join(homes.select("node", "home", "block"), "node")
     wanted = freeze(wanted.select("text_key", "copies", "home", "block"))
-    texts = (
-        # the candidates grow with the table, so they are merged in and never broadcast
-        slim.select(F.unhex(F.md5("text")).alias("text_key"), "text").join(wanted.select("text_key").hint("merge"), "text_key")
-        .groupBy("text_key").agg(F.first("text").alias("text"))
-    )
+    # copies become one row in the map tasks, before anything meets by key; the candidates grow with the table, so they are
+    # merged in and never broadcast
+    once = slim.select(F.unhex(F.md5("text")).alias("text_key"), "text").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = once.join(wanted.select("text_key").hint("merge"), "text_key")
     detail = freeze(texts.mapInPandas(_detailed(words), "text_key binary, sig binary, shingles binary"))
     rows = tasks.join(wanted, ["home", "block"]).join(detail, "text_key").select("ha", "i", "hb", "j", "side", "text_key", "copies", "sig", "shingles")
     compare = _compare(threshold, least_matches(threshold))
@@ -313,11 +312,12 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     class without any id keeps each of its texts once.
     """
     members, texts = _classes(docs, doc_id, text, words, threshold)
-    # texts that have no row here are all dropped, so a join by key alone decides
     keep = members.join(texts, "text_key").filter(~F.col("blank") & F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()))
     keep = keep.select(F.col("text_key").alias("__key"), F.col("class_id").alias("__class")).distinct()
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("__key", F.unhex(F.md5(body)))
+    keyed = docs.withColumn("__key", F.unhex(F.md5(body))).withColumn("__class", F.col(doc_id))
     blank = docs.filter(~F.regexp_like(body, F.lit(r"[^\x20\x09-\x0D]")))
-    first = keyed.join(keep.hint("merge"), "__key").filter(F.col("__class").isNull() | (F.col(doc_id) == F.col("__class")))
-    return first.dropDuplicates(["__key", doc_id]).select(*docs.columns).unionByName(blank)
+    # by text and id, so that the copies of a text are spread over the tasks; rows without an id become one per text first
+    named = keyed.filter("__class IS NOT NULL").join(keep.filter("__class IS NOT NULL").hint("merge"), ["__key", "__class"]).dropDuplicates(["__key", "__class"])
+    nameless = keyed.filter("__class IS NULL").dropDuplicates(["__key"]).join(keep.filter("__class IS NULL").select("__key"), "__key")
+    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns)).unionByName(blank)
