@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -109,6 +111,16 @@ class Templates:
                     break
                 self.anchors.add(w)
         self.pattern = re.compile("|".join(sorted(map(re.escape, self.anchors), key=lambda w: (-len(w), w))))
+        names = {k: [bigrams(normalised(n)) for n in own] for k, own in NAMES.items()}
+        #: Bigrams of the name in a notice (none in a text), so that a window can't be a notice by its common words alone.
+        self.cores = [max((c for c in names.get(name, ()) if c <= s and len(s) < 2 * len(c) + 10), key=len, default=set()) for name, s in self.rows]
+        self.holding: dict[tuple[str, str], list[int]] = {}
+        for k, (_, s) in enumerate(self.rows):
+            for pair in s:
+                self.holding.setdefault(pair, []).append(k)
+        self.of: dict[str, list[int]] = {}
+        for k, (name, _) in enumerate(self.rows):
+            self.of.setdefault(name, []).append(k)
 
     def best(self, words: list[str]) -> list[tuple[str, float]]:
         """Licences whose best template reaches the threshold, best first; size bounds leave out the other templates."""
@@ -138,8 +150,104 @@ def passages(text: str) -> Iterator[tuple[int, int]]:
     return iter(sorted(seen))
 
 
+def _places(text: str, plain: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the words of `plain`, the text in lower case, as places in the text."""
+    found = [m.span() for m in _WORD.finditer(plain)]
+    if len(plain) != len(text):  # signs that grow in lower case
+        at = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        return [int(at[s]) for s, _ in found], [int(at[e - 1]) + 1 for _, e in found]
+    return [s for s, _ in found], [e for _, e in found]
+
+
+def _best_windows(
+    inside: np.ndarray, core: np.ndarray, before: np.ndarray, after: np.ndarray, size: int, least: float, threshold: float
+) -> list[tuple[float, int, int]]:
+    """(dice, first, last) of the windows of bigrams nearest to a template, best first, without a common word.
+
+    `inside` tells which bigrams of the text are in the template of `size` bigrams, `core` which are in its licence's name, of
+    which a window holds `least`; `before` and `after` are the places where the same bigram stands next. Of all windows the best is taken, of equal ones the shortest, then the first, and so on beside
+    those taken. A shortest best window starts with a bigram of the template that it doesn't hold again, and size bounds end it.
+    """
+    most = int(size * (2 - threshold) / threshold + 1e-9)
+
+    def best(i: int, last: int) -> tuple[float, int, int, int] | None:
+        last, span = min(last, int(after[i]) - 1), 2 * most
+        while True:
+            to = min(i + span, last + 1)
+            new = before[i:to] < i
+            n = np.cumsum(new)
+            if to > last or n[-1] > most:
+                break
+            span *= 4
+        n = n[: np.searchsorted(n, most, side="right")]
+        new, here = new[: len(n)], slice(i, i + len(n))
+        dice = 2 * np.cumsum(new & inside[here]) / (n + size) * (np.cumsum(new & core[here]) >= least)
+        k = int(np.argmax(dice))
+        return (-float(dice[k]), k, i, i + k) if dice[k] >= threshold - 1e-12 else None
+
+    queue = [w for i in np.flatnonzero(inside).tolist() if (w := best(i, len(inside) - 1))]
+    heapq.heapify(queue)
+    starts, taken = [], {}
+    while queue:
+        dice, _, first, last = heapq.heappop(queue)
+        k = bisect.bisect_right(starts, first)
+        if k and taken[starts[k - 1]][2] + 1 >= first:
+            continue
+        if k < len(starts) and last + 1 >= starts[k]:  # it meets a better one: what is best before that
+            if starts[k] - 2 >= first and (w := best(first, starts[k] - 2)):
+                heapq.heappush(queue, w)
+            continue
+        starts.insert(k, first)
+        taken[first] = (-dice, first, last)
+    return list(taken.values())
+
+
+def _windows(text: str, plain: str, known: Templates, taken: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    """(licence, dice, start, end) of the word windows that are a licence and that no span of `taken` tells already."""
+    words = _WORD.findall(plain)
+    pairs = list(zip(words, words[1:]))
+    counts: dict[int, int] = {}
+    for pair in known.holding.keys() & set(pairs):
+        for k in known.holding[pair]:
+            counts[k] = counts.get(k, 0) + 1
+    # a window at t holds t / (2 - t) of the template's bigrams at least
+    least = known.threshold / (2 - known.threshold)
+    near = sorted(k for k, n in counts.items() if n >= least * known.sizes[k] - 1e-9)
+    if not near:
+        return []
+    seen: dict[tuple[str, str], int] = {}
+    before, after = np.full(len(pairs), -1), np.full(len(pairs), len(pairs))
+    for at, pair in enumerate(pairs):
+        old = seen.get(pair, -1)
+        before[at] = old
+        if old >= 0:
+            after[old] = at
+        seen[pair] = at
+    found = []
+    for k in near:
+        name, s = known.rows[k]
+        inside = np.fromiter((pair in s for pair in pairs), bool, len(pairs))
+        core = np.fromiter((pair in known.cores[k] for pair in pairs), bool, len(pairs))
+        best = _best_windows(inside, core, before, after, len(s), least * len(known.cores[k]) - 1e-9, known.threshold)
+        found += [(-dice, first - last, first, name, last) for dice, first, last in best]
+    starts, ends = _places(text, plain)
+    over: list[set[str]] = [set() for _ in words]  # licences of the spans that a word stands in
+    for name, _, start, end in taken:
+        for w in over[bisect.bisect_right(ends, start) : bisect.bisect_left(starts, end)]:
+            w.add(name)
+    out: list[tuple[str, float, int, int]] = []
+    for dice, _, first, name, last in sorted(found):
+        own, told = set(pairs[first : last + 1]), set().union(*over[first : last + 2])
+        if name not in told and all(2 * len(own & known.rows[k][1]) / (len(own) + len(known.rows[k][1])) < -dice for n in told for k in known.of[n]):
+            out.append((name, -dice, starts[first], ends[last + 1]))
+            for w in over[first : last + 2]:
+                w.add(name)
+    return out
+
+
 def find(text: str, known: Templates) -> list[tuple[str, float, int, int]]:
-    """(licence, dice, start, end) of every passage that is a licence, with its best licence; ties go to the first name."""
+    """(licence, dice, start, end) of every passage that is a licence, with its best licence, ties going to the first name, and
+    of the best word windows for what stands across or inside passages."""
     plain = text.lower()
     hits = np.array([m.start() for m in known.pattern.finditer(plain)], np.int64)
     if not len(hits):
@@ -157,14 +265,15 @@ def find(text: str, known: Templates) -> list[tuple[str, float, int, int]]:
         best = known.best(words)
         if best:
             out.append((best[0][0], best[0][1], start, end))
-    return out
+    return sorted(out + _windows(text, plain, known, out), key=lambda r: (r[2], r[3]))
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "licenses", threshold: float = THRESHOLD) -> DataFrame:
     """`df` with the licence passages of each whole text: an array of (license, dice, start, end), by start, then end.
 
     Places count code points, end exclusive. A passage is a line, a paragraph or the whole text; nested ones that reach
-    the threshold are all listed. Null and empty texts have none, equal texts agree, an empty table gives no rows, a
+    the threshold are all listed. A licence that stands inside a line or over several paragraphs is listed by its best window
+    of words: best first, unless a span listed already meets it and has the same licence or one at least as near. Null and empty texts have none, equal texts agree, an empty table gives no rows, a
     column called like `out` is replaced and all others stay. The templates are a fixed list, so nothing is shuffled.
     """
 

@@ -6,6 +6,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -410,6 +411,71 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(no_docs).collect() == []
 
 
+def every_window(text, known):
+    """The listed word windows, by trying every run of words of the text against every template."""
+    words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[a-zA-Z0-9]+(?:\.[0-9]+)*", text)]
+    pairs = [(a[2], b[2]) for a, b in zip(words, words[1:])]
+    found = []
+    for name, t in known.rows:
+        near = []
+        names = [c for n in licenses.NAMES[name] if (c := licenses.bigrams(licenses.normalised(n))) <= t] if len(t) < 20 else []
+        core = max(names, key=len, default=set())
+        for i in range(len(pairs)):
+            own, common = set(), 0
+            for j in range(i, len(pairs)):
+                common += pairs[j] not in own and pairs[j] in t
+                own.add(pairs[j])
+                if 2 * common / (len(own) + len(t)) >= licenses.THRESHOLD - 1e-12 and len(own & core) >= len(core) * 2 / 3 - 1e-9:
+                    near.append((-2 * common / (len(own) + len(t)), j - i, i, j))
+        mine = []
+        for dice, _, i, j in sorted(near):
+            if all(j + 1 < a or b + 1 < i for a, b in mine):
+                mine.append((i, j))
+                found.append((dice, i - j, i, name, j))
+    taken = []
+    for s, e in licenses.passages(text):
+        own = licenses.bigrams(licenses.normalised(text[s:e]))
+        best = [(-2 * len(own & t) / (len(own) + len(t)), name) for name, t in known.rows if own]
+        if best and -min(best)[0] >= licenses.THRESHOLD - 1e-12:
+            taken.append((min(best)[1], s, e))
+    out = []
+    for dice, _, i, name, j in sorted(found):
+        s, e, own = words[i][0], words[j + 1][1], set(pairs[i : j + 1])
+        others = {n for n, a, b in taken if a < e and s < b}
+        if name not in others and not any(n in others and 2 * len(own & t) / (len(own) + len(t)) >= -dice for n, t in known.rows):
+            taken.append((name, s, e))
+            out.append((name, -dice, s, e))
+    return out
+
+
+def test_license_windows():
+    """Licences inside lines, over lines and paragraphs and in long documents, against all windows of words."""
+    known = licenses.Templates(licenses.THRESHOLD)
+    inline = "All figures are by the author. This work is licensed under CC BY 4.0. Contact us for more."
+    a, b, c = (licenses.TEXTS["MIT"].index(w) for w in ("The above copyright", "THE SOFTWARE IS", "IN NO EVENT"))
+    mit = "\n\n".join((licenses.TEXTS["MIT"][:a], licenses.TEXTS["MIT"][a:b], licenses.TEXTS["MIT"][b:]))
+    prose = " ".join(f"w{k % 97} x{k % 89}" for k in range(2000))
+    rng = random.Random(9)
+    pool = "licensed under the mit license version 2.0 released this work is cc by nc sa 4.0 gnu general public x".split()
+    texts = [
+        inline, "İİ " + inline, f"one\n{inline} {inline}", "It is released under the\nMIT License. It is\nlicensed under the\n\nApache License, Version 2.0, too.",
+        "See here: this work is licensed under CC BY-NC 4.0. Also this work is licensed under CC BY 4.0. And that is all there is to say of it here, in many other words.",
+        *(" ".join(rng.choice(pool) for _ in range(60)) for _ in range(4)), "words before " + licenses.TEXTS["MIT"][:c] + " words after", "",
+    ]
+    for text in texts:
+        got = licenses.find(text, known)
+        want = every_window(text, known)
+        lines = [r for r in got if (r[2], r[3]) in set(licenses.passages(text)) and r not in want]
+        assert sorted(got) == sorted(want + lines), text
+    (found,) = licenses.find(inline, known)
+    assert found[:2] == ("CC-BY-4.0", 1.0) and inline[found[2] : found[3]] == "This work is licensed under CC BY 4.0"
+    for text in (mit, f"{prose}\n\n{mit}\n\n{prose}", f"{prose} {mit} {prose}".replace("\n\n", "\n")):
+        (found,) = [r for r in licenses.find(text, known) if r[0] == "MIT"]
+        assert found[1] > 0.98 and text[found[2] :].lstrip().startswith("Permission is hereby") and re.search(r"OTHER DEALINGS IN\s(THE SOFTWARE\.)?$", text[: found[3]] + ("" if found[3] == len(text) else " "))
+    many = "\n".join(["This work is licensed under CC BY-NC 4.0, they say, and so do we all."] * 300)
+    assert [r[0] for r in licenses.find(many, known)].count("CC-BY-NC-4.0") >= 300
+
+
 # --- 10 HTML
 
 PAGE = (
