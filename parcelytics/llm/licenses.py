@@ -5,14 +5,18 @@ from __future__ import annotations
 import bisect
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelytics.llm.license_texts import BODIES
+
 #: Dice coefficient from which a passage is taken as a licence.
 THRESHOLD = 0.8
 
@@ -58,14 +62,18 @@ express or implied. See the License for the specific language governing permissi
 }
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: Templates of more bigrams have no anchor words; texts long enough for one are compared by their bigrams.
+_LONG = 500
 _SPLIT = re.compile(r"\n[ \t\r\f\v]*\n")
 
 
 def templates() -> dict[str, list[str]]:
-    """Licence to its templates: every notice with every name, and the texts."""
+    """Licence to its templates: every notice with every name, the texts, and the standard headers."""
     out = {k: [n.format(name) for name in names for n in NOTICES] for k, names in NAMES.items()}
     for k, text in TEXTS.items():
         out.setdefault(k, []).append(text)
+    for k, texts in BODIES.items():
+        out.setdefault(k, []).extend(texts)
     return out
 
 
@@ -104,6 +112,8 @@ class Templates:
                 use[w] = use.get(w, 0) + 1
         plain = set("the of or a to under is this in and any for work terms".split())
         for _, s in self.rows:
+            if len(s) > _LONG:
+                continue
             spare = len(s) - self.threshold / (2 - self.threshold) * len(s)
             words = sorted({w for pair in s for w in pair}, key=lambda w: (w in plain, w not in ("license", "licensed", "released"), -len(w), w))
             for w in words:
@@ -118,10 +128,17 @@ class Templates:
         for k, (_, s) in enumerate(self.rows):
             for pair in s:
                 self.holding.setdefault(pair, []).append(k)
+        least = self.threshold / (2 - self.threshold)
+        #: Words of a text that reaches a template without anchor words, at least.
+        self.long = min((least * n for n in self.sizes if n > _LONG), default=float("inf"))
         self.of: dict[str, list[int]] = {}
         for k, (name, _) in enumerate(self.rows):
             self.of.setdefault(name, []).append(k)
 
+    def shared(self, own: set[tuple[str, str]], name: str) -> int:
+        """Bigrams of `own` that the nearest template of a licence holds."""
+        return max(len(own & self.rows[k][1]) for k in self.of[name])
+
     def best(self, words: list[str]) -> list[tuple[str, float]]:
         """Licences whose best template reaches the threshold, best first; size bounds leave out the other templates."""
         own = bigrams(words)
@@ -185,7 +202,9 @@ def _best_windows(
         k = int(np.argmax(dice))
         return (-float(dice[k]), k, i, i + k) if dice[k] >= threshold - 1e-12 else None
 
-    queue = [w for i in np.flatnonzero(inside).tolist() if (w := best(i, len(inside) - 1))]
+    starts = np.flatnonzero(inside)
+    starts = starts[: max(0, len(starts) - int(np.ceil(size * threshold / (2 - threshold) - 1e-9)) + 1)]  # enough of it must follow
+    queue = [w for i in starts.tolist() if (w := best(i, len(inside) - 1))]
     heapq.heapify(queue)
     starts, taken = [], {}
     while queue:
@@ -202,19 +221,22 @@ def _best_windows(
     return list(taken.values())
 
 
-def _windows(text: str, plain: str, known: Templates, taken: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
-    """(licence, dice, start, end) of the word windows that are a licence and that no span of `taken` tells already."""
-    words = _WORD.findall(plain)
-    pairs = list(zip(words, words[1:]))
+def _near(pairs: list[tuple[str, str]], known: Templates) -> list[int]:
+    """Templates that a part of the text can reach: at t it holds t / (2 - t) of the template's bigrams at least."""
     counts: dict[int, int] = {}
     for pair in known.holding.keys() & set(pairs):
         for k in known.holding[pair]:
             counts[k] = counts.get(k, 0) + 1
-    # a window at t holds t / (2 - t) of the template's bigrams at least
     least = known.threshold / (2 - known.threshold)
-    near = sorted(k for k, n in counts.items() if n >= least * known.sizes[k] - 1e-9)
-    if not near:
-        return []
+    return sorted(k for k, n in counts.items() if n >= least * known.sizes[k] - 1e-9)
+
+
+def _windows(
+    text: str, plain: str, words: list[str], near: list[int], known: Templates, taken: list[tuple[str, float, int, int]]
+) -> list[tuple[str, float, int, int]]:
+    """(licence, dice, start, end) of the word windows that are a licence and that no span of `taken` tells already."""
+    pairs = list(zip(words, words[1:]))
+    least = known.threshold / (2 - known.threshold)
     seen: dict[tuple[str, str], int] = {}
     before, after = np.full(len(pairs), -1), np.full(len(pairs), len(pairs))
     for at, pair in enumerate(pairs):
@@ -237,8 +259,9 @@ def _windows(text: str, plain: str, known: Templates, taken: list[tuple[str, flo
             w.add(name)
     out: list[tuple[str, float, int, int]] = []
     for dice, _, first, name, last in sorted(found):
-        own, told = set(pairs[first : last + 1]), set().union(*over[first : last + 2])
-        if name not in told and all(2 * len(own & known.rows[k][1]) / (len(own) + len(known.rows[k][1])) < -dice for n in told for k in known.of[n]):
+        own, covered = set(pairs[first : last + 1]), Counter(chain.from_iterable(over[first : last + 2]))
+        told = {n for n, c in covered.items() if 2 * c >= last + 2 - first}
+        if name not in told and not any(known.shared(own, n) >= known.shared(own, name) for n in told):
             out.append((name, -dice, starts[first], ends[last + 1]))
             for w in over[first : last + 2]:
                 w.add(name)
@@ -250,13 +273,19 @@ def find(text: str, known: Templates) -> list[tuple[str, float, int, int]]:
     of the best word windows for what stands across or inside passages."""
     plain = text.lower()
     hits = np.array([m.start() for m in known.pattern.finditer(plain)], np.int64)
-    if not len(hits):
+    # every word but the last takes a sign and a space at least
+    if not len(hits) and len(plain) < 2 * known.long:
         return []
+    every = _WORD.findall(plain)
+    near = _near(list(zip(every, every[1:])), known)
+    if not near:
+        return []
+    large = known.sizes[near[-1]] > _LONG
     aligned = len(plain) == len(text)  # rare signs grow in lower case; then places don't tell which passage they are in
     most = int(known.sizes[-1] * (2 - known.threshold) / known.threshold) + 1
     out = []
     for start, end in passages(text):
-        if aligned and np.searchsorted(hits, start) == np.searchsorted(hits, end):
+        if aligned and not large and np.searchsorted(hits, start) == np.searchsorted(hits, end):
             continue  # no anchor word in it
         words = normalised(text[start:end])
         # a passage of more different bigrams than the largest template allows can't reach the threshold
@@ -265,7 +294,15 @@ def find(text: str, known: Templates) -> list[tuple[str, float, int, int]]:
         best = known.best(words)
         if best:
             out.append((best[0][0], best[0][1], start, end))
-    return sorted(out + _windows(text, plain, known, out), key=lambda r: (r[2], r[3]))
+    windows = _windows(text, plain, every, near, known, out)
+
+    def part(name: str, dice: float, start: int, end: int) -> bool:
+        """Whether a passage is a part of another licence's window, which holds its words as well."""
+        over = {n for n, d, s, e in windows if n != name and s <= start and end <= e and d >= dice}
+        own = bigrams(normalised(text[start:end])) if over else set()
+        return any(known.shared(own, n) >= known.shared(own, name) for n in over)
+
+    return sorted([r for r in out if not part(*r)] + windows, key=lambda r: (r[2], r[3]))
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "licenses", threshold: float = THRESHOLD) -> DataFrame:
@@ -273,7 +310,8 @@ def scan(df: DataFrame, text: str = "text", out: str = "licenses", threshold: fl
 
     Places count code points, end exclusive. A passage is a line, a paragraph or the whole text; nested ones that reach
     the threshold are all listed. A licence that stands inside a line or over several paragraphs is listed by its best window
-    of words: best first, unless a span listed already meets it and has the same licence or one at least as near. Null and empty texts have none, equal texts agree, an empty table gives no rows, a
+    of words: best first, unless half of it stands in spans listed already of the same licence or of one that holds as many of its
+    word pairs; nor is a passage listed that is a part of such a window of another licence. Null and empty texts have none, equal texts agree, an empty table gives no rows, a
     column called like `out` is replaced and all others stay. The templates are a fixed list, so nothing is shuffled.
     """
 

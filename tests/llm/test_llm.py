@@ -441,8 +441,8 @@ def every_window(text, known):
     out = []
     for dice, _, i, name, j in sorted(found):
         s, e, own = words[i][0], words[j + 1][1], set(pairs[i : j + 1])
-        others = {n for n, a, b in taken if a < e and s < b}
-        if name not in others and not any(n in others and 2 * len(own & t) / (len(own) + len(t)) >= -dice for n, t in known.rows):
+        others = {n for n, _, _ in taken if 2 * sum(any(m == n and a < y and x < b for m, a, b in taken) for x, y, _ in words[i : j + 2]) >= j + 2 - i}
+        if name not in others and not any(n in others and len(own & t) >= max(len(own & u) for m, u in known.rows if m == name) for n, t in known.rows):
             taken.append((name, s, e))
             out.append((name, -dice, s, e))
     return out
@@ -476,6 +476,20 @@ def test_license_windows():
     assert [r[0] for r in licenses.find(many, known)].count("CC-BY-NC-4.0") >= 300
 
 
+def test_license_bodies():
+    """Full texts and headers, in other prose, have their own licence and no other."""
+    from parcelytics.llm.license_texts import BODIES
+
+    known = licenses.Templates(licenses.THRESHOLD)
+    prose = "\n".join(" ".join(f"w{k} x{j}" for j in range(12)) for k in range(300))
+    for name, texts in BODIES.items():
+        for text in texts:
+            words = text.split()
+            broken = "\n".join(" ".join(words[k : k + 11]) + ("\n" if k % 44 == 0 else "") for k in range(0, len(words), 11))
+            found = licenses.find(f"{prose}\n\n{broken}\n\n{prose}", known)
+            assert {r[0] for r in found} == {name} and max(r[1] for r in found) >= 0.8, (name, found)
+
+
 # --- 10 HTML
 
 PAGE = (
