@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelytics.llm.sampling import smallest_hashes
+from parcelytics.llm.sampling import smallest_keys
 
 #: Pages (those with the smallest hash) a labeller is fitted on at most, blocks of each that it reads, passes and seed.
 TRAINING_PAGES, TRAINING_BLOCKS, PASSES, SEED = 300, 50, 20, 5
@@ -346,13 +346,13 @@ def reframed(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block]
 
 
 def fit(pages: DataFrame, html: str = "html", most: int = TRAINING_PAGES, seed: int = SEED) -> Labeller:
-    """A labeller from at most `most` pages, those whose hash is smallest; copies among them are read once.
+    """A labeller from at most `most` different pages, those whose hash is smallest; copies count and are read once.
 
     Each page is read as it stands, labelled by the names around its blocks, and again in random frames whose labels are
     known: two for each page, more where pages are few. Pages without such names still train through their frames. An empty table gives the labeller of the
     frames of a made-up page.
     """
-    chosen = smallest_hashes(pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("html")), F.col("html"), most).distinct().orderBy("html").collect()
+    chosen = smallest_keys(pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("html")), F.col("html"), most).distinct().orderBy("html").collect()
     rng = np.random.default_rng(seed)
     data = []
     for page in [r["html"] for r in chosen] or ["<article><h1>One title</h1><p>Some text, and more of it.</p></article>"]:

@@ -17,3 +17,13 @@ def smallest_hashes(df: DataFrame, key: Column, most: int) -> DataFrame:
     if count > 3 * most:
         hashed = hashed.filter(F.col("__hash") < int(-(2**63) + 3 * most / count * 2**64))
     return hashed.orderBy("__hash").limit(most).drop("__hash")
+
+
+def smallest_keys(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """The rows of `df` with the at most `most` different keys of the smallest hashes, however many rows share a key."""
+    keys = df.select(F.xxhash64(key).alias("__hash")).distinct()
+    count = keys.count()
+    if count > 3 * most:
+        keys = keys.filter(F.col("__hash") < int(-(2**63) + 3 * most / count * 2**64))
+    chosen = [r["__hash"] for r in keys.orderBy("__hash").limit(most).collect()]
+    return df.filter(F.xxhash64(key).isin(chosen)) if chosen else df.limit(0)

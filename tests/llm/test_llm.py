@@ -607,3 +607,21 @@ def test_bounded_sample(spark):
         got = smallest_hashes(frame.repartition(parts), F.col("k"), 100)
         assert sorted(r["h"] for r in got.select(F.xxhash64("k").alias("h")).collect()) == want and got.columns == ["id", "k"]
     assert smallest_hashes(frame, F.col("k"), 10_000).count() == 5000
+
+
+def test_sample_of_few_keys(spark, monkeypatch):
+    """A thousand copies of each page leave the sample as it is without copies."""
+    from parcelytics.llm.sampling import smallest_keys
+
+    frame = spark.range(40_000).withColumn("k", F.col("id") % 40)
+    want = sorted(r["h"] for r in spark.range(40).select(F.xxhash64("id").alias("h")).collect())[:10]
+    for parts in (1, 9):
+        got = smallest_keys(frame.repartition(parts), F.col("k"), 10)
+        assert got.count() == 10_000 and sorted(r["h"] for r in got.select(F.xxhash64("k").alias("h")).distinct().collect()) == want
+    assert smallest_keys(frame, F.col("k"), 40).count() == 40_000 and smallest_keys(frame.limit(0), F.col("k"), 4).count() == 0
+    pages = spark.range(8_000).select(F.concat(F.lit("<article><p>Page "), F.col("id") % 8, F.lit(" has a text.</p></article>")).alias("html"))
+    read = []
+    monkeypatch.setattr(html_blocks.Labeller, "fit", lambda self, data: self)
+    monkeypatch.setattr(html_blocks, "blocks_of", lambda page, own=html_blocks.blocks_of: read.append(page) or own(page))
+    html_blocks.fit(pages, most=5)
+    assert len(read) == len(set(read)) == 5 and all(p.startswith("<article><p>Page ") for p in read)
