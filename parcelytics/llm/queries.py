@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelytics.llm import embed_dedup, hilbert, html_blocks, licenses, media, mixing, ngram_jaccard, pieces, secrets, toxicity
+from parcelytics.llm import (
+    alignment, embed_dedup, fill_middle, hilbert, html_blocks, licenses, media, mixing, ngram_jaccard, pieces, secrets, substrings, toxicity,
+)
+from parcelytics.session import freeze
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +176,70 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages").select("page_id", "url", "html")
     out = html_blocks.main_text(pages, html_blocks.fit(pages))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    vocabularies = public_tokenizers.path("byte_bpe_50k.json"), piece_model_path()
+    aligned = alignment.align(_table(spark, folder, "documents").select("doc_id", "text"), *vocabularies)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    slim = freeze(aligned.select("doc_id", "n_a", "n_b", "links", digest))  # tokenized once, counted and scored from there
+    out = alignment.with_scores(slim, alignment.pair_counts(slim))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    out = fill_middle.restore(fill_middle.transform(_table(spark, folder, "documents").select("doc_id", "text")))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS unit,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), c AS (
+  SELECT *, len(unit) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(unit) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(unit) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), b AS (
+  SELECT *, array_to_string(unit[1:least(x, y)], '') AS prefix, array_to_string(unit[least(x, y) + 1:greatest(x, y)], '') AS middle,
+    array_to_string(unit[greatest(x, y) + 1:], '') AS suffix
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM b
+"""
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT rid, doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k, unnest([
+    CASE WHEN i + 49 <= len(words) THEN array_to_string(words[i:i + 49], ' ') END FOR i IN range(1, len(words) + 1)]) AS seen
+  FROM d
+), least_id AS (SELECT seen, min(doc_id) AS first_id FROM w WHERE seen IS NOT NULL AND doc_id IS NOT NULL GROUP BY seen
+), hit AS (
+  SELECT w.rid, w.k, w.word, CASE WHEN l.first_id < w.doc_id THEN w.k END AS begins FROM w LEFT JOIN least_id l ON l.seen = w.seen
+), covered AS (
+  SELECT rid, k, word, coalesce(max(begins) OVER (PARTITION BY rid ORDER BY k) >= k - 49, false) AS gone FROM hit
+), per AS (
+  SELECT rid, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY rid
+)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (rid)
+"""
