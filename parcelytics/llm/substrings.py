@@ -170,7 +170,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
         return words, counts, *window_hashes(words, counts, window)
 
     def sent(table: pa.Table) -> pa.Table:
-        _, _, one, two, _, _ = hashed(table)
+        _, _, one, two, _, _ = hashed(table if table["__place"][0].as_py() >= 0 else table.slice(0, 0))  # no key: compared with nothing
         one, first = np.unique(one, return_index=True)
         bucket, hashes = _split(one, (two[first] % np.uint64(buckets)).astype(np.int64))
         ends = [np.full(len(hashes), table[c][0].as_py(), np.int32) for c in ("__place", "__part")]
@@ -208,7 +208,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             ["__row", "n_words", "n_removed", "removed", "kept"],
         )
 
-    requests = slim.filter("__place >= 0").groupBy("__place", "__part").applyInArrow(sent, "bucket long, place int, part int, hashes binary")
+    requests = slim.groupBy("__place", "__part").applyInArrow(sent, "bucket long, place int, part int, hashes binary")
     answers = requests.groupBy("bucket").applyInArrow(answered, "place int, part int, hashes binary")
     span = "array<struct<start: int, end: int>>"
     schema = T.StructType([slim.schema["__row"]] + T._parse_datatype_string(f"n_words long, n_removed long, removed {span}, kept binary").fields)
