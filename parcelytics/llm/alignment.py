@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
@@ -20,7 +19,7 @@ from parcelytics.session import freeze
 #: Texts of more bytes are cut into ranges of RANGE bytes; a range reads at most CONTEXT bytes more at each end; fragments united at a time.
 LONG, RANGE, CONTEXT, FAN = 64 << 10, 32 << 10, 4 << 10, 8
 #: Bytes of text whose tokens a task holds at a time (or one longer unit).
-_PORTION = 1 << 20
+_PORTION = 1 << 18
 
 # How byte-level vocabularies cut texts before their merges, and the bytes that their entries write as themselves.
 _PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -252,6 +251,8 @@ def _portions(units: Iterator[tuple]) -> Iterator[list[tuple]]:
 def _long_texts(rows: DataFrame, shared) -> DataFrame:
     """(__row, n_a, n_b, groups, links) of long texts: their ranges dealt over the tasks, fragments united in a tree."""
 
+    names = list(Fragment.__dataclass_fields__)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row, text in zip(batch["__row"], batch["__text"]):
@@ -262,28 +263,31 @@ def _long_texts(rows: DataFrame, shared) -> DataFrame:
         a, b = _models(shared)
         for batch in batches:
             for held in _portions(zip(batch["unit"], batch["begin"], batch["end"], batch["__row"], batch["seq"])):
-                out = pd.DataFrame([astuple(f) for f in fragments(a, b, [h[:3] for h in held])], columns=list(Fragment.__dataclass_fields__))
+                out = pd.DataFrame([astuple(f) for f in fragments(a, b, [h[:3] for h in held])], columns=names)
                 yield out.assign(__row=[h[3] for h in held], seq=[h[4] for h in held])
 
-    def unite(group: pd.DataFrame) -> pd.DataFrame:
-        total = Fragment()
-        names = list(Fragment.__dataclass_fields__)
+    def total(group: pd.DataFrame) -> Fragment:
+        out = Fragment()
         for values in group.sort_values("seq")[names].itertuples(index=False):
-            total = union(total, Fragment(*values))
-        out = pd.DataFrame([astuple(total)], columns=names)
+            out = union(out, Fragment(*values))
+        return out
+
+    def unite(group: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame([astuple(total(group))], columns=names)
         return out.assign(__row=group["__row"].iloc[0], seq=group["seq"].iloc[0] // FAN)
 
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(group["__row"].iloc[0], *finished(total(group)))], columns=["__row", "n_a", "n_b", "groups", "links"])
+
     longest = rows.agg(F.max(F.octet_length("__text")).alias("n")).first()["n"]
     found = rows.select("__row", "__text").mapInPandas(cut, "__row long, seq long, unit binary, begin long, end long")
     found = found.repartition("__row", "seq").mapInPandas(read, f"__row long, seq long, {_FIELDS}")
-    for _ in range(math.ceil(math.log(longest // RANGE + 2, FAN))):
+    count = longest // RANGE + 1
+    while count > FAN:
         found = found.groupBy("__row", F.floor(F.col("seq") / FAN).alias("__to")).applyInPandas(unite, f"__row long, seq long, {_FIELDS}")
-
-    @F.pandas_udf("n_a long, n_b long, groups binary, links binary")
-    def whole(fields: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([finished(Fragment(*f)) for f in fields.itertuples(index=False)], columns=["n_a", "n_b", "groups", "links"])
-
-    return found.select("__row", whole(F.struct(*Fragment.__dataclass_fields__)).alias("__al"))
+        count = -(-count // FAN)
+    done = found.groupBy("__row").applyInPandas(finish, "__row long, n_a long, n_b long, groups binary, links binary")
+    return done.select("__row", F.struct("n_a", "n_b", "groups", "links").alias("__al"))
 
 
 def align(df: DataFrame, byte_level: str, pieces: str, text: str = "text") -> DataFrame:
