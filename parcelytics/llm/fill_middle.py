@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 #: Of 100 texts, so many are transformed, and of 100 transformed ones so many have the suffix first.
 TRANSFORMED, SUFFIX_FIRST = 90, 20
-#: Bytes that a reversal copies at a time.
-_SWAP = 1 << 16
+#: Bytes that a reversal copies at a time, and rows whose outputs a task holds at a time.
+_SWAP, _ROWS = 1 << 16, 500
 
 
 def draws(key: str, seed: int = 1) -> list[Column]:
@@ -108,10 +108,12 @@ def transform(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int
 
     @F.pandas_udf("n long, form string, prefix_chars long, middle_chars long, output binary")
     def transformed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for texts, *h in batches:
-            rows = [transform_text(t or b"", draw) for t, draw in zip(texts, zip(*h))]
-            out = pd.DataFrame(rows, columns=["n", "form", "prefix_chars", "middle_chars", "output"])
-            yield out.astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
+        for batch in batches:
+            for at in range(0, len(batch[0]), _ROWS):
+                texts, *h = (column.iloc[at : at + _ROWS] for column in batch)
+                rows = [transform_text(t or b"", draw) for t, draw in zip(texts, zip(*h))]
+                out = pd.DataFrame(rows, columns=["n", "form", "prefix_chars", "middle_chars", "output"])
+                yield out.astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
 
     own = ("n", "form", "prefix_chars", "middle_chars", "output")
     done = df.withColumn("__fim", transformed(F.col(text).cast("binary"), *draws(key, seed)))
@@ -124,7 +126,10 @@ def restore(df: DataFrame, output: str = "output", form: str = "form", out: str
     """`df` with the text of each row rebuilt from its output and form; nulls give null, a column called like `out` is replaced."""
 
     @F.pandas_udf("binary")
-    def restored(outputs: pd.Series, forms: pd.Series) -> pd.Series:
-        return pd.Series([None if o is None or f is None else restore_text(o, f) for o, f in zip(outputs, forms)], dtype=object)
+    def restored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for outputs, forms in batches:
+            for at in range(0, len(outputs), _ROWS):
+                pairs = zip(outputs.iloc[at : at + _ROWS], forms.iloc[at : at + _ROWS])
+                yield pd.Series([None if o is None or f is None else restore_text(o, f) for o, f in pairs], dtype=object)
 
     return df.withColumn(out, restored(F.col(output).cast("binary"), F.col(form)).cast("string"))
