@@ -9,17 +9,19 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelytics.session import freeze
 
 #: Texts of more bytes are cut into ranges of RANGE bytes; a range reads at most CONTEXT bytes more at each end; fragments united at a time.
 LONG, RANGE, CONTEXT, FAN = 64 << 10, 32 << 10, 4 << 10, 8
-#: Bytes of text whose tokens a task holds at a time (or one longer unit).
-_PORTION = 1 << 18
+#: Bytes of text whose tokens a task holds at a time (or one longer unit), and bytes of links that it counts at a time.
+_PORTION, _LINKS = 1 << 18, 1 << 22
 
 # How byte-level vocabularies cut texts before their merges, and the bytes that their entries write as themselves.
 _PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -235,11 +237,11 @@ def _models(shared) -> tuple[ByteLevel, Pieces]:
     return _LOADED[shared.value]
 
 
-def _portions(units: Iterator[tuple]) -> Iterator[list[tuple]]:
+def _portions(units: Iterator[tuple], limit: int = _PORTION) -> Iterator[list[tuple]]:
     """Tuples (unit first) in lists of a bounded number of bytes, or of one longer unit."""
     held, size = [], 0
     for x in units:
-        if held and size + len(x[0]) > _PORTION:
+        if held and size + len(x[0]) > limit:
             yield held
             held, size = [], 0
         held.append(x)
@@ -248,15 +250,15 @@ def _portions(units: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _long_texts(rows: DataFrame, shared) -> DataFrame:
+def _long_texts(rows: DataFrame, text: str, shared) -> DataFrame:
     """(__row, n_a, n_b, groups, links) of long texts: their ranges dealt over the tasks, fragments united in a tree."""
 
     names = list(Fragment.__dataclass_fields__)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row, text in zip(batch["__row"], batch["__text"]):
-                for k, (unit, begin, end) in enumerate(ranges(b" " + text)):
+            for row, body in zip(batch["__row"], batch["__text"]):
+                for k, (unit, begin, end) in enumerate(ranges(b" " + body)):
                     yield pd.DataFrame({"__row": [row], "seq": [k], "unit": [unit], "begin": [begin], "end": [end]})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,15 +281,14 @@ def _long_texts(rows: DataFrame, shared) -> DataFrame:
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(group["__row"].iloc[0], *finished(total(group)))], columns=["__row", "n_a", "n_b", "groups", "links"])
 
-    longest = rows.agg(F.max(F.octet_length("__text")).alias("n")).first()["n"]
-    found = rows.select("__row", "__text").mapInPandas(cut, "__row long, seq long, unit binary, begin long, end long")
+    longest = rows.agg(F.max(F.octet_length(text)).alias("n")).first()["n"]
+    found = rows.select("__row", F.col(text).cast("binary").alias("__text")).mapInPandas(cut, "__row long, seq long, unit binary, begin long, end long")
     found = found.repartition("__row", "seq").mapInPandas(read, f"__row long, seq long, {_FIELDS}")
     count = longest // RANGE + 1
     while count > FAN:
         found = found.groupBy("__row", F.floor(F.col("seq") / FAN).alias("__to")).applyInPandas(unite, f"__row long, seq long, {_FIELDS}")
         count = -(-count // FAN)
-    done = found.groupBy("__row").applyInPandas(finish, "__row long, n_a long, n_b long, groups binary, links binary")
-    return done.select("__row", F.struct("n_a", "n_b", "groups", "links").alias("__al"))
+    return found.groupBy("__row").applyInPandas(finish, "__row long, n_a long, n_b long, groups binary, links binary")
 
 
 def align(df: DataFrame, byte_level: str, pieces: str, text: str = "text") -> DataFrame:
@@ -305,24 +306,26 @@ def align(df: DataFrame, byte_level: str, pieces: str, text: str = "text") -> Da
         shared = df.sparkSession.sparkContext.broadcast((x.read(), y.read()))
     own = ("n_a", "n_b", "groups", "links")
     rest = [c for c in df.columns if c not in own]
-    body = df.select(*rest, F.col(text).cast("binary").alias("__text"))
+    body = df.select(*rest)
 
-    @F.pandas_udf("n_a long, n_b long, groups binary, links binary")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _models(shared)
         for batch in batches:
-            for held in _portions((b" " + (t or b""), 0, len(t or b"") + 1) for t in batch):
-                found = fragments(a, b, held)
-                rows = [finished(f) if len(u) > 1 else (0, 0, b"", b"") for f, (u, _, _) in zip(found, held)]
-                yield pd.DataFrame(rows, columns=list(own))
+            at, texts = 0, batch[text].cast(pa.binary())
+            for held in _portions((b" " + (t.as_py() or b""), 0, len(t.as_py() or b"") + 1) for t in texts):
+                found = [finished(f) if len(u) > 1 else (0, 0, b"", b"") for f, (u, _, _) in zip(fragments(a, b, held), held)]
+                done = [pa.array(x, kind) for x, kind in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*[batch[c].slice(at, len(held)) for c in rest], *done], [*rest, *own])
+                at += len(held)
 
     def shown(done: DataFrame) -> DataFrame:
-        return done.select(*rest, *[(F.col(f"__al.{c}").cast("string") if c == "groups" else F.col(f"__al.{c}")).alias(c) for c in own])
+        return done.select(*rest, *[(F.col(c).cast("string") if c == "groups" else F.col(c)).alias(c) for c in own])
 
-    is_long = F.coalesce(F.octet_length("__text"), F.lit(0)) > LONG
-    out = shown(body.filter(~is_long).withColumn("__al", whole("__text")))
+    is_long = F.coalesce(F.octet_length(text), F.lit(0)) > LONG
+    schema = T.StructType([*body.schema, *T._parse_datatype_string("n_a long, n_b long, groups binary, links binary")])
+    out = shown(body.filter(~is_long).mapInArrow(whole, schema))
     long = freeze(body.filter(is_long).withColumn("__row", F.monotonically_increasing_id()))
-    return out.unionByName(shown(long.join(_long_texts(long, shared), "__row"))) if long.head(1) else out
+    return out.unionByName(shown(long.join(_long_texts(long, text, shared), "__row"))) if long.head(1) else out
 
 
 def pair_bound(byte_level: str, pieces: str) -> int:
@@ -344,10 +347,10 @@ def pair_counts(aligned: DataFrame, links: str = "links") -> DataFrame:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
-            found = np.frombuffer(b"".join(x for x in batch["links"] if x), "<u8")
-            new, n = np.unique(found, return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([times, n]), len(keys)).astype(np.int64)
+            for held in _portions(((x or b"",) for x in batch["links"]), _LINKS):
+                new, n = np.unique(np.frombuffer(b"".join(x for x, in held), "<u8"), return_counts=True)
+                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                times = np.bincount(at, np.concatenate([times, n]), len(keys)).astype(np.int64)
         a, b = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)
         yield pd.DataFrame({"a_id": a.astype(np.int64), "b_id": b.astype(np.int64), "n": times})
 
@@ -366,16 +369,17 @@ def with_scores(aligned: DataFrame, counts: DataFrame, links: str = "links") ->
     shared = aligned.sparkSession.sparkContext.broadcast((table["key"].to_numpy(np.uint64), table["n"].to_numpy(np.int64), best.to_numpy(bool)))
 
     @F.pandas_udf("n_links long, n_best long, count_sum long")
-    def scored(batch: pd.Series) -> pd.DataFrame:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         keys, n, top = shared.value
         keys, n, top = np.append(keys, ~np.uint64(0)), np.append(n, 0), np.append(top, False)
-        parts = [np.frombuffer(x or b"", "<u8") for x in batch]
-        found = np.concatenate([*parts, np.empty(0, np.uint64)])
-        at = np.searchsorted(keys, found)
-        at = np.where(keys[at] == found, at, len(keys) - 1)
-        ends = _offsets([len(p) for p in parts])
-        sums = [_offsets(x)[ends] for x in (top[at].astype(np.int64), n[at])]
-        return pd.DataFrame({"n_links": np.diff(ends), "n_best": np.diff(sums[0]), "count_sum": np.diff(sums[1])})
+        for batch in batches:
+            for held in _portions((x or b"",) for x in batch):
+                found = np.frombuffer(b"".join(x for x, in held), "<u8")
+                at = np.searchsorted(keys, found)
+                at = np.where(keys[at] == found, at, len(keys) - 1)
+                ends = _offsets([len(x) // 8 for x, in held])
+                sums = [_offsets(x)[ends] for x in (top[at].astype(np.int64), n[at])]
+                yield pd.DataFrame({"n_links": np.diff(ends), "n_best": np.diff(sums[0]), "count_sum": np.diff(sums[1])})
 
     own = ("n_groups", "n_links", "n_best", "count_sum")
     done = aligned.withColumn("__score", scored(F.col(links)))
