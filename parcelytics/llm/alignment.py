@@ -344,17 +344,17 @@ def pair_bound(byte_level: str, pieces: str) -> int:
 def pair_counts(aligned: DataFrame, links: str = "links") -> DataFrame:
     """(a_id, b_id, n): how many links of all rows hold each pair of ids. Every task counts what it reads before anything is shuffled."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
-            for held in _portions(((x or b"",) for x in batch["links"]), _LINKS):
+            for held in _portions(((x.as_py() or b"",) for x in batch["links"]), _LINKS):
                 new, n = np.unique(np.frombuffer(b"".join(x for x, in held), "<u8"), return_counts=True)
                 keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 times = np.bincount(at, np.concatenate([times, n]), len(keys)).astype(np.int64)
-        a, b = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)
-        yield pd.DataFrame({"a_id": a.astype(np.int64), "b_id": b.astype(np.int64), "n": times})
+        ids = ((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), (keys >> np.uint64(32)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(times)], ["a_id", "b_id", "n"])
 
-    each = aligned.select(F.col(links).alias("links")).mapInPandas(counted, "a_id long, b_id long, n long")
+    each = aligned.select(F.col(links).alias("links")).mapInArrow(counted, "a_id long, b_id long, n long")
     return each.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
 
@@ -368,21 +368,23 @@ def with_scores(aligned: DataFrame, counts: DataFrame, links: str = "links") ->
     best = table["n"] == table.groupby("b_id")["n"].transform("max")
     shared = aligned.sparkSession.sparkContext.broadcast((table["key"].to_numpy(np.uint64), table["n"].to_numpy(np.int64), best.to_numpy(bool)))
 
-    @F.pandas_udf("n_links long, n_best long, count_sum long")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    own = ("n_groups", "n_links", "n_best", "count_sum")
+    rest = [c for c in aligned.columns if c not in own]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, top = shared.value
         keys, n, top = np.append(keys, ~np.uint64(0)), np.append(n, 0), np.append(top, False)
         for batch in batches:
-            for held in _portions((x or b"",) for x in batch):
+            done = 0
+            for held in _portions((x.as_py() or b"",) for x in batch[links]):
                 found = np.frombuffer(b"".join(x for x, in held), "<u8")
                 at = np.searchsorted(keys, found)
                 at = np.where(keys[at] == found, at, len(keys) - 1)
-                ends = _offsets([len(x) // 8 for x, in held])
-                sums = [_offsets(x)[ends] for x in (top[at].astype(np.int64), n[at])]
-                yield pd.DataFrame({"n_links": np.diff(ends), "n_best": np.diff(sums[0]), "count_sum": np.diff(sums[1])})
-
-    own = ("n_groups", "n_links", "n_best", "count_sum")
-    done = aligned.withColumn("__score", scored(F.col(links)))
-    return done.select(
-        *[c for c in aligned.columns if c not in own], F.col("__score.n_links").alias("n_groups"), *[F.col(f"__score.{c}").alias(c) for c in own[1:]]
-    )
+                ends = _offsets(np.array([len(x) // 8 for x, in held], np.int64))
+                count, best, total = (np.diff(x) for x in (ends, _offsets(top[at].astype(np.int64))[ends], _offsets(n[at])[ends]))
+                columns = [batch[c].slice(done, len(held)) for c in rest]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (count, count, best, total))], [*rest, *own])
+                done += len(held)
+
+    numbers = T._parse_datatype_string(", ".join(f"{c} long" for c in own))
+    return aligned.select(*rest).mapInArrow(scored, T.StructType([*aligned.select(*rest).schema, *numbers]))
