@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parcelytics.catalog.registry import query
 from parcelytics.catalog.registry import rounded as r
+from parcelytics.catalog.views import blocks_sql
 from parcelytics.functions import text
 from parcelytics.operators import aggregates as agg
 from parcelytics.operators import rules
@@ -79,13 +80,13 @@ f AS (SELECT cust, status, count(*) AS n, arg_min(body, o) AS fb, min(o) AS fo,
 s AS (SELECT k.cust, k.status, 1 - levenshtein(body, fb) / CAST(greatest(length(body), length(fb)) AS DOUBLE) AS sim FROM k JOIN f ON k.cust = f.cust AND k.status = f.status AND k.o <> f.fo)"""
 
 
-def evidence(t):
+def evidence(t, similarity=text.edit_ratio):
     df = t.orders.select(
         F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"),
         F.concat_ws("#", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("body"),
         F.col("o_orderdate").alias("d"), F.col("o_orderkey").alias("o"),
     )
-    return agg.dup_evidence(df, ["cust", "status"], F.col("o"), "body", "d", {"n_dates": "d"})
+    return agg.dup_evidence(df, ["cust", "status"], F.col("o"), "body", "d", {"n_dates": "d"}, similarity)
 
 
 @query("E9_dup_evidence", f"""WITH {EVIDENCE}
@@ -104,6 +105,23 @@ def _(t):
     return agg.threshold_counts(evidence(t), "min_similarity", THRESHOLDS)
 
 
+EVIDENCE_BLOCKS = EVIDENCE.partition("s AS (")[0] + blocks_sql("SELECT fb AS a, body AS b FROM k JOIN f ON k.cust = f.cust AND k.status = f.status AND k.o <> f.fo") + """,
+s AS (SELECT k.cust, k.status, ratio AS sim FROM k JOIN f ON k.cust = f.cust AND k.status = f.status AND k.o <> f.fo JOIN mr ON a = fb AND b = body)"""
+
+
+@query("E9_dup_evidence_blocks", f"""WITH RECURSIVE {EVIDENCE_BLOCKS}
+SELECT f.cust, f.status, any_value(n) AS n, CAST(any_value(span_days) AS INT) AS span_days, any_value(n_dates) AS n_dates, round(min(sim), 6) AS min_similarity, round(avg(sim), 6) AS mean_similarity
+FROM f JOIN s ON f.cust = s.cust AND f.status = s.status GROUP BY 1, 2""")
+def _(t):
+    return evidence(t, agg.member_blocks).select("cust", "status", "n", "span_days", "n_dates", r("min_similarity"), r("mean_similarity"))
+
+
+@query("E10_near_dup_buckets_blocks", f"""WITH RECURSIVE {EVIDENCE_BLOCKS}, m AS (SELECT min(sim) AS lo FROM s GROUP BY cust, status), x AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold)
+SELECT threshold, count(*) FILTER (lo >= threshold) AS n FROM m, x GROUP BY 1""")
+def _(t):
+    return agg.threshold_counts(evidence(t, agg.member_blocks), "min_similarity", THRESHOLDS)
+
+
 @query("E11_value_counts", """
 SELECT o_orderpriority, count(*) AS n, round(100 * count(*) / CAST((SELECT count(*) FROM orders) AS DOUBLE), 6) AS share_pct FROM orders GROUP BY 1""")
 def _(t):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from parcelytics import fixed_values as fv
 from parcelytics.catalog.registry import query
 from parcelytics.catalog.registry import rounded as r
-from parcelytics.catalog.views import haversine_sql, sound_sql
+from parcelytics.catalog.views import blocks_sql, haversine_sql, sound_sql
 from parcelytics.functions import text
 from parcelytics.operators import matching as m
 
@@ -154,50 +154,87 @@ def _(t):
     return m.near_misses(queries.select(worse.alias("q")), "q", pool, "n", 0.70, 0.85).select("q", "n", r("ratio"))
 
 
-@query("D11_fuzzy_match_exact_ratio")
+@query("D11_fuzzy_match_exact_ratio", f"""
+WITH RECURSIVE {MISSPELT}, {blocks_sql("SELECT n AS a, q AS b FROM q, p UNION ALL SELECT q, n FROM q, p", 0.90)},
+s AS (SELECT b AS q, a AS n, row_number() OVER (PARTITION BY b ORDER BY ratio DESC, a DESC) AS rn FROM mr JOIN p ON a = n JOIN q ON b = q WHERE ratio >= 0.90)
+SELECT s.q, s.n, round(ratio, 6) AS ratio FROM s JOIN mr ON a = s.q AND b = s.n WHERE rn = 1""")
 def _(t):
     queries, pool = misspelt(t)
     return m.fuzzy_match(queries, "q", pool, "n", 0.90, "matching").select("q", "n", r("ratio"))
 
 
-@query("D12_name_pool_match", """
-WITH p AS (SELECT DISTINCT p_brand AS scope, replace(p_name, ' ', '') || CASE p_partkey % 3 WHEN 0 THEN 'north' WHEN 1 THEN '2' ELSE '' END AS n FROM part),
+POOL = """p AS (SELECT DISTINCT p_brand AS scope, replace(p_name, ' ', '') || CASE p_partkey % 3 WHEN 0 THEN 'north' WHEN 1 THEN '2' ELSE '' END AS n FROM part),
 w AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN 'Brand#99' ELSE p_brand END AS scope, CASE WHEN p_partkey % 4 = 0 THEN left(replace(p_name, ' ', ''), 2) || substring(replace(p_name, ' ', ''), 4) ELSE replace(p_name, ' ', '') END AS q,
   CASE WHEN p_partkey % 6 = 0 THEN 'h' ELSE '' END AS suffix FROM part WHERE p_name <> 'red ring'),
-x AS (SELECT DISTINCT scope, n, unnest(list_filter(list_transform(range(6, greatest(length(n), 7)), lambda j: CASE WHEN regexp_full_match(substring(n, CAST(j AS INT) + 1), '(north|south|east|west|[a-e]|[0-9])+') THEN left(n, j) END), lambda v: v IS NOT NULL)) AS head FROM p),
-f1 AS (SELECT w.*, n, row_number() OVER (PARTITION BY w.scope, q, suffix ORDER BY 1 - levenshtein(q, n) / CAST(greatest(length(q), length(n)) AS DOUBLE) DESC, n DESC) AS rn FROM w JOIN p ON w.scope = p.scope WHERE 1 - levenshtein(q, n) / CAST(greatest(length(q), length(n)) AS DOUBLE) >= 0.85),
-f3 AS (SELECT w.*, n, row_number() OVER (PARTITION BY w.scope, q, suffix ORDER BY 1 - levenshtein(q, n) / CAST(greatest(length(q), length(n)) AS DOUBLE) DESC, n DESC) AS rn FROM w JOIN (SELECT DISTINCT n FROM p) pp ON 1 - levenshtein(q, n) / CAST(greatest(length(q), length(n)) AS DOUBLE) >= 0.85),
-a AS (SELECT scope, q, suffix, n AS matched, 1 AS stage FROM f1 WHERE rn = 1 AND (suffix = '' OR ends_with(n, suffix))
+x AS (SELECT DISTINCT scope, n, unnest(list_filter(list_transform(range(6, greatest(length(n), 7)), lambda j: CASE WHEN regexp_full_match(substring(n, CAST(j AS INT) + 1), '(north|south|east|west|[a-e]|[0-9])+') THEN left(n, j) END), lambda v: v IS NOT NULL)) AS head FROM p)"""
+POOL_STAGES = """a AS (SELECT scope, q, suffix, n AS matched, 1 AS stage FROM f1 WHERE rn = 1 AND (suffix = '' OR ends_with(n, suffix))
   UNION ALL SELECT w.scope, q, suffix, string_agg(DISTINCT n, '|' ORDER BY n), 2 FROM w JOIN x ON w.scope = x.scope AND q = head GROUP BY 1, 2, 3
   UNION ALL SELECT scope, q, suffix, n, 3 FROM f3 WHERE rn = 1 AND (suffix = '' OR ends_with(n, suffix))
   UNION ALL SELECT w.scope, q, suffix, string_agg(DISTINCT n, '|' ORDER BY n), 4 FROM w JOIN x ON q = head GROUP BY 1, 2, 3)
-SELECT scope, q, suffix, arg_min(matched, stage) AS matched, CAST(min(stage) AS INT) AS stage FROM a GROUP BY 1, 2, 3""")
+SELECT scope, q, suffix, arg_min(matched, stage) AS matched, CAST(min(stage) AS INT) AS stage FROM a GROUP BY 1, 2, 3"""
+LEV_NAMES = "1 - levenshtein(q, n) / CAST(greatest(length(q), length(n)) AS DOUBLE)"
+
+
+@query("D12_name_pool_match", f"""
+WITH {POOL},
+f1 AS (SELECT w.*, n, row_number() OVER (PARTITION BY w.scope, q, suffix ORDER BY {LEV_NAMES} DESC, n DESC) AS rn FROM w JOIN p ON w.scope = p.scope WHERE {LEV_NAMES} >= 0.85),
+f3 AS (SELECT w.*, n, row_number() OVER (PARTITION BY w.scope, q, suffix ORDER BY {LEV_NAMES} DESC, n DESC) AS rn FROM w JOIN (SELECT DISTINCT n FROM p) pp ON {LEV_NAMES} >= 0.85),
+{POOL_STAGES}""")
 def _(t):
+    return pool_match(t, "edit")
+
+
+@query("D12_name_pool_match_blocks", f"""
+WITH RECURSIVE {POOL}, {blocks_sql("SELECT n AS a, q AS b FROM w, p", 0.85)},
+f1 AS (SELECT w.*, n, row_number() OVER (PARTITION BY w.scope, q, suffix ORDER BY ratio DESC, n DESC) AS rn FROM w JOIN p ON w.scope = p.scope JOIN mr ON a = n AND b = q WHERE ratio >= 0.85),
+f3 AS (SELECT w.*, n, row_number() OVER (PARTITION BY w.scope, q, suffix ORDER BY ratio DESC, n DESC) AS rn FROM w JOIN mr ON b = q JOIN (SELECT DISTINCT n FROM p) ON a = n WHERE ratio >= 0.85),
+{POOL_STAGES}""")
+def _(t):
+    return pool_match(t, "matching")
+
+
+def pool_match(t, mode):
     k, plain = F.col("p_partkey"), F.replace(F.col("p_name"), F.lit(" "), F.lit(""))
     pool = t.part.select(F.col("p_brand").alias("scope"), F.concat(plain, F.when(k % 3 == 0, "north").when(k % 3 == 1, "2").otherwise("")).alias("n"))
     wanted = t.part.select(
         F.when(k % 5 == 0, "Brand#99").otherwise(F.col("p_brand")).alias("scope"),
         F.when(k % 4 == 0, F.concat(F.left(plain, F.lit(2)), F.substring(plain, 4, 1000))).otherwise(plain).alias("q"),
         F.when(k % 6 == 0, "h").otherwise("").alias("suffix"), "p_name").filter("p_name <> 'red ring'").drop("p_name")
-    return m.name_pool_match(wanted, "q", "scope", pool, "n", "suffix")
+    return m.name_pool_match(wanted, "q", "scope", pool, "n", "suffix", mode=mode)
 
 
-@query("D13_guarded_scan", f"""
-WITH pl AS (SELECT key, 'D' || min(place_id) AS district FROM gazetteer WHERE NOT contains(name, ' ') GROUP BY 1),
+SCAN = f"""pl AS (SELECT key, 'D' || min(place_id) AS district FROM gazetteer WHERE NOT contains(name, ' ') GROUP BY 1),
 kn AS (SELECT DISTINCT key FROM gazetteer WHERE contains(name, ' ')), fl AS (SELECT unnest({fv.FILLER_WORDS}) AS f),
 tk AS (SELECT t.*, lead(low, 1) OVER w AS n1, lead(low, 2) OVER w AS n2 FROM doc_tokens t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ok AS (SELECT * FROM tk WHERE low NOT IN (SELECT f FROM fl) AND (n1 IS NULL OR n1 NOT IN (SELECT unnest({fv.ROAD_WORDS}))) AND (n2 IS NULL OR n2 NOT IN (SELECT unnest({fv.ROAD_WORDS})))),
-u AS (SELECT DISTINCT key FROM ok WHERE length(key) >= 6 AND key NOT IN (SELECT key FROM pl) AND key NOT IN (SELECT key FROM kn)),
+u AS (SELECT DISTINCT key FROM ok WHERE length(key) >= 6 AND key NOT IN (SELECT key FROM pl) AND key NOT IN (SELECT key FROM kn))"""
+SCAN_HITS = """d AS (SELECT key, district, 'exact' AS how FROM pl UNION ALL SELECT key, district, 'fuzzy~' || place FROM s WHERE rn = 1),
+h AS (SELECT doc_id, pos, district, tok, how, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM ok JOIN d USING (key))
+SELECT doc_id, district, tok AS token, how, CAST(pos - 1 AS INT) AS pos FROM h WHERE rn = 1"""
+
+
+@query("D13_guarded_scan", f"""
+WITH {SCAN},
 s AS (SELECT u.key, pl.key AS place, district, row_number() OVER (PARTITION BY u.key ORDER BY 1 - levenshtein(u.key, pl.key) / CAST(greatest(length(u.key), length(pl.key)) AS DOUBLE) DESC, pl.key DESC) AS rn
   FROM u JOIN pl ON 1 - levenshtein(u.key, pl.key) / CAST(greatest(length(u.key), length(pl.key)) AS DOUBLE) >= 0.90 - 1e-12),
-d AS (SELECT key, district, 'exact' AS how FROM pl UNION ALL SELECT key, district, 'fuzzy~' || place FROM s WHERE rn = 1),
-h AS (SELECT doc_id, pos, district, tok, how, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM ok JOIN d USING (key))
-SELECT doc_id, district, tok AS token, how, CAST(pos - 1 AS INT) AS pos FROM h WHERE rn = 1""")
+{SCAN_HITS}""")
 def _(t):
+    return scan(t, "edit")
+
+
+@query("D13_guarded_scan_blocks", f"""
+WITH RECURSIVE {SCAN}, {blocks_sql("SELECT pl.key AS a, u.key AS b FROM u, pl", 0.90)},
+s AS (SELECT b AS key, a AS place, district, row_number() OVER (PARTITION BY b ORDER BY ratio DESC, a DESC) AS rn FROM mr JOIN pl ON pl.key = a WHERE ratio >= 0.90),
+{SCAN_HITS}""")
+def _(t):
+    return scan(t, "matching")
+
+
+def scan(t, mode):
     places = t.gazetteer.filter(~F.col("name").contains(" ")).groupBy(F.col("key").alias("place_key")).agg(
         F.concat(F.lit("D"), F.min("place_id").cast("string")).alias("district"))
     known = t.gazetteer.filter(F.col("name").contains(" ")).select("key").distinct()
-    return m.guarded_scan(t.documents, "doc_id", "text", places, known)
+    return m.guarded_scan(t.documents, "doc_id", "text", places, known, mode=mode)
 
 
 def cascade(t, mode):
@@ -232,25 +269,37 @@ def text_key(name):
 LEV = "1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE)"
 
 
-@query("D14_match_cascade", f"""
-WITH ad AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN '12 ' || p_name || ' Rd' WHEN 2 THEN 'Dr. Silva Mw, Colombo 05' WHEN 3 THEN left(p_name, 2) || substring(p_name, 4) || ' junction' WHEN 4 THEN 'Kalutara beach side'
+ADVERTS = f"""ad AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN '12 ' || p_name || ' Rd' WHEN 2 THEN 'Dr. Silva Mw, Colombo 05' WHEN 3 THEN left(p_name, 2) || substring(p_name, 4) || ' junction' WHEN 4 THEN 'Kalutara beach side'
     WHEN 5 THEN 'ගොඩගම පාර' WHEN 6 THEN 'nothing known' END AS address, CASE WHEN p_partkey % 2 = 0 THEN 'Old Town' ELSE p_type END AS town, p_name AS title, left(p_name, 2) || substring(p_name, 4) AS wrong, p_type FROM part),
 nm AS (SELECT p_name AS division, 1 + min(p_partkey) % 9 AS area FROM part WHERE p_size > 12 GROUP BY 1),
 nk AS (SELECT division, area, array_to_string(list_transform(string_split(division, ' '), lambda x: {sound_sql('x')}), ' ') AS key FROM nm),
-wr AS (SELECT DISTINCT wrong, array_to_string(list_transform(string_split(wrong, ' '), lambda x: {sound_sql('x')}), ' ') AS gram FROM (SELECT wrong FROM ad UNION SELECT title FROM ad)),
-bg AS (SELECT wrong, division, row_number() OVER (PARTITION BY wrong ORDER BY {LEV.format(a='gram', b='key')} DESC, key DESC) AS rn, {LEV.format(a='gram', b='key')} AS ratio FROM wr, nk WHERE {LEV.format(a='gram', b='key')} >= 0.90 - 1e-12),
-mt AS (SELECT ad.*, n.division AS title_div, e.division AS wrong_exact, f.division AS wrong_fuzzy, g.division AS title_fuzzy FROM ad LEFT JOIN nm n ON ad.title = n.division LEFT JOIN nk e ON array_to_string(list_transform(string_split(ad.wrong, ' '), lambda x: {sound_sql('x')}), ' ') = e.key
+wr AS (SELECT DISTINCT wrong, array_to_string(list_transform(string_split(wrong, ' '), lambda x: {sound_sql('x')}), ' ') AS gram FROM (SELECT wrong FROM ad UNION SELECT title FROM ad))"""
+RESOLVED = f"""mt AS (SELECT ad.*, n.division AS title_div, e.division AS wrong_exact, f.division AS wrong_fuzzy, g.division AS title_fuzzy FROM ad LEFT JOIN nm n ON ad.title = n.division LEFT JOIN nk e ON array_to_string(list_transform(string_split(ad.wrong, ' '), lambda x: {sound_sql('x')}), ' ') = e.key
   LEFT JOIN bg f ON ad.wrong = f.wrong AND f.rn = 1 LEFT JOIN bg g ON ad.title = g.wrong AND g.rn = 1),
 r1 AS (SELECT *, CASE WHEN p_partkey % 7 = 4 THEN 'out_of_district' WHEN p_partkey % 7 = 1 AND title_div IS NOT NULL THEN 'exact' WHEN p_partkey % 7 = 1 AND title_fuzzy IS NOT NULL THEN 'fuzzy' WHEN p_partkey % 7 = 2 THEN 'postal' WHEN p_partkey % 7 = 5 THEN 'script'
     WHEN p_partkey % 7 = 3 AND wrong_exact IS NOT NULL THEN 'exact' WHEN p_partkey % 7 = 3 AND wrong_fuzzy IS NOT NULL THEN 'fuzzy' WHEN p_partkey % 7 = 6 THEN 'out_of_district' END AS s1,
   CASE WHEN p_partkey % 2 <> 0 AND p_type = 'PROMO' THEN 'alias' END AS s2, CASE WHEN title_div IS NOT NULL THEN 'exact' WHEN title_fuzzy IS NOT NULL THEN 'fuzzy' END AS s3 FROM mt)
 SELECT p_partkey, CASE WHEN s1 = 'out_of_district' THEN NULL WHEN s1 = 'postal' THEN 'Havelock Town' WHEN s1 = 'script' THEN 'Godagama' WHEN s1 = 'exact' AND p_partkey % 7 = 1 THEN title_div WHEN s1 = 'exact' THEN wrong_exact
   WHEN s1 = 'fuzzy' AND p_partkey % 7 = 1 THEN title_fuzzy WHEN s1 = 'fuzzy' THEN wrong_fuzzy WHEN s2 = 'alias' THEN 'Promo Quarter' ELSE coalesce(title_div, title_fuzzy) END AS division,
-  coalesce(s1, s2, s3, 'unmatched') AS match_stage, CASE WHEN s1 IS NOT NULL THEN 'address' WHEN s2 IS NOT NULL THEN 'town' WHEN s3 IS NOT NULL THEN 'title' END AS match_field FROM r1""")
+  coalesce(s1, s2, s3, 'unmatched') AS match_stage, CASE WHEN s1 IS NOT NULL THEN 'address' WHEN s2 IS NOT NULL THEN 'town' WHEN s3 IS NOT NULL THEN 'title' END AS match_field FROM r1"""
+
+
+@query("D14_match_cascade", f"""
+WITH {ADVERTS},
+bg AS (SELECT wrong, division, row_number() OVER (PARTITION BY wrong ORDER BY {LEV.format(a='gram', b='key')} DESC, key DESC) AS rn, {LEV.format(a='gram', b='key')} AS ratio FROM wr, nk WHERE {LEV.format(a='gram', b='key')} >= 0.90 - 1e-12),
+{RESOLVED}""")
 def _(t):
     return cascade(t, "edit").select("p_partkey", "division", "match_stage", "match_field")
 
 
+@query("D14_match_cascade_blocks", f"""
+WITH RECURSIVE {ADVERTS}, {blocks_sql("SELECT key AS a, gram AS b FROM wr, nk UNION ALL SELECT gram, key FROM wr, nk", 0.90)},
+bg AS (SELECT wrong, division, row_number() OVER (PARTITION BY wrong ORDER BY mr.ratio DESC, key DESC) AS rn, back.ratio FROM wr JOIN mr ON mr.b = gram JOIN nk ON nk.key = mr.a JOIN mr back ON back.a = gram AND back.b = nk.key WHERE mr.ratio >= 0.90),
+{RESOLVED}""")
+def _(t):
+    return cascade(t, "matching").select("p_partkey", "division", "match_stage", "match_field")
+
+
 @query("D15_resolve_collision", f"""
 WITH a AS (SELECT point_id, nation, CASE WHEN point_id % 5 <> 0 THEN lat END AS lat, CASE WHEN point_id % 5 <> 0 THEN lon END AS lon FROM points),
 c AS (SELECT nation, unit_id, lat AS c_lat, lon AS c_lon, count(*) OVER (PARTITION BY nation) AS n FROM units),

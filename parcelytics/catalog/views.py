@@ -204,3 +204,19 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float) ->
         f"(2 * CAST({radius} AS DOUBLE) * asin(sqrt(sin(radians({lat2} - {lat1}) / 2) ** 2"
         f" + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) ** 2)))"
     )
+
+
+def blocks_sql(pairs: str, cutoff: float = 0.0) -> str:
+    """CTEs `mr(a, b, ratio)`: matching-block ratio of the (a, b) pairs of a query, for those that can reach the cutoff.
+
+    Each step takes the longest substring of x that y contains (the first of them, at its first place in y) and goes on
+    with what is left and right of it. Pairs too far apart by edit distance (counted in bytes) can't reach the cutoff.
+    """
+    return f"""cand AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE levenshtein(a, b) <= {1 - cutoff} * (length(a) + length(b)) + 1e-9 + strlen(a) + strlen(b) - length(a) - length(b)),
+blk AS (SELECT a, b, a AS x, b AS y, 0 AS k FROM cand
+  UNION ALL SELECT a, b, unnest([substr(x, 1, i - 1), substr(x, i + n)]), unnest([substr(y, 1, j - 1), substr(y, j + n)]), unnest([n, 0]) FROM (
+    SELECT *, instr(y, substr(x, i, n)) AS j FROM (
+      SELECT *, (w + 999) // 1000 AS n, (w + 999) // 1000 * 1000 - w AS i FROM (
+        SELECT a, b, x, y, list_max(flatten([[CASE WHEN contains(y, substr(x, p, q)) THEN q * 1000 - p END FOR q IN range(1, length(x) - p + 2)] FOR p IN range(1, length(x) + 1)])) AS w
+        FROM blk WHERE x <> '' AND y <> '') WHERE w IS NOT NULL))),
+mr AS (SELECT a, b, 2 * sum(k) / CAST(length(a) + length(b) AS DOUBLE) AS ratio FROM blk GROUP BY a, b)"""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelytics.functions import numeric, text
+from parcelytics.functions import blocks, numeric, text
 from parcelytics.plans.scale import (
     attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, null_safe_join, quantile_of_columns, stack_rows, top_k_per_group,
     with_positions, with_value_rank,
@@ -94,7 +94,10 @@ def dup_evidence(
     df: DataFrame, key: Sequence[str], order: Column, body: str, date: str, distinct: dict[str, str],
     similarity=text.edit_ratio,
 ) -> DataFrame:
-    """Per group of re-posts: size, distinct counts, date span, and min/mean similarity of each member to the first."""
+    """Per group of re-posts: size, distinct counts, date span, and min/mean similarity of each member to the first.
+
+    `similarity(member, first)` is a column expression: `text.edit_ratio`, or `member_blocks` for the ratio of matching blocks.
+    """
     first = df.groupBy(*key).agg(
         F.count("*").alias("n"), F.min(F.struct(order.alias("o"), F.col(body).alias("b"))).alias("__f"),
         F.datediff(F.max(date), F.min(date)).alias("span_days"),
@@ -102,13 +105,16 @@ def dup_evidence(
     ).filter("n > 1")
     members = df.withColumn("__o", order)
     joined = null_safe_join(members, first.select(*key, "__f"), key, "inner")
-    scored = joined.filter(F.col("__o") != F.col("__f.o")).groupBy(*key).agg(
-        F.min(similarity(F.col(body), F.col("__f.b"))).alias("min_similarity"),
-        F.avg(similarity(F.col(body), F.col("__f.b"))).alias("mean_similarity"),
-    )
+    others = joined.filter(F.col("__o") != F.col("__f.o")).withColumn("__s", similarity(F.col(body), F.col("__f.b")))
+    scored = others.groupBy(*key).agg(F.min("__s").alias("min_similarity"), F.avg("__s").alias("mean_similarity"))
     return null_safe_join(first.drop("__f"), scored, key, "left")
 
 
+def member_blocks(member: Column, first: Column) -> Column:
+    """Matching ratio of the first text and another member's, in that order."""
+    return blocks.matching_ratio(first, member)
+
+
 def threshold_counts(df: DataFrame, score: str, thresholds: Sequence[float]) -> DataFrame:
     """Rows reaching each threshold (cumulative), in one pass."""
     counts = df.agg(*[F.count_if(F.col(score) >= float(x)).alias(f"t{i}") for i, x in enumerate(thresholds)])

@@ -6,15 +6,13 @@ everything. A text that occurs many times is matched once and the result is join
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
-from parcelytics.functions import geo, text
+from parcelytics.functions import blocks, geo, text
 from parcelytics.plans.scale import attach_stats, keep_first, maybe_broadcast, null_safe_join, spread
 from parcelytics.session import freeze
 
@@ -287,22 +285,12 @@ def segment_candidates(queries: DataFrame, query: str, pool: DataFrame, name: st
     return query_side.join(pool_side, [*within, "__k"]).select(*within, query, name).distinct()
 
 
-def matching_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio, 2 * matched characters / total length; the argument order matters."""
-
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)])
-
-    return ratio(a, b)
-
-
 def fuzzy_match(queries: DataFrame, query: str, pool: DataFrame, name: str, cutoff: float = fv.FUZZY_CUTOFF, mode: str = "edit",
                 within: Sequence[str] = ()) -> DataFrame:
     """Best pool name per distinct query: query, name, ratio. Ties go to the name that sorts last."""
     pairs = segment_candidates(queries, query, pool, name, cutoff, mode, within)
-    score = text.edit_ratio(F.col(query), F.col(name)) if mode == "edit" else matching_ratio(F.col(name), F.col(query))
-    reported = F.col("__r") if mode == "edit" else matching_ratio(F.col(query), F.col("b.name"))
+    score = text.edit_ratio(F.col(query), F.col(name)) if mode == "edit" else blocks.matching_ratio(F.col(name), F.col(query), cutoff)
+    reported = F.col("__r") if mode == "edit" else blocks.matching_ratio(F.col(query), F.col("b.name"))
     scored = pairs.withColumn("__r", score).filter(F.col("__r") >= cutoff)
     best = scored.groupBy(*within, query).agg(F.max(F.struct("__r", F.col(name).alias("name"))).alias("b"))
     return best.select(*within, query, F.col("b.name").alias(name), (F.col("b.__r") if mode == "edit" else reported).alias("ratio"))
