@@ -222,10 +222,26 @@ def _(t):
 
 
 @query("D31_areal_share", """
-WITH g AS (SELECT b.*, unnest(range(CAST(ceil(y0 / 0.005) AS BIGINT), CAST(floor(y1 / 0.005) AS BIGINT) + 1)) AS a FROM boxes b), h AS (SELECT g.*, unnest(range(CAST(ceil(x0 / 0.005) AS BIGINT), CAST(floor(x1 / 0.005) AS BIGINT) + 1)) AS o FROM g),
-s AS (SELECT poly_id, CAST(a AS DOUBLE) * 0.005 AS lat, CAST(o AS DOUBLE) * 0.005 AS lon, x0, x1, y0, y1 FROM h), p AS (SELECT poly_id, lat, lon FROM s WHERE lat >= y0 AND lat < y1 AND lon >= x0 AND lon < x1),
-f AS (SELECT p.poly_id, lat, lon, bool_or(b.poly_id % 3 <> 0) AS cov, bool_or(b.poly_id % 2 = 0 AND lon < (b.x1 - b.x0) * (lat - b.y1) / (b.y0 - b.y1) + b.x0) AS fl FROM p LEFT JOIN boxes b ON p.lat >= b.y0 AND p.lat < b.y1 AND p.lon >= b.x0 AND p.lon < b.x1 GROUP BY 1, 2, 3)
-SELECT poly_id, count(*) AS samples, round(count(*) FILTER (cov) / CAST(count(*) AS DOUBLE), 6) AS covered, round(count(*) FILTER (cov AND fl) / CAST(nullif(count(*) FILTER (cov), 0) AS DOUBLE), 6) AS flooded_share FROM f GROUP BY 1""")
-def _(t):
-    out = sp.areal_share(t.boxes, "poly_id", t.boxes.filter("poly_id % 3 <> 0"), t.triangles.filter("poly_id % 2 = 0"), "poly_id", 0.005)
-    return out.select("poly_id", "samples", r("covered"), r("flooded_share"))
+SELECT poly_id, CASE WHEN poly_id % 3 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS covered,
+  CASE WHEN poly_id % 3 <> 0 AND poly_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS flooded_share FROM boxes""")
+def _(t):
+    out = sp.areal_share(t.boxes, "poly_id", t.boxes.filter("poly_id % 3 <> 0"), t.triangles.filter("poly_id % 2 = 0"))
+    return out.select("poly_id", r("covered"), r("flooded_share"))
+
+
+# Every customer's own rectangle against the boxes; in the coordinates of a box its triangle is u + v <= 1.
+@query("D31_areal_share_around_points", """
+WITH u AS (SELECT point_id, lon - 0.0041 * (1 + point_id % 5) AS a, lon + 0.0307 AS b, lat - 0.0193 AS c, lat + 0.0029 * (1 + point_id % 7) AS d FROM points),
+j AS (SELECT point_id, poly_id, (b - a) * (d - c) AS area, (x1 - x0) * (y1 - y0) AS box,
+    least(greatest((a - x0) / (x1 - x0), 0), 1) AS u0, least(greatest((b - x0) / (x1 - x0), 0), 1) AS u1, least(greatest((c - y0) / (y1 - y0), 0), 1) AS v0, least(greatest((d - y0) / (y1 - y0), 0), 1) AS v1
+  FROM u JOIN boxes ON a < x1 AND b > x0 AND c < y1 AND d > y0),
+k AS (SELECT *, box * (u1 - u0) * (v1 - v0) AS both_area, box * ((u1 - u0) * (v1 - v0) - (greatest(u1 + v1 - 1, 0) ** 2 - greatest(u0 + v1 - 1, 0) ** 2 - greatest(u1 + v0 - 1, 0) ** 2 + greatest(u0 + v0 - 1, 0) ** 2) / 2) AS under FROM j),
+s AS (SELECT point_id, coalesce(sum(both_area) FILTER (poly_id % 3 <> 0), 0) / any_value(area) AS covered, coalesce(sum(under) FILTER (poly_id % 2 = 0), 0) / any_value(area) AS flooded FROM k GROUP BY 1)
+SELECT u.point_id, round(coalesce(covered, 0), 6) AS covered, round(CASE WHEN covered > 1e-9 THEN flooded ELSE 0 END, 6) AS flooded_share FROM u LEFT JOIN s USING (point_id)""")
+def _(t):
+    k, lon, lat = F.col("point_id"), F.col("lon"), F.col("lat")
+    x0, x1, y0, y1 = lon - 0.0041 * (1 + k % 5), lon + 0.0307, lat - 0.0193, lat + 0.0029 * (1 + k % 7)
+    corners = [F.struct(x.alias("lon"), y.alias("lat")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    units = t.points.select("point_id", F.array(F.array(*corners)).alias("rings"))
+    out = sp.areal_share(units, "point_id", t.boxes.filter("poly_id % 3 <> 0"), t.triangles.filter("poly_id % 2 = 0"))
+    return out.select("point_id", r("covered"), r("flooded_share"))

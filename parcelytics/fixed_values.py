@@ -118,3 +118,6 @@ THERMAL_SCALE = (0.00341802, 149.0)
 KELVIN = 273.15
 QA_MASK_BITS = [0, 1, 2, 3, 4]
 QA_WATER_BIT = 7
+
+# Share of a unit below which it counts as not covered: what rounding leaves where polygons only touch.
+LEAST_COVERED = 1e-9

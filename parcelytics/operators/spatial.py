@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
 from parcelytics.functions import geo, text
+from parcelytics.plans.overlay import overlay_areas
 from parcelytics.plans.scale import keep_first, null_safe_join, top_k_per_group
 from parcelytics.plans.spatial import attach_by_coordinate, count_within, nearest, pairs_within, point_in_polygon
 from parcelytics.session import freeze
@@ -201,27 +202,17 @@ def triangulate(candidates: DataFrame, lat: str, lon: str, claims: Sequence[tupl
     return candidates.withColumn("mean_error_km", sum(errors, F.lit(0.0)) / len(claims))
 
 
-def areal_share(units: DataFrame, key: str, coverage: DataFrame, extent: DataFrame, order: str, step_deg: float, cell_deg: float = 0.05) -> DataFrame:
-    """Covered and flooded share of each unit by sampling a fixed grid: key, samples, covered, flooded_share.
+def areal_share(units: DataFrame, key: str, coverage: DataFrame, extent: DataFrame, cell_deg: float = 0.05) -> DataFrame:
+    """Covered and flooded share of each unit's whole area: key, covered, flooded_share.
 
-    The flooded share is taken over the covered samples and is NULL without coverage. `error_bound` is the half-width
-    1/sqrt(samples) of the sampling error. `units`, `coverage` and `extent` carry `order` and rings.
+    Both are exact areas of intersection with the union of the polygons, over the area of the unit; the flooded share is 0 where
+    nothing is covered, and need not lie in the covered part. Shares are taken in the plane of degrees, in which a local
+    projection only changes the scale. Units without area are left out. All three tables have `rings`.
     """
-    box = geo.ring_bbox(F.col("rings"))
-    index = lambda low, high: F.sequence(F.ceil(low / step_deg).cast("long"), F.floor(high / step_deg).cast("long"))
-    boxed = units.select(key, "rings", box.alias("b")).filter(F.ceil(F.col("b.min_lat") / step_deg) <= F.floor(F.col("b.max_lat") / step_deg)).filter(
-        F.ceil(F.col("b.min_lon") / step_deg) <= F.floor(F.col("b.max_lon") / step_deg))
-    grid = boxed.select(key, "rings", "b", F.explode(index(F.col("b.min_lat"), F.col("b.max_lat"))).alias("a")).select(
-        key, "rings", "a", F.explode(index(F.col("b.min_lon"), F.col("b.max_lon"))).alias("o"))
-    samples = grid.withColumn("lat", F.col("a") * step_deg).withColumn("lon", F.col("o") * step_deg).filter(
-        F.exists("rings", lambda ring: geo.point_in_ring(F.col("lon"), F.col("lat"), ring))).select(key, "lat", "lon")
-    covered = point_in_polygon(samples, coverage, order, [order], cell_deg).select("lat", "lon", F.lit(1).alias("c"))
-    flooded = point_in_polygon(samples, extent, order, [order], cell_deg).select("lat", "lon", F.lit(1).alias("f"))
-    flagged = attach_by_coordinate(attach_by_coordinate(samples, covered), flooded)
-    share = F.sum(F.when(F.col("c") == 1, F.coalesce("f", F.lit(0)))) / F.nullif(F.count("c"), F.lit(0))
-    return flagged.groupBy(key).agg(
-        F.count("*").alias("samples"), (F.count("c") / F.count("*")).alias("covered"), share.alias("flooded_share"),
-        (1 / F.sqrt(F.count("*"))).alias("error_bound"))
+    found = overlay_areas(units, key, [coverage, extent], cell_deg)
+    covered = F.col("under_0") / F.col("area")
+    return found.filter("area > 0").select(
+        key, covered.alias("covered"), F.when(covered > fv.LEAST_COVERED, F.col("under_1") / F.col("area")).otherwise(0.0).alias("flooded_share"))
 
 
 def nearby(points: DataFrame, targets: DataFrame, category: str, label: Column, radius_m: float = fv.NEARBY_RADIUS_M,
