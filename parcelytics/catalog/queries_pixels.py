@@ -100,12 +100,21 @@ def _(t):
     return out.select("x", "y", r("before", 5), r("during", 5), "flag")
 
 
-@query("X10_focal_median", f"""
-WITH {GRID} SELECT a.x, a.y, round(median(b.h), 5) AS focal_h FROM g a JOIN g b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY 1, 2""")
+FOCAL = f"""
+WITH {GRID} SELECT a.x, a.y, round(median(b.h), 5) AS focal_h FROM g a JOIN g b ON b.x BETWEEN a.x - RADIUS AND a.x + RADIUS AND b.y BETWEEN a.y - RADIUS AND a.y + RADIUS
+  AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= RADIUS * RADIUS GROUP BY 1, 2"""
+
+
+@query("X10_focal_median", FOCAL.replace("RADIUS", "1"))
 def _(t):
     return px.focal_median(grid(t), "h", 1).select("x", "y", r("focal_h", 5))
 
 
+@query("X10_focal_median_wide", FOCAL.replace("RADIUS", "4"))
+def _(t):
+    return px.focal_median(grid(t), "h", 4).select("x", "y", r("focal_h", 5))
+
+
 ACQ = """ev AS (SELECT n_nationkey AS event, DATE '1996-01-10' + CAST(n_nationkey * 40 AS INT) AS base_from, DATE '1996-01-20' + CAST(n_nationkey * 40 AS INT) AS base_to, DATE '1996-02-05' + CAST(n_nationkey * 40 AS INT) AS flood_from, DATE '1996-02-12' + CAST(n_nationkey * 40 AS INT) AS flood_to, DATE '1996-02-08' + CAST(n_nationkey * 40 AS INT) AS peak FROM nation),
 ps AS (SELECT o_custkey % 9 AS orbit, CAST(o_orderdate AS DATE) AS acquired, count(*) AS k FROM orders GROUP BY 1, 2)"""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelytics import fixed_values as fv
 from parcelytics.functions import numeric
 from parcelytics.operators.aggregates import correlation
+from parcelytics.plans.focal import focal_medians
 from parcelytics.plans.scale import exact_quantiles, keep_first, maybe_broadcast, stack_rows
 
 
@@ -138,13 +139,13 @@ def change_detect(values: DataFrame, cell: Sequence[str], value: str, base: Colu
     return both.withColumn("flag", ((F.col("during") - F.col("before") < drop) & (F.col("during") < level)).cast("int"))
 
 
-def focal_median(grid: DataFrame, value: str, radius: int) -> DataFrame:
-    """Median of the square neighbourhood; every cell is sent to the (2r+1)^2 cells it touches and counted there."""
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    sent = grid.filter(F.col(value).isNotNull()).select("x", "y", value, F.explode(offsets).alias("i")).select(
-        (F.col("x") + F.col("i")).alias("x"), "y", value, F.explode(offsets).alias("j")).select("x", (F.col("y") + F.col("j")).alias("y"), value)
-    medians = exact_quantiles(sent, ["x", "y"], value, {f"focal_{value}": 0.5})
-    return grid.join(medians, ["x", "y"], "left")
+def focal_median(grid: DataFrame, value: str, radius: float) -> DataFrame:
+    """`grid` with the median of the values within `radius` cells (a disc, its border included) of each cell (integer x, y).
+
+    Missing values and cells that don't exist aren't counted; a cell without any value around gets NULL. Repeated cells count as
+    often as they occur.
+    """
+    return grid.join(focal_medians(grid, value, radius, f"focal_{value}"), ["x", "y"], "left")
 
 
 def choose_acquisition(events: DataFrame, passes: DataFrame) -> DataFrame:
