@@ -6,6 +6,7 @@ from parcelytics.catalog.registry import query
 from parcelytics.catalog.registry import rounded as r
 from parcelytics.operators import aggregates, features as ft
 from parcelytics.operators import modelling as ml
+from parcelytics.operators.tree_attribution import tree_attributions
 
 FEATURES = ["land_size", "discount", "tax", "Land_type_A_F", "Land_type_N_O"]
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -212,6 +213,12 @@ def _(t):
     return attributions(t)
 
 
+@query("M19_tree_attributions")
+def _(t):
+    data, model = small_forest(t)
+    return tree_attributions(model, data, ROW, FEATURES)
+
+
 PHI = """a AS (SELECT land_type AS feature, discount AS value, (discount - CAST(0.05 AS DOUBLE)) * (CASE land_type WHEN 'A_F' THEN 2 WHEN 'N_O' THEN -1 ELSE CAST(0.5 AS DOUBLE) END) + tax / 10 AS phi FROM listings)"""
 
 
