@@ -68,6 +68,13 @@ def _(t):
     return out
 
 
+@query("M5_fit_second_order")
+def _(t):
+    data = ml.random_split(training(t), ROW, 0.2, 42)
+    model = ml.fit_regressor(data.filter("NOT is_test"), FEATURES, "y", "second_order", rounds=6, depth=4, rate=0.3, l2=2.0, column_share=0.6)
+    return ml.metrics(ml.predict(model, data.filter("is_test"), FEATURES), "y", "prediction")
+
+
 # a linear model of one feature has a closed form
 LINE = f"""d AS (SELECT fold, coalesce(land_size, 0) AS x, ln(unit_price) AS y, {IS_TEST} AS is_test FROM listings)"""
 SCORES = """count(*) AS n, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) AS r2, sqrt(avg((y - p) * (y - p))) AS rmse_log, avg(abs(y - p)) AS mae_log,

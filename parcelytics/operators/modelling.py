@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from parcelytics.operators import features as ft
 from parcelytics.operators.aggregates import correlation, spearman
+from parcelytics.operators.boosting import SecondOrderBooster
 from parcelytics.plans.scale import attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, with_positions, with_value_rank
 from parcelytics.session import freeze
 
@@ -92,7 +93,7 @@ def shuffled_group_folds(df: DataFrame, group: str, k: int, seed: int, name: str
 
 # --------------------------------------------------------------------------- training
 def regressor(kind: str, **params):
-    """'forest', 'boosted' or 'linear' on columns features and label."""
+    """'forest', 'boosted', 'second_order' (boosted with curvature, shrinkage and L2) or 'linear' on columns features and label."""
     common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction"}
     if kind == "forest":
         return RandomForestRegressor(**common, **{"featureSubsetStrategy": "all", "seed": 42, **params})
@@ -100,6 +101,8 @@ def regressor(kind: str, **params):
         return GBTRegressor(**common, **{"seed": 42, **params})
     if kind == "linear":
         return LinearRegression(**common, **params)
+    if kind == "second_order":
+        return SecondOrderBooster(**params)
     raise ValueError(f"unknown regressor {kind}")
 
 
