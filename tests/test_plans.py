@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelytics.operators import rules, usage
-from parcelytics.plans import scale
+from parcelytics.plans import scale, spatial
 from parcelytics.plans.spatial import count_within, nearest
 from parcelytics.sources import readers
 
@@ -154,7 +154,9 @@ def hav(a, b):
     return 2 * 6371.0088 * math.asin(math.sqrt(h))
 
 
-def test_spatial_joins_against_brute_force(spark):
+@pytest.mark.parametrize("crowded", [40, 512])
+def test_spatial_joins_against_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(spatial, "CROWDED", crowded)  # with few spots a cell, searches descend the pyramid
     rng = random.Random(3)
     cluster = [(52 + rng.gauss(0, 0.001), 13 + rng.gauss(0, 0.001)) for _ in range(150)]
     targets = cluster + [(rng.uniform(-60, 60), rng.uniform(-120, 120)) for _ in range(40)] + cluster[:30]
@@ -167,3 +169,35 @@ def test_spatial_joins_against_brute_force(spark):
         distances = [hav(point, x) for x in targets]
         assert math.isclose(near[point], min(distances), rel_tol=1e-9)
         assert counts.get(point, 0) == sum(d <= 0.9 for d in distances)
+
+
+@pytest.mark.parametrize("crowded", [12, 512])
+def test_nearest_at_the_poles_and_over_the_date_line(spark, monkeypatch, crowded):
+    monkeypatch.setattr(spatial, "CROWDED", crowded)
+    rng = random.Random(12)
+    pole = lambda: (rng.choice((1, -1)) * (90 - rng.uniform(0, 2)), rng.uniform(-180, 180))
+    line = lambda: (rng.uniform(-40, 40), rng.choice((1, -1)) * (180 - rng.uniform(0, 1)))
+    targets = [(*f(), k) for k in ("a", "b") for f in (pole, line) for _ in range(25)] + [(90.0, 0.0, "a"), (-90.0, 77.0, "b")]
+    points = [f() for f in (pole, line) for _ in range(15)] + [(90.0, 10.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -180.0)]
+    p, t = spark.createDataFrame(points, "lat double, lon double"), spark.createDataFrame(targets, "t_lat double, t_lon double, k string")
+    found = {(r["lat"], r["lon"], r["k"]): r["km"] for r in nearest(p, t, "k", ["a", "b"]).collect()}
+    for point in points:
+        for k in ("a", "b"):
+            assert math.isclose(found[(*point, k)], min(hav(point, x[:2]) for x in targets if x[2] == k), rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_a_hundred_thousand_targets_in_one_cell(spark):
+    """Counts and nearest search over a cluster: cells inside the disc add their counts, few targets are compared."""
+    side, gap = 320, 1e-5
+    targets = spark.range(side * side).select((50 + (F.col("id") % side) * gap).alias("t_lat"), (10 + F.floor(F.col("id") / side) * gap).alias("t_lon"))
+    points = [(50 + side * gap / 2, 10 + side * gap / 2), (50.0, 10.0), (50.02, 10.0), (49.0, 9.0)]
+    p = spark.createDataFrame(points, "lat double, lon double")
+    grid = targets.toPandas()
+    want = {}
+    for lat, lon in points:
+        a, b, c, d = (np.radians(v) for v in (lat, lon, grid["t_lat"].to_numpy(), grid["t_lon"].to_numpy()))
+        h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+        want[lat, lon] = 2 * 6371.0088 * np.arcsin(np.sqrt(h))
+    counts = {(r["lat"], r["lon"]): r["n"] for r in count_within(p, targets, 0.15).collect()}
+    assert counts == {point: (km <= 0.15).sum() for point, km in want.items() if (km <= 0.15).any()}
+    assert {(r["lat"], r["lon"]): pytest.approx(r["km"], rel=1e-9, abs=1e-9) for r in nearest(p, targets).collect()} == {k: v.min() for k, v in want.items()}
