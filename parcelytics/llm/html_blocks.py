@@ -30,11 +30,15 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|template|iframe)\b(?P<rawattr>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
+RAW = frozenset("script style textarea title noscript template iframe".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title html head".split())
+# A name and attributes: quotes count only after an equals sign, a bare value goes on to the next blank or `>`. Nothing is read twice,
+# so a page costs in proportion to its length.
+_TAG = re.compile(
+    r"(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"
+    r"(?P<attr>(?>[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|(?P<bare>[^\s>\"'][^\s>]*+)))?+|=)*+)"
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
@@ -84,17 +88,30 @@ def blocks_of(page: str | None) -> list[Block]:
             links -= t == "a"
         del stack[to:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not hidden:
-            piece = page[at : m.start()]
+    def say(piece: str) -> None:
+        nonlocal linked
+        if hidden and stack and stack[-1][0] == "head" and piece.strip():
+            close(len(stack) - 1)
+        if not hidden:
             text.append(piece)
-            if links:
-                linked += len(piece)
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
+            linked += len(piece) if links else 0
+
+    while at < len(page):
+        opened = page.find("<", at)
+        if opened != at:
+            say(page[at : opened if opened >= 0 else len(page)])
+            if opened < 0:
+                break
+        m = _TAG.match(page, opened + 1)
+        if not m:
+            at = _after_other(page, opened)
+            if at == opened:  # no markup
+                say("<")
+                at += 1
             continue
-        tag = tag.lower()
+        if m.end() == len(page):  # a tag that is cut off
+            break
+        at, tag = m.end() + 1, m["tag"].lower()
         if m["end"]:
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if found is not None:
@@ -102,6 +119,12 @@ def blocks_of(page: str | None) -> list[Block]:
                     flush()
                 close(found)
             continue
+        if tag in RAW:
+            over = _RAW_END[tag].search(page, at)
+            at = over.end() if over else len(page)
+            continue
+        if hidden:
+            _end_hidden(stack, tag, close)
         if tag in BLOCK:
             flush()
             own = {"p": (), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
@@ -116,19 +139,38 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
         elif tag == "br":
             text.append(" ")
-        if tag in VOID or m["attr"].rstrip().endswith("/") and tag not in BLOCK:
+        closed = page[m.end() - 1] == "/" and m.end("bare") != m.end()
+        if tag in VOID or closed and tag not in BLOCK:
             continue
         stack.append((tag, _element(tag, m["attr"])))
         hidden += tag in HIDDEN
         links += tag == "a"
-    if at < len(page) and not hidden and "<" not in page[at:]:
-        text.append(page[at:])
-    elif at < len(page) and not hidden:
-        text.append(page[at : page.index("<", at)])  # a tag that is cut off
     flush()
     return out
 
 
+def _after_other(page: str, at: int) -> int:
+    """Where a comment, declaration or stray end that begins at `at` is over; `at` itself if nothing of the kind begins there."""
+    for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+        if page.startswith(begin, at):
+            over = page.find(end, at + 2)
+            return over + len(end) if over >= 0 else len(page)
+    if page[at + 1 : at + 2] in ("!", "?", "/"):
+        over = page.find(">", at)
+        return over + 1 if over >= 0 else len(page)
+    return at
+
+
+def _end_hidden(stack: list[tuple[str, str]], tag: str, close) -> None:
+    """Close what a start tag ends by itself: a head by what can't stand in one, a choice or a drawing by a block."""
+    for i in range(len(stack) - 1, -1, -1):
+        name = stack[i][0]
+        if name == "head" and tag not in IN_HEAD or name in ("select", "datalist", "svg") and tag in BLOCK and tag not in ("option", "hr"):
+            close(i)
+        elif name == "foreignobject":
+            return
+
+
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
 
@@ -156,7 +198,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         x[i, PATH : PATH + WORDS] = counts / max(np.linalg.norm(counts), 1)
         n = len(b.text)
         x[i, PATH + WORDS :] = (
-            np.log1p(n) / 6, min(b.linked / n, 1), min(sum(map(b.text.count, ".,;!?")) / len(words), 1), sum(map(str.isdigit, b.text[:200])) / min(n, 200),
+            np.log1p(n) / 6, min(b.linked / n, 1), min(sum(map(b.text.count, ".,;!?")) / len(words), 1), sum(map(str.isdigit, b.text)) / n,
             i / len(blocks), b.text[:1].isupper(), b.text[-1:] in ".!?",
         )
     return x
