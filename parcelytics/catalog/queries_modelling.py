@@ -143,6 +143,54 @@ def _(t):
     return ml.ablation(training(t), ["land_size"], ["discount", "tax"], "y", folds_of, [1, 2], kind="linear")
 
 
+# least squares of one and of two features from means, variances and covariances of the other folds
+def fits_sql(fold):
+    return f"""o AS (SELECT {fold} AS fold, coalesce(land_size, 0) AS a, coalesce(discount, 0) AS b, ln(unit_price) AS y FROM listings),
+g AS (SELECT h.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby, sum(a * y) / sum(a * a) AS origin
+  FROM (SELECT DISTINCT fold FROM o) h JOIN o ON o.fold <> h.fold GROUP BY 1),
+k AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ka, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS kb FROM g),
+e AS (SELECT fold, var_pop(y) * count(y) AS total, sum((y - my - ka * (a - ma) - kb * (b - mb)) ** 2) AS both_left, sum((y - my - say / saa * (a - ma)) ** 2) AS a_left, sum((y - my - sby / sbb * (b - mb)) ** 2) AS b_left,
+  sum((y - origin * a) ** 2) AS origin_left FROM o JOIN k USING (fold) GROUP BY 1),
+m AS (SELECT avg(1 - both_left / total) AS both_r2, avg(1 - a_left / total) AS a_r2, avg(1 - b_left / total) AS b_r2, avg(1 - origin_left / total) AS origin_r2 FROM e)"""
+
+
+@query("M6_random_search_cv_linear", f"""
+WITH {fits_sql("fold")} SELECT '{{''fitIntercept'': True}}' AS params, round(a_r2, 6) AS mean_r2 FROM m UNION ALL SELECT '{{''fitIntercept'': False}}', round(origin_r2, 6) FROM m""")
+def _(t):
+    out = ml.random_search_cv(training(t), ["land_size"], "y", "fold", "linear", {"fitIntercept": [True, False]}, 2, 5)
+    return out.select("params", r("mean_r2"))
+
+
+@query("M7_rfe_cv_linear", f"""
+WITH {fits_sql("fold")}, w AS (SELECT abs(covar_pop(a, y) * var_pop(b) - covar_pop(b, y) * covar_pop(a, b)) > abs(covar_pop(b, y) * var_pop(a) - covar_pop(a, y) * covar_pop(a, b)) AS a_stays FROM o)
+SELECT CAST(2 AS INT) AS n_features, 'land_size,discount' AS features, round(both_r2, 6) AS r2 FROM m
+UNION ALL SELECT 1, CASE WHEN a_stays THEN 'land_size' ELSE 'discount' END, round(CASE WHEN a_stays THEN a_r2 ELSE b_r2 END, 6) FROM m, w""")
+def _(t):
+    return ml.rfe_cv(training(t), ["land_size", "discount"], "y", "fold", "linear").select("n_features", "features", r("r2"))
+
+
+@query("M18_gini_top_k_linear", """
+WITH o AS (SELECT coalesce(land_size, 0) AS a, coalesce(discount, 0) AS b, ln(unit_price) AS y FROM listings),
+g AS (SELECT var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM o),
+f AS (SELECT 'land_size' AS feature, abs((say * sbb - sby * sab) / (saa * sbb - sab * sab)) AS importance FROM g UNION ALL SELECT 'discount', abs((sby * saa - say * sab) / (saa * sbb - sab * sab)) FROM g)
+SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank, feature, round(importance, 6) AS importance FROM f""")
+def _(t):
+    model = ml.fit_regressor(training(t), ["land_size", "discount"], "y", "linear")
+    return ml.gini_top_k(t.spark, model, ["land_size", "discount"], 2).select("rank", "feature", r("importance"))
+
+
+SEEDED = "CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, '{seed}')), 1, 12) AS BIGINT) % 3"
+
+
+@query("M11_ablation_linear", " UNION ALL ".join(f"""
+SELECT * FROM (WITH {fits_sql(SEEDED.format(seed=seed))} SELECT unnest(['baseline', 'none', 'drop_discount']) AS config, CAST({seed} AS BIGINT) AS seed, unnest([round(100 * both_r2, 5), round(100 * a_r2, 5), round(100 * a_r2, 5)]) AS metric FROM m)"""
+    for seed in (1, 2)))
+def _(t):
+    folds_of = lambda df, seed: df.drop("fold").withColumn("fold", (ml.seeded_number(ROW, seed) % 3).cast("int"))
+    out = ml.ablation(training(t), ["land_size"], ["discount"], "y", folds_of, [1, 2])
+    return out.select("config", "seed", r("metric", 5))
+
+
 SUMMARY = """p AS (SELECT r.config, r.seed, r.metric, r.metric - b.metric AS delta FROM runs r JOIN runs b ON r.seed = b.seed AND b.config = '1-URGENT'),
 m AS (SELECT config, avg(delta) AS md FROM p GROUP BY 1), s AS (SELECT p.config, count(*) AS n_seeds, avg(metric) AS mean, stddev_samp(metric) AS sd, min(metric) AS min, max(metric) AS max, avg(delta) AS delta, stddev_samp(delta) AS delta_sd,
   count(*) FILTER (sign(delta) = sign(md) AND md <> 0) AS same_sign FROM p JOIN m ON p.config = m.config GROUP BY 1)"""
