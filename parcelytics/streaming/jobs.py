@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from parcelytics.plans.scale import keep_last
+from parcelytics.plans.scale import keep_last, maybe_broadcast
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -71,8 +72,8 @@ def run_quota(spark: SparkSession, path: str, schema: StructType, work: str, use
     return spark.read.schema(out.schema).parquet(f"{work}/table")
 
 
-#: Buckets of an upserted table: a batch rewrites only those that its keys fall into.
-BUCKETS = 16
+#: Rows of a bucket of an upserted table beyond which it is split when it is next written.
+BUCKET_ROWS = 1_000_000
 
 
 def _folder(spark: SparkSession, path: str):
@@ -81,8 +82,11 @@ def _folder(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _manifest(spark: SparkSession, work: str, before: int | None = None) -> dict[int, int]:
-    """bucket -> version of the newest finished batch (below `before`); one row per bucket at most."""
+def _manifest(spark: SparkSession, work: str, before: int | None = None) -> dict[tuple[int, int], tuple[int, int]]:
+    """(bits, bucket) -> (version, rows) of the newest finished batch (below `before`); one row per bucket.
+
+    A bucket holds the keys whose hash ends in these bits; buckets of different bits together cover every hash once.
+    """
     fs, at = _folder(spark, f"{work}/manifest")
     if not fs.exists(at):
         return {}
@@ -90,18 +94,31 @@ def _manifest(spark: SparkSession, work: str, before: int | None = None) -> dict
     ids = [i for i in ids if before is None or i < before]
     if not ids:
         return {}
-    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{work}/manifest/{max(ids)}").collect()}
+    return {(r["bits"], r["bucket"]): (r["version"], r["rows"]) for r in spark.read.parquet(f"{work}/manifest/{max(ids)}").collect()}
 
 
-def _read(spark: SparkSession, work: str, manifest: dict[int, int], schema: StructType) -> DataFrame:
-    paths = [f"{work}/v{v}/__bucket={b}" for b, v in sorted(manifest.items())]
+def _read(spark: SparkSession, work: str, manifest: dict[tuple[int, int], tuple[int, int]], schema: StructType) -> DataFrame:
+    paths = [f"{work}/v{version}/__bucket={bits}-{bucket}" for (bits, bucket), (version, rows) in sorted(manifest.items()) if rows]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def upsert_latest(work: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: merge a batch into a latest-per-key table of hash buckets.
+def _bits_for(rows: int, limit: int) -> int:
+    return max(0, math.ceil(math.log2(rows / limit))) if rows else 0
+
+
+def _with_buckets(df: DataFrame, keys: Sequence[str], leaves: Sequence[tuple[int, int]]) -> DataFrame:
+    """`df` with `__bucket` ('bits-bucket') of each row; the table of all hash endings has a few rows per bucket."""
+    finest = max(bits for bits, _ in leaves)
+    endings = [(bucket + (k << bits), f"{bits}-{bucket}") for bits, bucket in leaves for k in range(1 << (finest - bits))]
+    table = df.sparkSession.createDataFrame(endings, "__end long, __bucket string")
+    return df.withColumn("__end", F.pmod(F.xxhash64(*keys), F.lit(1 << finest))).join(maybe_broadcast(table), "__end").drop("__end")
+
+
+def upsert_latest(work: str, keys: Sequence[str], order: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: merge a batch into a latest-per-key table of hash buckets, whose number follows its size.
 
-    A batch writes new versions of the buckets it touches and then a manifest of all buckets' versions. Both are fixed by
+    A batch writes new versions of the buckets it touches and then a manifest of all buckets' versions; a bucket that has grown
+    beyond `bucket_rows` is split by further bits of the hash when it is written, the others stay as they are. Both are fixed by
     the batch's id and built from the manifest before it, so a replayed batch writes the same again. Versions that neither
     this manifest nor the one before names are deleted.
     """
@@ -109,21 +126,34 @@ def upsert_latest(work: str, keys: Sequence[str], order: Sequence[str], buckets:
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = _manifest(spark, work, batch_id)
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        tagged = batch.withColumn("__bucket", bucket).persist()
-        touched = [r[0] for r in tagged.select("__bucket").distinct().collect()]
+        batch = batch.persist()
+        if not before:
+            bits = _bits_for(batch.count(), bucket_rows)
+            before = {(bits, b): (-1, 0) for b in range(1 << bits)}
+        tagged = _with_buckets(batch, keys, list(before))
+        touched = {tuple(map(int, r[0].split("-"))) for r in tagged.select("__bucket").distinct().collect()}
+        after = dict(before)
         if touched:
-            old = _read(spark, work, {b: v for b, v in before.items() if b in touched}, batch.schema).withColumn("__bucket", bucket)
-            merged = keep_last(old.unionByName(tagged), [*keys, "__bucket"], [F.col(c) for c in order])
-            merged.write.mode("overwrite").partitionBy("__bucket").parquet(f"{work}/v{batch_id}")
-        tagged.unpersist()
-        after = before | {b: batch_id for b in touched}
-        rows = spark.createDataFrame(sorted(after.items()), "bucket int, version int")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{work}/manifest/{batch_id}")
+            written = []
+            for bits, bucket in touched:
+                more = _bits_for(before[bits, bucket][1], bucket_rows)
+                written += [(bits + more, bucket + (k << bits)) for k in range(1 << more)]
+                del after[bits, bucket]
+            old = _read(spark, work, {leaf: before[leaf] for leaf in touched}, batch.schema)
+            leaves = [*written, *(leaf for leaf in before if leaf not in touched)]
+            merged = keep_last(old.unionByName(batch), keys, [F.col(c) for c in order])
+            _with_buckets(merged, keys, leaves).write.mode("overwrite").partitionBy("__bucket").parquet(f"{work}/v{batch_id}")
+            counts = spark.read.schema("__bucket string").parquet(f"{work}/v{batch_id}").groupBy("__bucket").agg(F.count("*").alias("n"))
+            rows = {r["__bucket"]: r["n"] for r in counts.collect()}
+            after |= {(bits, bucket): (batch_id, rows.get(f"{bits}-{bucket}", 0)) for bits, bucket in written}
+        batch.unpersist()
+        listed = spark.createDataFrame([(*leaf, *entry) for leaf, entry in sorted(after.items())], "bits int, bucket long, version int, rows long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{work}/manifest/{batch_id}")
         fs, at = _folder(spark, work)
+        named = {version for version, _ in (*before.values(), *after.values())}
         for status in fs.listStatus(at):
             name = status.getPath().getName()
-            if name[0] == "v" and name[1:].isdigit() and int(name[1:]) < batch_id and int(name[1:]) not in {*before.values(), *after.values()}:
+            if name[0] == "v" and name[1:].isdigit() and int(name[1:]) < batch_id and int(name[1:]) not in named:
                 fs.delete(status.getPath(), True)
 
     return sink
