@@ -56,6 +56,19 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if top < 256 else ">u2", size, at).reshape(shape)
 
 
+def brightest(data: bytes) -> int:
+    """The sample value that stands for full brightness: the header's in P2, P3, P5 and P6, 1 for bits, 255 in BMP."""
+    if data[:1] != b"P":
+        return 255
+    if data[1:2] in b"14":
+        return 1
+    at = 2
+    for _ in range(3):
+        m = _HEADER.match(data, at)
+        at = m.end()
+    return max(1, int(m[1]))
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     """Pixels of an uncompressed BMP of 8 (with palette), 24 or 32 bits: (rows, columns, red-green-blue)."""
     begin, size, w, h, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
@@ -126,8 +139,8 @@ def tile_of(image: np.ndarray, size: tuple[int, int] = TILE) -> np.ndarray:
 def media_columns(df: DataFrame, media: str = "media", size: tuple[int, int] = TILE) -> DataFrame:
     """`df` with height, width, tile (NPY bytes) and dhash of each image in `media`.
 
-    Null bytes, and bytes that are no image of the known kinds or are cut short, give nulls; equal images give equal
-    values. Columns with these names are replaced, others stay; an empty table gives no rows. An image of any size is
+    Tiles hold brightness from 0 to 255, whatever the image's own scale. Null bytes, and bytes that are no image of the known kinds
+    or are cut short, give nulls; equal images give equal values. Columns with these names are replaced, others stay; an empty table gives no rows. An image of any size is
     held once per task.
     """
 
@@ -140,7 +153,7 @@ def media_columns(df: DataFrame, media: str = "media", size: tuple[int, int] = T
                 if image is None:
                     rows.append((None, None, None, None))
                 else:
-                    g = grey(image)
+                    g = grey(image) * (255 / brightest(data))
                     rows.append((image.shape[0], image.shape[1], npy(tile_of(g, size)), difference_hash(g)))
             yield pd.DataFrame(rows, columns=["height", "width", "tile", "dhash"]).astype({"height": "Int32", "width": "Int32"})
 
