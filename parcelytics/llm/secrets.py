@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,29 +30,43 @@ _SPANS = "array<struct<start:int,rank:int,end:int,kind:string,body:string>>"
 _FIRST, _LAST = 43, 122  # a candidate's characters lie between '+' and 'z'
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once, however often `body` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or any other associative `add`) of an array, in steps that double the reach: n log n in all."""
+    reaches = F.array(*[F.lit(1 << k) for k in range(31)])
+
+    def step(acc: Column, reach: Column) -> Column:
+        return F.transform(acc, lambda v, at: F.when(at >= reach, add(F.get(acc, at - reach), v)).otherwise(v))
+
+    return _bound(values, lambda v: F.aggregate(F.filter(reaches, lambda r: r < F.size(v)), v, step))
+
+
 def matches(text: Column, kind: str, rank: int, pattern: str, group: int = 0, least: int = 1) -> Column:
     """Matches of `pattern`, leftmost and non-overlapping, whose `group` has `least` characters, as an array of spans.
 
     Start and end count code points, end exclusive. The parts between the matches and the matches themselves make up the
-    text, so their lengths give the places.
+    text, so running sums of their lengths give the places.
     """
     lit = F.lit(pattern)
     whole = F.regexp_extract_all(text, lit, F.lit(0))
     measured = whole if group == 0 else F.regexp_extract_all(text, lit, F.lit(group))
     parts = F.zip_with(
         F.zip_with(whole, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))), measured,
-        lambda p, b: F.struct(p["m"].alias("m"), p["g"].alias("g"), F.length(b).alias("n")),
+        lambda p, b: F.struct(p["m"].alias("m"), (p["g"] + F.length(p["m"])).alias("g"), F.length(b).alias("n")),
     )
     none = F.array().cast(_SPANS)
 
-    def step(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + part["g"]
-        end = begin + F.length(part["m"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), part["m"].alias("body"))
-        return F.struct(end.alias("at"), F.when(part["n"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def span(part: Column, end: Column) -> Column:
+        return F.struct((end - F.length(part["m"])).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"),
+                        part["m"].alias("body"), part["n"].alias("n"))
 
     parts = F.filter(parts, lambda p: p["m"].isNotNull())  # the part behind the last match
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    placed = _bound(parts, lambda ps: F.zip_with(ps, running(F.transform(ps, lambda p: p["g"]), lambda x, y: x + y), span))
+    found = F.transform(F.filter(placed, lambda s: s["n"] >= least), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "body")]))
     return F.when(F.regexp_like(text, lit), found).otherwise(none)
 
 
@@ -124,13 +139,36 @@ def count_of(found: Column, kind: str) -> Column:
 
 
 def redact(text: Column, found: Column, mark: str = MARK) -> Column:
-    """The text with every secret replaced by `mark`; secrets that overlap become one mark. Null stays null."""
+    """The text with every secret replaced by `mark`; secrets that overlap become one mark. Null stays null.
+
+    A very long text with many secrets is masked in slices of about ten times the root of its length, so that no step walks
+    the text from its start.
+    """
+    n = F.length(text)
+    ends = running(F.transform(found, lambda s: s["end"]), F.greatest)
+    held = F.zip_with(found, ends, lambda s, e: F.struct(s["start"].alias("start"), e.alias("end")))
+
+    def gaps(spans: Column) -> Column:
+        """What stays: from the end of all spans before up to the next that starts behind it, and up to the end of the text."""
+        before = F.transform(spans, lambda s, at: F.struct(
+            F.coalesce(F.get(spans, at - 1)["end"], F.lit(0)).alias("first"), s["start"].alias("last"), F.lit(mark).alias("mark")))
+        rest = F.struct(F.element_at(spans, -1)["end"].alias("first"), n.alias("last"), F.lit("").alias("mark"))
+        return F.concat(F.filter(before, lambda g: g["last"] >= g["first"]), F.array(rest))
+
+    def masked(stays: Column, width: Column) -> Column:
+        slices = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), F.lit(0))
+
+        def written(part: Column, k: Column) -> Column:
+            low, high = k * width, (k + 1) * width
+
+            def piece(g: Column) -> Column:
+                first, last = F.greatest(g["first"], low), F.least(g["last"], high)
+                return F.concat(F.substring(part, first - low + 1, last - first), F.when(g["last"] < high, g["mark"]).otherwise(""))
+
+            return F.array_join(F.transform(F.filter(stays, lambda g: (g["first"] < high) & (g["last"] >= low)), piece), "")
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return F.array_join(F.transform(slices, written), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    width = F.pow(F.lit(2), F.ceil(F.log2(F.sqrt(n.cast("double")) * 10))).cast("int")
+    done = _bound(_bound(held, gaps), lambda stays: _bound(width, lambda w: masked(stays, w)))
     return F.when(F.size(found) > 0, done).otherwise(text)
