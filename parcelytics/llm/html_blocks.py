@@ -18,9 +18,13 @@ from parcelytics.llm.sampling import smallest_keys
 #: Pages (those with the smallest hash) a labeller is fitted on at most, blocks of each that it reads, passes and seed.
 TRAINING_PAGES, TRAINING_BLOCKS, PASSES, SEED = 300, 50, 20, 5
 #: Random frames that training reads at least, whatever the number of pages, and two of each page.
-FRAMES = 600
+FRAMES = 1200
+#: Share of these frames whose elements have names of random letters, so that place, links, lengths and neighbours must decide.
+NAMELESS = 0.6
+#: Share of the text outside links that the element holding the body of a page has at least.
+BODY_SHARE = 0.6
 #: Sizes of the path vector, the word vector and the recurrent state of a direction.
-PATH, WORDS, EXTRA, STATE = 96, 24, 7, 16
+PATH, WORDS, EXTRA, STATE = 96, 24, 12, 16
 INPUT = PATH + WORDS + EXTRA
 
 # Fixed values of HTML: elements without an end tag, whose text isn't shown, and that part blocks.
@@ -187,10 +191,36 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return found
 
 
+def _layout(blocks: list[Block]) -> list[tuple[float, ...]]:
+    """Where each block stands to the body of its page, the deepest element path that holds most of the text outside links.
+
+    Inside it or not, the share of its path in common, the depth below, the share of the page's text in its own part of the
+    body (or of the page, outside), and how much of the body's text comes before.
+    """
+    weight: dict[tuple[str, ...], int] = {}
+    for b in blocks:
+        weight[b.path] = weight.get(b.path, 0) + max(len(b.text) - b.linked, 0)
+    under: dict[tuple[str, ...], int] = {}
+    for path, n in weight.items():
+        for depth in range(len(path) + 1):
+            under[path[:depth]] = under.get(path[:depth], 0) + n
+    whole = max(under.get((), 0), 1)
+    body = max((path for path, n in under.items() if n >= BODY_SHARE * whole), key=lambda path: (len(path), under[path]), default=())
+    if body and body in weight and weight[body] == under[body]:
+        body = body[:-1]  # the text's own leaves: what holds them counts
+    out, before, held = [], 0, max(under.get(body, 0), 1)
+    for b in blocks:
+        common = next((k for k, (x, y) in enumerate(zip(b.path, body)) if x != y), min(len(b.path), len(body)))
+        out.append((float(common == len(body)), common / max(len(body), 1), min(len(b.path) - common, 6) / 3,
+                    under[b.path[: common + 1]] / whole, before / held))
+        before += common == len(body) and max(len(b.text) - b.linked, 0)
+    return out
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row per block: hashed tag path, hashed words, and length, links, punctuation, digits and place."""
+    """A row per block: hashed tag path, hashed words, and length, links, punctuation, digits, place and layout."""
     x = np.zeros((len(blocks), INPUT), np.float32)
-    for i, b in enumerate(blocks):
+    for i, (b, layout) in enumerate(zip(blocks, _layout(blocks))):
         x[i, :PATH] = _path_vector(b.path)
         words = b.text.lower().split()
         h = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.int64, len(words))
@@ -199,7 +229,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         n = len(b.text)
         x[i, PATH + WORDS :] = (
             np.log1p(n) / 6, min(b.linked / n, 1), min(sum(map(b.text.count, ".,;!?")) / len(words), 1), sum(map(str.isdigit, b.text)) / n,
-            i / len(blocks), b.text[:1].isupper(), b.text[-1:] in ".!?",
+            i / len(blocks), b.text[:1].isupper(), b.text[-1:] in ".!?", *layout,
         )
     return x
 
@@ -329,29 +359,38 @@ def teacher(block: Block) -> bool:
 def reframed(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block], list[bool]]:
     """A page's blocks in another frame: main text under another name, and other things before, inside and after it.
 
-    Texts are the page's own, so only paths, lengths, links and neighbours tell the parts apart.
+    Texts are the page's own, so only paths, lengths, links and neighbours tell the parts apart. In a share of the frames
+    names are random letters and most elements plain ones: there what stands beside comes in its usual place.
     """
     main = [b for b in blocks if teacher(b)] or blocks
     words = [w for b in blocks for w in b.text.split()] or ["x"]
+    nameless = rng.random() < NAMELESS
+    renamed: dict[str, str] = {}
 
     def element(frame: str) -> str:
         tag, *rest = frame.split()
-        return _element(tag, " ".join(rest))
+        if not nameless:
+            return _element(tag, " ".join(rest))
+        if frame not in renamed:
+            letters = "".join("abcdefghijklmnopqrstuvwxyz"[k] for k in rng.integers(0, 26, int(rng.integers(2, 11))))
+            plain = ("div", "div", "div", "section", tag)[rng.integers(5)]
+            renamed[frame] = _element(plain, f"{('class', 'id')[rng.integers(2)]}={letters}" if rng.random() < 0.85 else "")
+        return renamed[frame]
 
     def some(low: int, high: int) -> str:
         n = int(rng.integers(low, high + 1))
         at = int(rng.integers(0, max(1, len(words) - n)))
         return " ".join(words[at : at + n]) or "x"
 
-    def beside(base: tuple[str, ...]) -> list[Block]:
-        kind = list(BESIDE)[rng.integers(len(BESIDE))]
+    def beside(base: tuple[str, ...], kinds: tuple[str, ...] = tuple(BESIDE)) -> list[Block]:
+        kind = kinds[rng.integers(len(kinds))]
         frames = BESIDE[kind]
         path = (*base, element(frames[rng.integers(len(frames))]))
         out = []
         for _ in range(int(rng.integers(1, 7 if kind in ("nav", "comments", "aside") else 3))):
             long = kind in ("comments", "notice", "ad", "aside") and rng.random() < 0.6
             text = some(4, 40) if long else some(1, 8)
-            inner = {"nav": ("ul", "li"), "comments": ("div comment",) if rng.random() < 0.5 else ("li",), "form": ("label",)}.get(kind, ())
+            inner = {"nav": ("ul", "li"), "comments": (element("div class=comment"),) if rng.random() < 0.5 else ("li",), "form": ("label",)}.get(kind, ())
             inner = () if rng.random() < 0.3 else tuple(inner)
             leaf = ("p",) if long and rng.random() < 0.6 else ()
             links = len(text) if kind == "nav" or kind in ("aside", "footer") and rng.random() < 0.5 else 0
@@ -369,8 +408,9 @@ def reframed(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block]
         out.extend(more)
         marks.extend([mark] * len(more))
 
+    first = ("nav", "header", "notice", "ad", "form") if nameless else tuple(BESIDE)
     for _ in range(int(rng.integers(0, 4))):
-        add(beside(outer), False)
+        add(beside(outer, first), False)
     cut = int(rng.integers(1, len(main) + 1))
     title = (*frame, "header") if rng.random() < 0.2 else frame
     for k, b in enumerate(main[:TRAINING_BLOCKS]):
@@ -382,8 +422,11 @@ def reframed(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block]
         add([Block(holder, b.text if rng.random() < (0.4 if leaf in ("li", "td", "h2", "h3") else 0.8) else some(1, 30), 0 if rng.random() < 0.9 else b.linked)], True)
         if k + 1 == cut and rng.random() < 0.5:
             add(beside(frame), False)
+    last = ("comments", "comments", "aside", "ad", "form", "nav") if nameless else tuple(BESIDE)
     for _ in range(int(rng.integers(0, 4))):
-        add(beside(frame if rng.random() < 0.25 else outer), False)
+        add(beside(frame if rng.random() < 0.25 else outer, last), False)
+    if nameless and rng.random() < 0.7:
+        add(beside(outer, ("footer",)), False)
     return out, marks
 
 
