@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
 from parcelytics.functions import geo, text
+from parcelytics.plans.claims import claim_in_order
 from parcelytics.plans.overlay import overlay_areas
 from parcelytics.plans.scale import keep_first, null_safe_join, top_k_per_group
 from parcelytics.plans.spatial import attach_by_coordinate, count_within, nearest, pairs_within, point_in_polygon
-from parcelytics.session import freeze
 
 
 def nearest_km(points: DataFrame, targets: DataFrame, by: str | None = None, values: Sequence[str] = ()) -> DataFrame:
@@ -140,27 +140,12 @@ def duplicate_pin_audit(units: DataFrame, order: str, name: str, metres: float =
 def claim_pins(units: DataFrame, order: str, name: str, metres: float = fv.DUPLICATE_PIN_M) -> DataFrame:
     """Greedy claiming in order: a blocked unit does not claim its pin, so it cannot block a later one.
 
-    Solved in rounds instead of one sequential task: a unit is decided once the earliest unblocked unit near it is
-    decided. Every round decides at least the earliest open unit of each neighbourhood, so the rounds end, after the
-    length of the longest chain of open units at most; copies of one pin are settled together.
+    Tiles of the map are walked in order by one task each, with what stands at their border; a chain of decisions costs a round
+    for each tile it crosses (see `plans.claims`). Units without a coordinate are free.
     """
-    pairs = freeze(earliest_neighbours(units, order, metres))
-    state = freeze(units.select(F.col(order).alias("o"), F.col(name).alias("nm"), "lat", "lon", F.lit(None).cast("string").alias("verdict")))
-    while True:
-        live = state.filter("verdict IS NULL OR verdict <> 'blocked'")
-        first = live.groupBy(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).agg(
-            F.min(F.struct("o", "nm", F.col("verdict").isNotNull().alias("done"))).alias("owner"))
-        around = pairs.join(first, ["t_lat", "t_lon"]).groupBy("lat", "lon").agg(F.min("owner").alias("owner"))
-        joined = null_safe_join(state, around, ["lat", "lon"], "left")
-        overlap = F.arrays_overlap(text.distinctive_tokens(F.col("nm")), text.distinctive_tokens(F.col("owner.nm")))
-        decision = (
-            F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("owner.o") == F.col("o"), "free")
-            .when((F.col("owner.o") < F.col("o")) & F.col("owner.done"), F.when(overlap, "shared").otherwise("blocked"))
-        )
-        state = freeze(joined.select("o", "nm", "lat", "lon", decision.alias("verdict")))
-        if state.filter("verdict IS NULL").isEmpty():
-            break
-    return units.join(state.select(F.col("o").alias(order), "verdict"), order)
+    named = units.select(F.col(order).alias("o"), F.col(name).alias("nm"), F.col("lat").cast("double"), F.col("lon").cast("double"))
+    verdicts = claim_in_order(named, metres / 1000, fv.MATCH_RADIUS_KM)
+    return units.join(verdicts.select(F.col("o").alias(order), "verdict"), order)
 
 
 def anchor_collapse(anchors: DataFrame, lat: str, lon: str, label: str, digits: int = 4) -> DataFrame:
