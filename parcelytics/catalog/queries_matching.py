@@ -1,5 +1,7 @@
 """Joins, dictionary scans, fuzzy matching and the cascade."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
@@ -8,6 +10,7 @@ from parcelytics.catalog.registry import rounded as r
 from parcelytics.catalog.views import blocks_sql, haversine_sql, sound_sql
 from parcelytics.functions import text
 from parcelytics.operators import matching as m
+from parcelytics.session import ensure_checkpoint_dir
 
 
 @query("D1_left_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, p_size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 5")
@@ -25,6 +28,22 @@ def _(t):
     return m.validated_join(t.orders.select("o_orderkey", "o_custkey"), dim, "o_custkey")[1]
 
 
+@query("D2_observed_join", """
+WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 10 = 1),
+n AS (SELECT c_custkey, count(*) AS n FROM c GROUP BY 1), j AS (SELECT o_custkey, n FROM orders LEFT JOIN n ON o_custkey = c_custkey)
+SELECT (SELECT count(*) FROM n WHERE n > 1) AS repeated_right_keys, (SELECT count(*) FROM j WHERE n IS NULL) AS left_rows_without_match,
+  (SELECT count(*) FROM n WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS unused_right_keys, (SELECT count(*) FROM orders) AS rows_in,
+  (SELECT CAST(sum(coalesce(n, 1)) AS BIGINT) FROM j) AS rows_out""")
+def _(t):
+    """The counters of the join as it is written, on a right side in which some keys stand twice."""
+    once = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    dim = once.filter("o_custkey % 10 <> 3").unionAll(once.filter("o_custkey % 10 = 1"))
+    joined, report = m.observed_join(t.orders.select("o_orderkey", "o_custkey"), dim, "o_custkey", unused=True)
+    joined.write.parquet(f"{ensure_checkpoint_dir(t.spark)}/observed-{uuid.uuid4().hex}")
+    found = report()
+    return t.spark.createDataFrame([found], ", ".join(f"{c} long" for c in found))
+
+
 @query("D3_inner_join_on_index", "SELECT o_orderkey, c_name, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(t):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "inner").select("o_orderkey", "c_name", "c_nationkey")

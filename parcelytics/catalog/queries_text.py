@@ -42,19 +42,19 @@ def _(t):
     return body.withColumn("origin", meta.scalar())
 
 
-@query("A4_load_geojson", """
-SELECT address, poly_id % 2 = 0 AS polygon, round(x0, 6) AS min_lon, round(y0, 6) AS min_lat, round(x1, 6) AS max_lon, round(y1, 6) AS max_lat, CAST(4 AS INT) AS n_vertices FROM boxes WHERE modelled""")
-def _(t):
+A4_SQL = """
+SELECT address, poly_id % 2 = 0 AS polygon, round(x0, 6) AS min_lon, round(y0, 6) AS min_lat, round(x1, 6) AS max_lon, round(y1, 6) AS max_lat, CAST(4 AS INT) AS n_vertices FROM boxes WHERE modelled"""
+
+
+def feature_parts(t):
+    """Properties and geometry of each box as a feature: single outlines for even ids, lists of one for odd ids."""
     ring = F.transform(F.col("rings")[0], lambda p: F.array(p["lon"], p["lat"]))
-    single, multi = F.to_json(F.array(ring)), F.to_json(F.array(F.array(ring)))
     even = F.col("poly_id") % 2 == 0
-    feature = F.struct(
-        F.create_map(F.lit("address"), F.col("address"), F.lit("modelled"), F.col("modelled").cast("string")).alias("properties"),
-        F.struct(F.when(even, "Polygon").otherwise("MultiPolygon").alias("type"), F.when(even, single).otherwise(multi).alias("coordinates")).alias("geometry"),
-    )
-    texts = t.boxes.groupBy((F.col("poly_id") % 5).alias("g")).agg(
-        F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("body"))
-    out = readers.load_geojson(texts, "body", F.col("properties")["modelled"] == "true")
+    properties = F.create_map(F.lit("address"), F.col("address"), F.lit("modelled"), F.col("modelled").cast("string"))
+    return properties.alias("properties"), F.when(even, "Polygon").otherwise("MultiPolygon"), even, F.array(ring), F.array(F.array(ring))
+
+
+def outlines(out):
     key = F.regexp_extract(F.col("properties")["address"], r"(\d+)", 1).cast("long")
     return out.select(
         F.col("properties")["address"].alias("address"), (key % 2 == 0).alias("polygon"),
@@ -63,6 +63,26 @@ def _(t):
     )
 
 
+@query("A4_load_geojson", A4_SQL)
+def _(t):
+    properties, kind, even, single, multi = feature_parts(t)
+    feature = F.struct(properties, F.struct(kind.alias("type"), F.when(even, F.to_json(single)).otherwise(F.to_json(multi)).alias("coordinates")).alias("geometry"))
+    texts = t.boxes.groupBy((F.col("poly_id") % 5).alias("g")).agg(
+        F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("body"))
+    return outlines(readers.load_geojson(texts, "body", F.col("properties")["modelled"] == "true"))
+
+
+@query("A4_load_feature_files", A4_SQL)
+def _(t):
+    """Files of features without line ends, as other tools write them."""
+    properties, kind, even, single, multi = feature_parts(t)
+    shape = F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), F.when(even, F.to_json(single)).otherwise(F.to_json(multi)), F.lit("}"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(properties), F.lit(',"geometry":'), shape, F.lit("}"))
+    path = scratch(t, "features")
+    t.boxes.select(feature).write.option("lineSep", ",\n").text(path)
+    return outlines(readers.load_feature_files(t.spark, path, F.col("properties")["modelled"] == "true"))
+
+
 @query("A5_load_flag_events", """
 SELECT event_id, CASE event_type WHEN 'error' THEN 'flood' ELSE 'heavy rain' END AS event_class, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k,
   try_cast(CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS v, nullif(trim(CASE WHEN event_id % 5 = 0 THEN '  ' ELSE event_type END), '') AS note, label

@@ -6,9 +6,9 @@ everything. A text that occurs many times is matched once and the result is join
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
@@ -46,6 +46,28 @@ def validated_join(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFra
     return joined, report
 
 
+def observed_join(left: DataFrame, right: DataFrame, key: str, unused: bool = False) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """(joined, report): a many-to-one left join that counts its invariants while it runs; neither side is read again.
+
+    `report()` waits for the first action on the joined rows. It holds what `validated_join` counts, right keys that no left row
+    uses only with `unused`: they need an outer join, which cannot broadcast a small right side. Null keys match nothing.
+    Right rows of a key are numbered, which reads the right side sorted by key and holds none of them.
+    """
+    named = right.withColumnRenamed(key, "__key")
+    order = Window.partitionBy("__key").orderBy("__key")
+    dim_seen, seen = Observation(), Observation()
+    dim = named.withColumn("__copy", F.row_number().over(order)).observe(
+        dim_seen, F.count_if((F.col("__copy") == 2) & F.col("__key").isNotNull()).alias("repeated_right_keys"))
+    rows = left.withColumn("__left", F.lit(True)).join(dim, F.col(key) == F.col("__key"), "full_outer" if unused else "left")
+    ours, first = F.col("__left").isNotNull(), F.coalesce(F.col("__copy"), F.lit(1)) == 1
+    counts = {"left_rows_without_match": ours & F.col("__copy").isNull(), "rows_in": ours & first, "rows_out": ours}
+    if unused:
+        counts["unused_right_keys"] = F.col("__left").isNull() & first
+    watched = rows.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()])
+    joined = watched.filter(ours).select(*left.columns, *[c for c in right.columns if c != key])
+    return joined, lambda: {**dim_seen.get, **seen.get}
+
+
 def full_outer_compare(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Reconcile two result tables: key, both values, absolute difference, presence."""
     left, right = a.select(key, F.col(value).alias("a")), b.select(key, F.col(value).alias("b"))

@@ -15,6 +15,9 @@ GEOMETRY_SCHEMA = (
     "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
 )
 
+#: How a feature begins in the files of most writers.
+FEATURE_BEGIN = '{"type":"Feature",'
+
 
 def load_table(spark: SparkSession, path: str, columns: Sequence[str], schema: StructType | str | None = None, fmt: str = "parquet") -> DataFrame:
     """Scan with a column whitelist; text formats need a declared schema (types are never guessed)."""
@@ -57,7 +60,10 @@ def outer_rings(kind: Column, coordinates: Column) -> Column:
 
 def load_geojson(documents: DataFrame, text: str, where: Column | None = None) -> DataFrame:
     """One row per feature of a feature-collection text: properties map, outer rings, bbox."""
-    parsed = documents.select(F.explode(F.from_json(F.col(text), GEOMETRY_SCHEMA)["features"]).alias("f"))
+    return _shaped(documents.select(F.explode(F.from_json(F.col(text), GEOMETRY_SCHEMA)["features"]).alias("f")), where)
+
+
+def _shaped(parsed: DataFrame, where: Column | None) -> DataFrame:
     flat = parsed.select(
         F.col("f.properties").alias("properties"),
         outer_rings(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("rings"),
@@ -67,6 +73,25 @@ def load_geojson(documents: DataFrame, text: str, where: Column | None = None) -
     return flat.filter(F.col("rings").isNotNull()).withColumn("bbox", geo.ring_bbox(F.col("rings")))
 
 
+def load_feature_files(spark: SparkSession, path: str, where: Column | None = None, begin: str = FEATURE_BEGIN) -> DataFrame:
+    """As `load_geojson` for files of any size: one file is read by many tasks, each the features that begin in its split.
+
+    `begin` is the text with which every feature of the files begins; it parts the records of the text reader, which finds them
+    from any offset. Quotes inside a JSON text are escaped, so names and notes cannot look like it. Files without it are read
+    whole; a file that has features of another form beside it, or a feature that cannot be read, is an error.
+    """
+    pieces = spark.read.option("lineSep", begin).text(path)
+    feature = GEOMETRY_SCHEMA.removeprefix("struct<features:array<").removesuffix(">>")
+    one = F.from_json(F.concat(F.lit(begin), "value"), feature)
+    other = F.regexp_like("value", F.lit(r'"type"\s*:\s*"Feature"'))
+    head = F.regexp_like("value", F.lit(r'"type"\s*:\s*"FeatureCollection"|^\s*\{\s*"features"\s*:'))
+    whole = F.from_json("value", GEOMETRY_SCHEMA)["features"]
+    read = F.when(head, F.when(other & (F.coalesce(F.size(whole), F.lit(0)) < 1), F.raise_error(F.lit("a feature begins in another form"))).otherwise(whole))
+    broken = F.when(other, "a feature begins in another form").when(one.isNull() | one["geometry"].isNull(), "a feature cannot be read")
+    read = read.when(broken.isNotNull(), F.raise_error(broken)).otherwise(F.array(one))
+    return _shaped(pieces.filter(F.trim("value") != "").select(F.explode(read).alias("f")), where)
+
+
 def load_flag_events(
     records: DataFrame, kind: str, classes: dict[str, str], numeric: Sequence[str], blank_to_null: Sequence[str],
     extension: DataFrame | None = None, key: str | None = None,
