@@ -294,7 +294,8 @@ def _numbered(df: DataFrame, key: Sequence[str], columns: Sequence[str], seed: i
     """Rows numbered 0..n-1 in hash order with their feature array, and n."""
     shaped = df.select(*key, *extra, F.array(*ft.ordered_features(df, columns)).alias("x"))
     order = [F.xxhash64(*key, F.lit(seed)), *[F.col(k) for k in key]]
-    out = freeze(with_positions(shaped, [], order, "pos").withColumn("pos", F.col("pos") - 1))
+    # long: positions are multiplied by numbers up to n
+    out = freeze(with_positions(shaped, [], order, "pos").withColumn("pos", F.col("pos").cast("long") - 1))
     return out, out.count()
 
 

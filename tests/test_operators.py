@@ -175,3 +175,10 @@ def test_enforce_raises_with_the_reason(spark):
     df = spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(expect.ExpectationFailed, match="unique k"):
         expect.enforce(expect.expect_unique(df, ["k"]))
+
+
+def test_permutation_importance_over_positions_whose_products_exceed_an_int(spark):
+    df = spark.range(60_000).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 13).cast("double").alias("b")).withColumn("y", 3 * F.col("a"))
+    model = modelling.fit_regressor(df, ["a", "b"], "y", "linear")
+    importance = {r["feature"]: r["importance"] for r in modelling.permutation_importance(model, df, ["id"], ["a", "b"], "y").collect()}
+    assert importance["a"] > 1 and abs(importance["b"]) < 1e-6
