@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from parcelytics.functions import blocks, numeric, text
 from parcelytics.plans.scale import (
-    attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, null_safe_join, quantile_of_columns, stack_rows, top_k_per_group,
+    attach_scalar, attach_stats, exact_quantiles, is_small, maybe_broadcast, null_safe_join, quantile_of_columns, stack_rows, top_k_per_group,
     with_positions, with_value_rank,
 )
+from parcelytics.session import freeze
+
 
 def group_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, sum, min, q1, median, q3, iqr and max of a value per group; n counts all rows of the group."""
@@ -180,7 +182,9 @@ def division_lookup(df: DataFrame, key: str, columns: Sequence[str]) -> DataFram
 
 
 def global_row(lookup: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Column medians of the lookup: the fallback row."""
+    """Column medians of the lookup: the fallback row. A large lookup is settled first, because the medians read it several times."""
+    if not is_small(lookup):
+        lookup = freeze(lookup)
     return quantile_of_columns(lookup, [], columns, 0.5)
 
 

@@ -53,6 +53,27 @@ def test_quantiles_agree_on_missing_values(stored, keys, accuracy, in_one_task,
         assert small["void"]["med"] is None and small["only nan"]["med"] is None and small["nan"]["hi"] == 2.0
 
 
+@pytest.mark.parametrize("most", [30, 100_000])
+def test_groups_a_task_can_hold_are_one_aggregate(stored, most, monkeypatch):
+    probs, also = {"q1": 0.25, "med": 0.5}, [F.count("*").alias("n")]
+    plain = {r["g"]: tuple(r) for r in scale.exact_quantiles(stored, ["g"], "v", probs, also=also).collect()}
+    columns = {r["g"]: tuple(r) for r in scale.quantile_of_columns(stored, ["g"], ["v", "id"], 0.5, also).collect()}
+    monkeypatch.setattr(scale, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(scale, "GROUP_VALUES", most)
+    large = scale.exact_quantiles(stored, ["g"], "v", probs, also=also)
+    wide = scale.quantile_of_columns(stored, ["g"], ["v", "id"], 0.5, also)
+    for frame, expected in ((large, plain), (wide, columns)):
+        got = {r["g"]: tuple(r[c] for c in (*["g"], *[c for c in frame.columns if c != "g"])) for r in frame.select(*(["g", "n", "q1", "med"] if frame is large else ["g", "n", "v", "id"])).collect()}
+        assert got.keys() == expected.keys()
+        for g, row in got.items():
+            want = dict(zip(["g", "n", "q1", "med"] if frame is large else ["g", "n", "v", "id"], expected[g]))
+            assert row[1] == want["n"]
+            assert all(a is None and b is None or math.isclose(a, b, rel_tol=1e-12) for a, b in zip(row[2:], expected[g][2:])), g
+    if most > 6000:  # no group is larger: nothing is stacked, joined or counted by value
+        for frame in (large, wide):
+            assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def as_set(df):
     return sorted(map(str, (tuple(r) for r in df.collect())))
 
