@@ -14,8 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelytics.plans.scale import spread
+from parcelytics.session import freeze
+
 #: Edges in a cell beyond which it is cut in four, and how often at most.
 EDGES, DEPTH = 160, 16
+#: Pieces of units in a cell up to which one task measures them all.
+CELL_PIECES = 500
 
 
 def clip(ring: np.ndarray, axis: int, bound: float, above: bool) -> np.ndarray:
@@ -121,28 +126,42 @@ def _pieces(df: DataFrame, columns: list[str], size: float) -> DataFrame:
     flat = df.select(*columns, F.explode("rings").alias("r")).select(*columns, F.col("r.lon").alias("lon"), F.col("r.lat").alias("lat"))
     flat = flat.filter(~F.exists("lon", lambda v: v.isNull() | F.isnan(v)) & ~F.exists("lat", lambda v: v.isNull() | F.isnan(v)))
     own = [flat.schema[c] for c in columns]
-    return flat.mapInPandas(cut, T.StructType([*own, *T._parse_datatype_string("cx long, cy long, piece binary")]))
+    return spread(flat).mapInPandas(cut, T.StructType([*own, *T._parse_datatype_string("cx long, cy long, piece binary")]))
 
 
 def overlay_areas(units: DataFrame, key: str, layers: list[DataFrame], size: float) -> DataFrame:
     """key, area, under_0, under_1, ...: square units of each unit's rings, and of what lies under the union of each layer.
 
     A polygon is the union of its rings. Rings with missing coordinates are left out, as are units without area. Pieces meet by grid
-    cell; equal pieces of a layer count once, and a task holds the pieces of one cell.
+    cell; equal pieces of a layer count once. The units of a full cell are dealt over several tasks, each with the layers' pieces there.
     """
     below = [f"under_{k}" for k in range(len(layers))]
 
     def measured(cell: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         ring = lambda data: np.frombuffer(data).reshape(-1, 2)
         covers = [[ring(p) for p in other.loc[other["layer"] == k, "piece"]] for k in range(len(below))]
-        rows = [(name, *areas_within([ring(p) for p in group["piece"]], covers)) for name, group in own.groupby("unit", sort=False)]
+        boxes = [np.array([[*r.min(0), *r.max(0)] for r in rings]).reshape(-1, 4) for rings in covers]
+
+        def areas(rings: list[np.ndarray]) -> np.ndarray:
+            low, high = np.min([r.min(0) for r in rings], 0), np.max([r.max(0) for r in rings], 0)
+            met = [np.flatnonzero((b[:, :2] < high).all(1) & (b[:, 2:] > low).all(1)) for b in boxes]
+            return areas_within(rings, [[rings_[i] for i in near] for rings_, near in zip(covers, met)])
+
+        rows = [(name, *areas([ring(p) for p in group["piece"]])) for name, group in own.groupby("unit", sort=False)]
         return pd.DataFrame(rows, columns=["unit", "area", *below])
 
-    pieces = _pieces(units.filter(F.col(key).isNotNull()).select(F.col(key).alias("unit"), "rings"), ["unit"], size)
+    pieces = freeze(_pieces(units.filter(F.col(key).isNotNull()).select(F.col(key).alias("unit"), "rings"), ["unit"], size))
+    cells = freeze(pieces.groupBy("cx", "cy").agg(F.ceil(F.count("*") / CELL_PIECES).alias("parts")))
+    parts = cells.agg(F.sum("parts")).first()[0] or 1
+    cores = units.sparkSession.sparkContext.defaultParallelism
+    tasks, place = min(parts, max(4 * cores, parts // 64)), ["cx", "cy", "part"]
     every = [_pieces(layer.select(F.lit(k).alias("layer"), "rings"), ["layer"], size) for k, layer in enumerate(layers)]
     stacked = every[0]
     for layer in every[1:]:
         stacked = stacked.unionByName(layer)
     numbers = T._parse_datatype_string(", ".join(f"{c} double" for c in ("area", *below)))
-    found = pieces.groupBy("cx", "cy").cogroup(stacked.distinct().groupBy("cx", "cy")).applyInPandas(measured, T.StructType([pieces.schema["unit"], *numbers]))
+    dealt = pieces.join(cells, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("unit"), F.col("parts"))).select("unit", *place, "piece")
+    there = stacked.distinct().join(cells, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    grouped = [side.repartition(tasks, *place).groupBy(*place) for side in (dealt, there.select("layer", *place, "piece"))]
+    found = grouped[0].cogroup(grouped[1]).applyInPandas(measured, T.StructType([pieces.schema["unit"], *numbers]))
     return found.groupBy(F.col("unit").alias(key)).agg(*[F.sum(c).alias(c) for c in ("area", *below)])

@@ -62,3 +62,22 @@ def test_areal_share_defined_cases(spark):
     assert spatial.areal_share(units.limit(0), "k", cover, flood).collect() == []
     dry = spatial.areal_share(units, "k", cover.limit(0), flood).collect()
     assert {(r["covered"], r["flooded_share"]) for r in dry} == {(0.0, 0.0)}
+
+
+def test_units_of_a_full_cell_are_dealt_over_tasks_with_the_same_areas(spark, monkeypatch):
+    square = lambda x, y, s: [[{"lon": a, "lat": b} for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s))]]
+    schema = "k long, rings array<array<struct<lon:double,lat:double>>>"
+    units = spark.createDataFrame([(i, square(0.001 * (i % 37), 0.0007 * (i % 41), 0.01 + 0.0001 * (i % 5))) for i in range(300)], schema)
+    layer = spark.createDataFrame([(i, square(0.02 * i, 0.01 * (i % 2), 0.015)) for i in range(4)], schema)
+    whole = {r["k"]: r for r in overlay.overlay_areas(units, "k", [layer], 0.05).collect()}
+    monkeypatch.setattr(overlay, "CELL_PIECES", 10)
+    plan = overlay.overlay_areas(units, "k", [layer], 0.05)._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" in plan  # a cell is more than one group
+    dealt = {r["k"]: r for r in overlay.overlay_areas(units, "k", [layer], 0.05).collect()}
+    assert len(dealt) == 300 and whole.keys() == dealt.keys()
+    for k, row in dealt.items():
+        assert np.allclose(tuple(row), tuple(whole[k]), atol=1e-15)
+        side = 0.01 + 0.0001 * (k % 5)
+        x, y = 0.001 * (k % 37), 0.0007 * (k % 41)
+        under = sum(max(0, min(x + side, a + 0.015) - max(x, a)) * max(0, min(y + side, b + 0.015) - max(y, b)) for a, b in ((0.02 * i, 0.01 * (i % 2)) for i in range(4)))
+        assert abs(row["area"] - side * side) < 1e-12 and abs(row["under_0"] - under) < 1e-12
