@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from parcelytics.operators import features as ft
 from parcelytics.operators.aggregates import correlation, spearman
 from parcelytics.operators.boosting import SecondOrderBooster
-from parcelytics.plans.scale import attach_scalar, attach_stats, exact_quantiles, maybe_broadcast, with_positions, with_value_rank
+from parcelytics.plans.scale import attach_scalar, attach_stats, exact_quantiles, is_small, maybe_broadcast, with_positions, with_value_rank
 from parcelytics.session import freeze
 
 BUCKETS = 1_000_000
@@ -106,6 +106,11 @@ def regressor(kind: str, **params):
     raise ValueError(f"unknown regressor {kind}")
 
 
+def settled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The named columns of a large input, written once: every fit and every score of a loop reads them again."""
+    return df if is_small(df) else freeze(df.select(*dict.fromkeys(c for c in columns if c in df.columns)))
+
+
 def fit_regressor(train: DataFrame, columns: Sequence[str], target: str, kind: str = "forest", **params):
     """Fit on the ordered features; the model scores tables made by `features.assemble`."""
     shaped = ft.assemble(train.withColumn("label", F.col(target)), columns, keep=["label"])
@@ -127,6 +132,8 @@ def random_search_cv(train: DataFrame, columns: Sequence[str], target: str, fold
     grid = list(itertools.product(*[space[p] for p in names]))
     drawn = random.Random(seed).sample(grid, min(n, len(grid)))
     estimator = regressor(kind)
+    if not is_small(train):  # models trained side by side would hold their inputs in memory at the same time
+        train, parallelism = settled(train, [*columns, target, fold]), 1
     maps = [{getattr(estimator, p): v for p, v in zip(names, values)} for values in drawn]
     shaped = ft.assemble(train.withColumn("label", F.col(target)).withColumn("fold", F.col(fold).cast("int")), columns, keep=["label", "fold"])
     search = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="r2", labelCol="label"),
@@ -139,8 +146,9 @@ def random_search_cv(train: DataFrame, columns: Sequence[str], target: str, fold
 def rfe_cv(train: DataFrame, columns: Sequence[str], target: str, fold: str, kind: str = "forest", step: int = 1, minimum: int = 1, **params) -> DataFrame:
     """Recursive elimination: cross-validated R2 of each shrinking feature set; the least important go first."""
     current, rows = list(columns), []
+    train = settled(train, [*columns, target, fold])
     while True:
-        scored = cross_validate(train, current, target, fold, kind=kind, **params).filter("fold = 'mean'").first()
+        scored = _cross_validate(train, current, target, fold, kind=kind, median=False, **params).filter("fold = 'mean'").first()
         rows.append((len(current), ",".join(current), float(scored["r2"])))
         if len(current) <= minimum:
             break
@@ -172,8 +180,8 @@ def ensemble_mean(predictions: Sequence[DataFrame], key: Sequence[str], column:
 
 
 # --------------------------------------------------------------------------- metrics
-def metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, R2, RMSE and MAE on the log scale; MAE, MAPE and median APE after exp. One pass plus the exact median."""
+def metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), median: bool = True) -> DataFrame:
+    """n, R2, RMSE and MAE on the log scale; MAE, MAPE and median APE after exp. One pass plus the exact median (if wanted)."""
     scored = df.select(*keys, F.col(y).alias("__y"), F.col(p).alias("__p")).withColumn("__e", F.col("__y") - F.col("__p")).withColumn(
         "__re", F.abs(F.exp("__y") - F.exp("__p"))).withColumn("__ape", 100 * F.col("__re") / F.exp("__y"))
     basic = [
@@ -182,7 +190,7 @@ def metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFram
         F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse_log"), F.avg(F.abs("__e")).alias("mae_log"),
         F.avg("__re").alias("mae"), F.avg("__ape").alias("mape"),
     ]
-    return exact_quantiles(scored, keys, "__ape", {"median_ape": 0.5}, also=basic)
+    return exact_quantiles(scored, keys, "__ape", {"median_ape": 0.5}, also=basic) if median else scored.groupBy(*keys).agg(*basic)
 
 
 def cross_validate(df: DataFrame, columns: Sequence[str], target: str, fold: str, group: str | None = None, kind: str = "forest",
@@ -190,8 +198,16 @@ def cross_validate(df: DataFrame, columns: Sequence[str], target: str, fold: str
     """Leak-safe CV: in every fold the encoder is fitted on the training part only; one row per fold and a mean row.
 
     With `group`, training rows get an out-of-fold encoding over the remaining folds and validation rows the encoding
-    of the whole training part. Folds run side by side on one session.
+    of the whole training part. Folds run side by side on one session, those of a large input one after the other: there a fit
+    uses all cores, and the inputs of several would not fit into memory together.
     """
+    return _cross_validate(settled(df, [*columns, target, fold, *([group] if group else [])]), columns, target, fold, group, kind, folds, parallelism, **params)
+
+
+def _cross_validate(df: DataFrame, columns: Sequence[str], target: str, fold: str, group: str | None = None, kind: str = "forest",
+                    folds: Sequence[int] | None = None, parallelism: int = 4, median: bool = True, **params) -> DataFrame:
+    """`cross_validate` of settled rows; without `median` the median APE is left out."""
+    small = is_small(df)
     if folds is None:
         folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(1001).collect()]
         if len(folds) > 1000:
@@ -204,10 +220,15 @@ def cross_validate(df: DataFrame, columns: Sequence[str], target: str, fold: str
             test = ft.apply_target_encoding(test, ft.target_encoding(train, group, target), group)
             train = ft.target_encode_oof(train, group, target, fold)
             used.append("target_enc")
+        if group and not small:  # a fit reads its rows several times
+            train = settled(train, [*used, target])
         model = fit_regressor(train, used, target, kind, **params)
-        return metrics(predict(model, test, used), target, "prediction").withColumn("fold", F.lit(str(held_out)))
+        scored = predict(model, test, used)
+        if median and not small:  # so do the medians
+            scored = freeze(scored.select(target, "prediction"))
+        return metrics(scored, target, "prediction", median=median).withColumn("fold", F.lit(str(held_out)))
 
-    with ThreadPool(min(parallelism, len(folds))) as pool:
+    with ThreadPool(min(parallelism if small else 1, len(folds))) as pool:
         parts = pool.map(run, folds)
     rows = parts[0]
     for part in parts[1:]:
@@ -228,9 +249,9 @@ def ablation(df: DataFrame, base: Sequence[str], block: Sequence[str], target: s
         configs.update({f"drop_{c}": [x for x in block if x != c] for c in block})
     out = None
     for seed in seeds:
-        with_fold = folds_of(df, seed)
+        with_fold = settled(folds_of(df, seed), [*base, *block, target, "fold", *([group] if group else [])])
         for config, extra in configs.items():
-            scored = cross_validate(with_fold, [*base, *extra], target, "fold", group, kind, **params).filter("fold = 'mean'")
+            scored = _cross_validate(with_fold, [*base, *extra], target, "fold", group, kind, median=False, **params).filter("fold = 'mean'")
             row = scored.select(F.lit(config).alias("config"), F.lit(seed).cast("long").alias("seed"), (100 * F.col("r2")).alias("metric"))
             out = row if out is None else out.unionByName(row)
     return out
