@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from parcelytics import fixed_values as fv
 from parcelytics.functions import blocks, geo, text
-from parcelytics.plans.scale import attach_stats, keep_first, maybe_broadcast, null_safe_join, spread
+from parcelytics.plans.scale import keep_first, maybe_broadcast, null_safe_join, spread
+from parcelytics.plans.spatial import nearest
 from parcelytics.session import freeze
 
 OUT_OF_DISTRICT = "__OUT_OF_DISTRICT__"
@@ -442,16 +443,30 @@ def match_cascade(df: DataFrame, fields: Sequence[str], resolved: DataFrame) ->
 def resolve_collision(df: DataFrame, name: str, lat: str, lon: str, candidates: DataFrame, owner: str) -> DataFrame:
     """Pick the candidate of a colliding name: the only one, else the nearest to the row's anchor, else ambiguous.
 
-    `candidates`: name, owner, c_lat, c_lon. Rows are reduced to distinct (name, anchor) before the join.
+    `candidates`: name, owner, c_lat, c_lon. Rows are reduced to distinct (name, anchor), which look for the nearest candidate of
+    their name cell by cell; a candidate without a point goes before those with one. Only coordinates that are no places on the
+    sphere are compared with every candidate of the name.
     """
-    sizes = attach_stats(candidates, [name], F.count("*").alias("__n"))
-    anchors = df.select(name, lat, lon).distinct()
-    joined = null_safe_join(anchors.select(name, lat, lon), sizes.groupBy(name).agg(F.max("__n").alias("__n")), [name], "left")
-    pairs = joined.join(candidates, name, "left")
+    placed = lambda a, b: F.coalesce(F.col(a).between(-90, 90) & F.col(b).between(-180, 180), F.lit(False))
+    blank = lambda a, b: F.col(a).isNull() | F.col(b).isNull()
+    stats = candidates.groupBy(name).agg(
+        F.count("*").alias("__n"), F.min(F.struct(F.col(owner).alias("o"))).alias("__least"),
+        F.min(F.when(blank("c_lat", "c_lon"), F.struct(F.col(owner).alias("o")))).alias("__blank"),
+        F.max(~placed("c_lat", "c_lon") & ~blank("c_lat", "c_lon")).alias("__odd"))
+    anchors = freeze(null_safe_join(df.select(name, lat, lon).distinct(), stats, [name], "left"))
+    known = F.when(F.col(name).isNotNull(), F.when(blank(lat, lon), F.col("__least")).otherwise(F.col("__blank")))
+    settled = F.col(name).isNull() | F.col("__n").isNull() | known.isNotNull()
+    here = anchors.filter(settled).select(name, lat, lon, "__n", F.when(F.col("__n").isNotNull(), known["o"]).alias("__o"))
+    open_ = anchors.filter(~settled)
+    near = open_.filter(placed(lat, lon) & ~F.col("__odd"))
+    spots = candidates.select(name, F.struct(F.col(owner).alias("o")).alias("__who"), F.col("c_lat").alias("t_lat"), F.col("c_lon").alias("t_lon"))
+    found = nearest(near.select(name, F.col(lat).alias("lat"), F.col(lon).alias("lon")), spots, name, payload=["__who"], sphere_km=fv.MATCH_RADIUS_KM)
+    found = found.select(name, F.col("lat").alias(lat), F.col("lon").alias(lon), F.col("__who.o").alias("__o"))
+    close = near.select(name, lat, lon, "__n").join(found, [name, lat, lon], "left")
     km = geo.haversine(F.col(lat), F.col(lon), F.col("c_lat"), F.col("c_lon"), fv.MATCH_RADIUS_KM)
-    best = pairs.groupBy(name, lat, lon).agg(
+    odd = open_.filter(~(placed(lat, lon) & ~F.col("__odd"))).join(candidates, name, "left").groupBy(name, lat, lon).agg(
         F.max("__n").alias("__n"), F.min(F.struct(km.alias("km"), F.col(owner).alias("o"))).alias("b"))
-    ambiguous = (F.col("__n") > 1) & (F.col(lat).isNull() | F.col(lon).isNull())
-    decided = best.select(name, lat, lon, F.when(~F.coalesce(ambiguous, F.lit(False)), F.col("b.o")).alias(owner),
-                          F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"))
+    best = here.unionByName(close).unionByName(odd.select(name, lat, lon, "__n", F.col("b.o").alias("__o")))
+    ambiguous = F.coalesce((F.col("__n") > 1) & blank(lat, lon), F.lit(False))
+    decided = best.select(name, lat, lon, F.when(~ambiguous, F.col("__o")).alias(owner), ambiguous.alias("ambiguous"))
     return null_safe_join(df, decided, [name, lat, lon], "left")

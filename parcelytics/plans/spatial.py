@@ -203,7 +203,7 @@ def nearest(points: DataFrame, targets: DataFrame, by: str | None = None, values
     """Nearest target per distinct point (and `by` value): lat, lon, [by], km, payload columns.
 
     Searches discs of growing radius; a point leaves the search as soon as its disc holds a target, because every target in the
-    disc was then compared. Once a cell of that size holds many targets, the rest descends a pyramid of cells. Rounds stop when nothing is pending or the disc spans the data. A point
+    disc was then compared. Without `values` the points have their own value of `by`. Once a cell of that size holds many targets, the rest descends a pyramid of cells. Rounds stop when nothing is pending or the disc spans the data. A point
     without any target (empty category) is absent from the result.
     """
     keys = ["lat", "lon"] + ([by] if by else [])
@@ -223,7 +223,9 @@ def nearest(points: DataFrame, targets: DataFrame, by: str | None = None, values
     radius = min(max(0.8 * math.sqrt(max(height * width, 1e-6) / count[0]), 0.05), diameter)
     pending = coords
     if by:
-        pending = coords.withColumn(by, F.explode(F.array(*[F.lit(v) for v in values])))
+        own = not values and by in points.columns
+        pending = points.select(*keys).filter(f"lat IS NOT NULL AND lon IS NOT NULL AND `{by}` IS NOT NULL").distinct() if own else coords.withColumn(
+            by, F.explode(F.array(*[F.lit(v) for v in values])))
         present = spots.select(by).distinct()
         pending = pending.join(maybe_broadcast(present), by, "left_semi").select(*keys)
     found = None
