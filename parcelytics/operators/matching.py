@@ -375,17 +375,19 @@ def guarded_scan(texts: DataFrame, key: str, body: str, places: DataFrame, known
     An exact sound key beats a fuzzy one; a fuzzy one needs six characters and must not be a known division's key.
     `places`: place_key, district. `known`: key. Returns key, district, token, how, pos.
     """
-    words = texts.select(key, text.latin_tokens(F.col(body)).alias("__w"))
-    tokens = words.select(key, F.posexplode(F.transform("__w", lambda w, i: F.struct(
-        w.alias("token"), text.sound_key(w).alias("k"),
-        F.exists(F.slice("__w", i + 2, F.lit(2)), lambda nxt: F.lower(nxt).isin(list(road))).alias("is_road"),
-    ))).alias("pos", "t")).select(key, "pos", "t.*").filter(~F.col("is_road") & ~F.lower("token").isin(list(filler)))
+    words = spread(texts.select(key, body)).select(key, text.latin_tokens(F.col(body)).alias("__w"))
+    windows = words.select(key, F.posexplode(text.shifted(F.col("__w"), 3)).alias("pos", "t")).select(key, "pos", "t.*")
+    is_road = lambda c: F.coalesce(F.lower(c).isin(list(road)), F.lit(False))
+    tokens = windows.filter(~is_road("w1") & ~is_road("w2") & ~F.lower("w0").isin(list(filler))).select(key, "pos", F.col("w0").alias("token"))
+    # sound keys and the fuzzy join see every different token once; its few hits are known by size before they meet the texts
+    forms = freeze(tokens.select("token").distinct().withColumn("k", text.sound_key(F.col("token"))))
     exact = places.select(F.col("place_key").alias("k"), "district", F.lit("exact").alias("how"))
-    unknown = tokens.select("k").distinct().filter(F.length("k") >= 6).join(places.select(F.col("place_key").alias("k")), "k", "left_anti").join(
+    unknown = forms.select("k").distinct().filter(F.length("k") >= 6).join(places.select(F.col("place_key").alias("k")), "k", "left_anti").join(
         known.select(F.col("key").alias("k")), "k", "left_anti")
     close = fuzzy_match(unknown, "k", places.select("place_key"), "place_key", cutoff, mode).join(places, "place_key").select(
         "k", "district", F.concat(F.lit("fuzzy~"), "place_key").alias("how"))
-    hits = tokens.join(maybe_broadcast(exact.unionByName(close)), "k")
+    named = freeze(forms.join(exact.unionByName(close), "k").drop("k"))
+    hits = tokens.join(maybe_broadcast(named), "token")
     best = hits.groupBy(key).agg(F.min(F.struct("pos", "district", "token", "how")).alias("b"))
     return best.select(key, "b.district", "b.token", "b.how", "b.pos")
 

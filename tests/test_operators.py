@@ -1,9 +1,11 @@
 """Closed-form and brute-force cases for operators that SQL cannot express, and the invariants of the others."""
 
 import difflib
+import math
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,72 @@ def test_permutation_importance_over_positions_whose_products_exceed_an_int(spar
     model = modelling.fit_regressor(df, ["a", "b"], "y", "linear")
     importance = {r["feature"]: r["importance"] for r in modelling.permutation_importance(model, df, ["id"], ["a", "b"], "y").collect()}
     assert importance["a"] > 1 and abs(importance["b"]) < 1e-6
+
+
+def test_a_colliding_name_looks_at_the_candidates_around_the_anchor_only(spark):
+    rng = np.random.default_rng(3)
+    many = [(f"n{i % 2}", i, float(rng.uniform(6, 7)), float(rng.uniform(79, 80))) for i in range(1500)]
+    odd = [("one", 5, None, None), ("blank", 8, 6.5, 79.5), ("blank", 9, None, 79.0), ("blank", 7, None, 79.0), ("far", 3, 95.0, 79.0), ("far", 2, 6.0, 79.0), (None, 1, 6.0, 79.0)]
+    candidates = spark.createDataFrame([*many, *odd], "name string, owner long, c_lat double, c_lon double")
+    rows = [(i, name, a, b) for i, (name, a, b) in enumerate(
+        [(f"n{i % 2}", float(rng.uniform(6, 7)), float(rng.uniform(79, 80))) for i in range(200)]
+        + [(n, a, b) for n in ("n0", "one", "blank", "far", "nobody", None) for a, b in ((6.4, 79.4), (None, 79.4), (None, None))])]
+    rows += [(len(rows), *rows[0][1:])]
+    got = {r["id"]: r for r in matching.resolve_collision(
+        spark.createDataFrame(rows, "id long, name string, lat double, lon double"), "name", "lat", "lon", candidates, "owner").collect()}
+    assert len(got) == len(rows)
+
+    def km(p, q):
+        a, b, c, d = map(math.radians, (*p, *q))
+        return 2 * 6371 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    for i, name, lat, lon in rows:
+        ours = [c for c in [*many, *odd] if c[0] == name and name is not None]
+        missing = lat is None or lon is None
+        n = len([c for c in [*many, *odd] if c[0] == name])
+        blank = [c[1] for c in ours if missing or c[2] is None or c[3] is None]
+        want = min(blank) if blank else min(ours, key=lambda c: (km((lat, lon), c[2:]), c[1]))[1] if ours else None
+        assert got[i]["ambiguous"] == (n > 1 and missing), (i, name)
+        assert got[i]["owner"] == (None if n > 1 and missing else want), (i, name, lat)
+
+
+def test_collisions_are_not_compared_with_every_candidate(spark, monkeypatch):
+    seen = []
+    real = matching.nearest
+    monkeypatch.setattr(matching, "nearest", lambda points, *a, **k: seen.append(points.count()) or real(points, *a, **k))
+    candidates = spark.range(50).select(F.lit("a").alias("name"), F.col("id").alias("owner"), (F.col("id") / 10).alias("c_lat"), (F.col("id") / 7).alias("c_lon"))
+    rows = spark.range(40).select("id", F.lit("a").alias("name"), (F.col("id") / 9).alias("lat"), (F.col("id") / 8).alias("lon"))
+    assert matching.resolve_collision(rows, "name", "lat", "lon", candidates, "owner").filter("owner IS NOT NULL").count() == 40 and seen == [40]
+
+
+def test_loops_over_large_inputs_settle_them_once_and_agree(spark, monkeypatch, tmp_path):
+    spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), F.pmod(F.xxhash64("id"), F.lit(11)).cast("double").alias("b"), (F.col("id") % 4).cast("int").alias("fold"),
+                            (F.col("id") % 9).alias("g")).withColumn("y", 2 * F.col("a") - F.col("b") + F.col("g") / 3).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    folds_of = lambda d, seed: d.drop("fold").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(3)).cast("int"))
+    runs = {
+        "cv": lambda: modelling.cross_validate(df, ["a", "b"], "y", "fold", "g", "linear"),
+        "ablation": lambda: modelling.ablation(df, ["a"], ["b"], "y", folds_of, [1]),
+        "rfe": lambda: modelling.rfe_cv(df, ["a", "b"], "y", "fold", "linear"),
+        "search": lambda: modelling.random_search_cv(df, ["a", "b"], "y", "fold", "linear", {"fitIntercept": [True, False]}, 2, 4),
+    }
+    rows = lambda: {name: sorted((tuple(r) for r in run().collect()), key=str) for name, run in runs.items()}
+    plain, frozen, real = rows(), [], modelling.freeze
+    monkeypatch.setattr(modelling, "freeze", lambda d: frozen.append(d.columns) or real(d))
+    monkeypatch.setattr(modelling, "is_small", lambda *a: False)
+    large = rows()
+    for name, expected in plain.items():
+        assert len(expected) == len(large[name])
+        for a, b in zip(expected, large[name]):
+            assert [x if isinstance(x, str) else pytest.approx(x, rel=1e-9) for x in a] == list(b), name
+    assert frozen.count(["a", "b", "y", "fold", "g"]) == 1 and frozen.count(["a", "b", "y", "fold"]) == 3
+
+
+def test_a_guarded_scan_makes_sound_keys_of_different_tokens_only(spark, monkeypatch):
+    frozen, real = [], matching.freeze
+    monkeypatch.setattr(matching, "freeze", lambda d: frozen.append(d) or real(d))
+    texts = spark.createDataFrame([(1, "near Galle town"), (2, "Galle main road 5"), (3, "no place near Galle"), (4, None), (5, "Galle Galle Road")], "k int, body string")
+    places = spark.createDataFrame([("gale", "South")], "place_key string, district string")
+    got = {r["k"]: (r["district"], r["token"], r["pos"]) for r in matching.guarded_scan(texts, "k", "body", places, places.select(F.lit("x").alias("key"))).collect()}
+    assert got == {1: ("South", "Galle", 1), 3: ("South", "Galle", 3)}
+    assert [d.columns for d in frozen] == [["token", "k"], ["token", "district", "how"]]
