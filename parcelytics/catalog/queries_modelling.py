@@ -60,19 +60,15 @@ def _(t):
 @query("M5_fit_regressor")
 def _(t):
     data = ml.random_split(training(t), ROW, 0.2, 42)
-    out = None
-    for kind, params in (("forest", {"numTrees": 8, "maxDepth": 5}), ("boosted", {"maxIter": 4, "maxDepth": 4}), ("linear", {})):
-        model = ml.fit_regressor(data.filter("NOT is_test"), FEATURES, "y", kind, **params)
-        row = ml.metrics(ml.predict(model, data.filter("is_test"), FEATURES), "y", "prediction").withColumn("model", F.lit(kind))
-        out = row if out is None else out.unionByName(row)
-    return out
+    models = {"forest": {"numTrees": 8, "maxDepth": 5}, "boosted": {"maxIter": 4, "maxDepth": 4}, "linear": {}}
+    return ml.fit_and_score(data, "is_test", FEATURES, "y", {kind: (kind, params) for kind, params in models.items()})
 
 
 @query("M5_fit_second_order")
 def _(t):
     data = ml.random_split(training(t), ROW, 0.2, 42)
-    model = ml.fit_regressor(data.filter("NOT is_test"), FEATURES, "y", "second_order", rounds=6, depth=4, rate=0.3, l2=2.0, column_share=0.6)
-    return ml.metrics(ml.predict(model, data.filter("is_test"), FEATURES), "y", "prediction")
+    params = {"rounds": 6, "depth": 4, "rate": 0.3, "l2": 2.0, "column_share": 0.6}
+    return ml.fit_and_score(data, "is_test", FEATURES, "y", {"second_order": ("second_order", params)}).drop("model")
 
 
 # a linear model of one feature has a closed form
@@ -91,8 +87,7 @@ WITH {LINE}, f AS (SELECT regr_slope(y, x) AS k, regr_intercept(y, x) AS c FROM
 SELECT n, {ROUNDED} FROM (SELECT {SCORES} FROM s)""")
 def _(t):
     data = ml.random_split(training(t), ROW, 0.2, 42)
-    model = ml.fit_regressor(data.filter("NOT is_test"), ["land_size"], "y", "linear")
-    return rounded_scores(ml.metrics(ml.predict(model, data.filter("is_test"), ["land_size"]), "y", "prediction"))
+    return rounded_scores(ml.fit_and_score(data, "is_test", ["land_size"], "y", {"linear": ("linear", {})}))
 
 
 @query("M10_cross_validate_linear", f"""

@@ -24,6 +24,9 @@ from parcelytics.session import freeze
 
 BUCKETS = 1_000_000
 
+#: Bytes read up to which a fit works its rows out anew on every pass; larger inputs are written once.
+FIT_BYTES = 32 * 1024 * 1024
+
 
 # --------------------------------------------------------------------------- splits and folds
 def seeded_number(keys: Sequence[str], seed: int) -> Column:
@@ -106,9 +109,9 @@ def regressor(kind: str, **params):
     raise ValueError(f"unknown regressor {kind}")
 
 
-def settled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def settled(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """The named columns of a large input, written once: every fit and every score of a loop reads them again."""
-    return df if is_small(df) else freeze(df.select(*dict.fromkeys(c for c in columns if c in df.columns)))
+    return df if is_small(df, limit) else freeze(df.select(*dict.fromkeys(c for c in columns if c in df.columns)))
 
 
 def fit_regressor(train: DataFrame, columns: Sequence[str], target: str, kind: str = "forest", **params):
@@ -117,6 +120,22 @@ def fit_regressor(train: DataFrame, columns: Sequence[str], target: str, kind: s
     return regressor(kind, **params).fit(shaped)
 
 
+def fit_and_score(df: DataFrame, held_out: str, columns: Sequence[str], target: str, models: dict[str, tuple[str, dict]]) -> DataFrame:
+    """Metrics per model (name: kind and settings), each fitted on the rows not held out and scored on the others; column model.
+
+    A fit reads its rows at every level of every tree and the exact median reads the scores some times. The rows of a large input
+    are written before the first fit, the scores before their median, so that neither the features nor the split are worked out again.
+    """
+    large = not is_small(df, FIT_BYTES)
+    data, out = settled(df, [*columns, target, held_out], FIT_BYTES), None
+    for name, (kind, params) in models.items():
+        model = fit_regressor(data.filter(~F.col(held_out)), columns, target, kind, **params)
+        scores = predict(model, data.filter(held_out), columns).select(target, "prediction")
+        row = metrics(freeze(scores) if large else scores, target, "prediction").withColumn("model", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def predict(model, df: DataFrame, columns: Sequence[str], name: str = "prediction") -> DataFrame:
     """Add the model's prediction; missing features count as 0."""
     shaped = df.select("*", F.struct(*ft.ordered_features(df, columns)).alias("__f"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelytics.operators import boosting, modelling
+from parcelytics.session import freeze
 
 COLUMNS = ["a", "b", "c"]
 
@@ -88,3 +89,21 @@ def test_no_rows_and_one_value(table):
     assert [r["prediction"] for r in modelling.predict(empty, table.limit(1), COLUMNS).collect()] == [0.0]
     flat = modelling.fit_regressor(table.limit(20).withColumn("y", F.lit(3.5)), COLUMNS, "y", "second_order", rounds=2, depth=2)
     assert {r["prediction"] for r in modelling.predict(flat, table.limit(5), COLUMNS).collect()} == {3.5}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 40])
+def test_fit_and_score_works_its_rows_out_once(spark, limit, monkeypatch, tmp_path):
+    """The rows and the scores of a large input are written once, with the same metrics as fits and scores of their own."""
+    spark.range(300, numPartitions=1).selectExpr("id", "id % 7 AS a", "1.0 * id AS y").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    data = modelling.random_split(rows, ["id"], 0.3, 1)
+    monkeypatch.setattr(modelling, "FIT_BYTES", limit)
+    written = []
+    monkeypatch.setattr(modelling, "freeze", lambda df: written.append(df.columns) or freeze(df))
+    out = modelling.fit_and_score(data, "is_test", ["a"], "y", {"f": ("forest", {"numTrees": 2, "maxDepth": 2}), "l": ("linear", {})})
+    found = {r["model"]: r["r2"] for r in out.collect()}
+    assert written == ([["a", "y", "is_test"], ["y", "prediction"], ["y", "prediction"]] if limit == 0 else [])
+    for name, kind, params in (("f", "forest", {"numTrees": 2, "maxDepth": 2}), ("l", "linear", {})):
+        model = modelling.fit_regressor(data.filter("NOT is_test"), ["a"], "y", kind, **params)
+        want = modelling.metrics(modelling.predict(model, data.filter("is_test"), ["a"]), "y", "prediction").first()["r2"]
+        assert found[name] == pytest.approx(want, abs=1e-9)
