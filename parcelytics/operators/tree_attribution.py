@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from parcelytics.operators import features as ft
 from parcelytics.session import FROZEN, ensure_checkpoint_dir
 
-#: Most nodes of a model that is sent to all tasks (some hundred bytes each), and rows that a task explains at a time.
-NODES, ROWS = 500_000, 2000
+#: Most nodes of a model that is sent to all tasks (some hundred bytes each), rows that a task explains at a time, and features
+#: of a path up to which a leaf's shares are worked out once per pattern of passed features.
+NODES, ROWS, PATTERNS = 500_000, 10_000, 10
 
 
 @dataclass
@@ -84,6 +85,25 @@ def read_trees(model, spark) -> list[Tree]:
     return [_tree(nodes, weights[k]) for k, nodes in sorted(trees.items())]
 
 
+def _leaf_shares(leaf: Leaf, share: np.ndarray, value: float, one: np.ndarray) -> list[np.ndarray]:
+    """What the leaf adds to the attribution of each feature of its path, per column of `one` (1 where the feature's steps are passed)."""
+    m, n = one.shape
+    weights = np.zeros((m + 1, n))  # row k: weight of all sets of k known features together
+    weights[0] = 1.0
+    for j in range(m):
+        weights[1 : j + 2] = weights[1 : j + 2] * share[j] + weights[: j + 1] * one[j]
+        weights[0] *= share[j]
+    orders = [factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)]
+    out = []
+    for j, (_, z, _) in enumerate(leaf.path):
+        passed, rest, total = one[j] > 0, weights[m], np.zeros(n)
+        for k in range(m - 1, -1, -1):  # unwind the factor (z + one * t), from the highest power or, where one is 0, each by itself
+            total += orders[k] * np.where(passed, rest, weights[k] / z)
+            rest = weights[k] - z * rest
+        out.append(value * (one[j] - z) * total)
+    return out
+
+
 def explain(trees: Sequence[Tree], x: np.ndarray) -> tuple[np.ndarray, float]:
     """(attributions of every row and feature, base): each row's attributions and the base add up to the model's prediction."""
     phi, base = np.zeros(x.shape), 0.0
@@ -95,22 +115,19 @@ def explain(trees: Sequence[Tree], x: np.ndarray) -> tuple[np.ndarray, float]:
             base += value * share.prod()
             if not m:
                 continue
-            one = np.ones((m, len(x)))
+            code, passed = np.zeros(len(x), np.int64), []
             for j, (_, _, steps) in enumerate(leaf.path):
-                for node, to_left in steps:
-                    one[j] *= left[node] == to_left
-            weights = np.zeros((m + 1, len(x)))  # row k: weight of all sets of k known features together
-            weights[0] = 1.0
-            for j in range(m):
-                weights[1 : j + 2] = weights[1 : j + 2] * share[j] + weights[: j + 1] * one[j]
-                weights[0] *= share[j]
-            orders = [factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)]
-            for j, (feature, z, _) in enumerate(leaf.path):
-                passed, rest, total = one[j] > 0, weights[m], np.zeros(len(x))
-                for k in range(m - 1, -1, -1):  # unwind the factor (z + one * t), from the highest power or, where one is 0, each by itself
-                    total += orders[k] * np.where(passed, rest, weights[k] / z)
-                    rest = weights[k] - z * rest
-                phi[:, feature] += value * (one[j] - z) * total
+                through = np.logical_and.reduce([left[node] == to_left for node, to_left in steps])
+                passed.append(through)
+                if m <= PATTERNS:
+                    code += through.astype(np.int64) << j
+            if m <= PATTERNS and 2**m < len(x):  # rows that pass the same features of the path have the same shares of the leaf
+                each = (np.arange(2**m) >> np.arange(m)[:, None] & 1).astype(float)
+                shares = [c[code] for c in _leaf_shares(leaf, share, value, each)]
+            else:
+                shares = _leaf_shares(leaf, share, value, np.array(passed, float))
+            for (feature, _, _), part in zip(leaf.path, shares):
+                phi[:, feature] += part
     return phi, base
 
 
@@ -122,12 +139,18 @@ def tree_attributions(model, df: DataFrame, key: Sequence[str], columns: Sequenc
     """
     shared = df.sparkSession.sparkContext.broadcast(read_trees(model, df.sparkSession))
 
-    @F.pandas_udf("phi array<double>, base double")
-    def explained(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("phi array<double>, base double")
+    def explained(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trees, width = shared.value, len(columns)
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                phi, base = explain(shared.value, np.stack(batch.iloc[at : at + ROWS].to_list()))
-                yield pd.DataFrame({"phi": list(phi), "base": base})
+            x, parts = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width), []
+            base = 0.0
+            for at in range(0, len(x), ROWS):
+                phi, base = explain(trees, x[at : at + ROWS])
+                parts.append(phi.ravel())
+            flat = pa.array(np.concatenate(parts) if parts else np.empty(0))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), flat)
+            yield pa.StructArray.from_arrays([lists, pa.array(np.full(len(x), base))], ["phi", "base"])
 
     shaped = df.select(*key, F.array(*ft.ordered_features(df, columns)).alias("x"))
     scored = model.transform(shaped.withColumn("features", array_to_vector(F.col("x")))).select(*key, "x", "prediction")

@@ -78,3 +78,17 @@ def test_no_rows_and_one_leaf(spark, table):
     found = tree_attribution.tree_attributions(flat, table.limit(3), ["id"], COLUMNS).collect()
     assert {(r["phi"], r["base"], r["prediction"]) for r in found} == {(0.0, 2.0, 2.0)}
     assert tree_attribution.tree_attributions(flat, table.limit(0), ["id"], COLUMNS).collect() == []
+
+
+def test_leaf_shares_are_worked_out_per_pattern(spark, table, monkeypatch, tmp_path):
+    """Many rows of few patterns of passed features: the work of a leaf does not grow with the rows, the values stay."""
+    model = modelling.fit_regressor(table, COLUMNS, "y", "forest", numTrees=3, maxDepth=4)
+    trees = tree_attribution.read_trees(model, spark)
+    x = np.random.default_rng(3).normal(size=(500, 4))
+    widths, shares = [], tree_attribution._leaf_shares
+    monkeypatch.setattr(tree_attribution, "_leaf_shares", lambda leaf, z, v, one: widths.append(one.shape[1]) or shares(leaf, z, v, one))
+    phi, base = tree_attribution.explain(trees, x)
+    assert max(widths) <= 2**4
+    monkeypatch.setattr(tree_attribution, "PATTERNS", 0)
+    plain, plain_base = tree_attribution.explain(trees, x)
+    assert np.array_equal(phi, plain) and base == plain_base and max(widths) == 500
