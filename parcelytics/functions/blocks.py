@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 POPULAR_FROM = 200
 #: Pairs of equal characters that are held at a time (or those of one pair).
 _PLACES = 1 << 20
+#: Bytes of a text whose windows are worked out at a time, and windows after which rows are handed on.
+_SLICE, _WINDOWS = 1 << 20, 1 << 20
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,3 +158,30 @@ def matching_ratio(a: Column, b: Column, cutoff: float = 0.0) -> Column:
             yield pd.Series(out).astype("Float64").mask(np.isnan(out))
 
     return ratio(a, b)
+
+
+def byte_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, text) the rows (key, window): the different windows of 3 and of 6 bytes (UTF-8), as big-endian numbers.
+
+    A text of over a megabyte goes by slices, which can name a window again.
+    """
+    for batch in batches:
+        keys, texts = batch.columns
+        rows, found, held = [], [], 0
+
+        def handed() -> pa.RecordBatch:
+            at = np.repeat(np.array(rows, np.int64), [len(f) for f in found])
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["__key", "__head"])
+
+        for row in range(len(batch)):
+            data = np.frombuffer(texts[row].as_buffer(), np.uint8)
+            for begin in range(0, max(len(data) - 2, 0), _SLICE):
+                b = data[begin : begin + _SLICE + 5].astype(np.int64)
+                three = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+                found.append(np.concatenate([np.unique(three), np.unique(three[:-3] << 24 | three[3:])]))
+                rows.append(row)
+                held += len(found[-1])
+                if held >= _WINDOWS:
+                    yield handed()
+                    rows, found, held = [], [], 0
+        yield handed()

@@ -117,16 +117,21 @@ def list_crosscheck(units: DataFrame, unit: str, members: Column, predicted: Col
 
 # --------------------------------------------------------------------------- dictionary scans
 def gram_table(texts: DataFrame, columns: Sequence[str], body: str, max_n: int = fv.MAX_NGRAM,
-               filler: Sequence[str] = fv.FILLER_WORDS, dictionary: DataFrame | None = None) -> DataFrame:
+               filler: Sequence[str] = fv.FILLER_WORDS, dictionary: DataFrame | None = None, whole: Column | None = None) -> DataFrame:
     """N-grams of Latin tokens: n, pos (1-based), gram (sound keys), span (as written), any_filler.
 
     Grams made only of filler words are left out. `columns` identify the text and are carried along. With a
     `dictionary` (column gram) only grams that start with the first word of an entry are built, so most positions
-    are dropped by one join on a single key.
+    are dropped by one join on a single key. A text of 1 to `whole` tokens is a gram as a whole, too, fillers or not: n and pos 0,
+    its span the text.
     """
-    prepared = spread(texts.select(*columns, body)).select(*columns, text.latin_tokens(F.col(body)).alias("__w"))
-    windows = prepared.select(*columns, F.posexplode(text.shifted(F.col("__w"), max_n)).alias("__i", "__s")).select(
-        *columns, (F.col("__i") + 1).alias("pos"), *[F.col("__s")[f"w{i}"].alias(f"__w{i}") for i in range(max_n)])
+    prepared = spread(texts.select(*columns, body)).select(*columns, text.latin_tokens(F.col(body)).alias("__w"), *([body] if whole is not None else []))
+    if whole is not None:  # neither is kept of longer texts, so that their windows do not carry the text along
+        short = F.size("__w") <= whole
+        prepared = prepared.select(*columns, "__w", F.when(short, F.col(body)).alias("__text"), F.when(short, F.col("__w")).alias("__all"))
+    carried = [*columns, *(["__text", "__all"] if whole is not None else [])]
+    windows = prepared.select(*carried, F.posexplode(text.shifted(F.col("__w"), max_n)).alias("__i", "__s")).select(
+        *carried, (F.col("__i") + 1).alias("pos"), *[F.col("__s")[f"w{i}"].alias(f"__w{i}") for i in range(max_n)])
     windows = windows.withColumn("__k0", text.sound_key(F.col("__w0")))
     if dictionary is not None:
         heads = dictionary.select(F.split("gram", " ")[0].alias("__k0")).distinct()
@@ -141,22 +146,51 @@ def gram_table(texts: DataFrame, columns: Sequence[str], body: str, max_n: int =
         for i in range(1, n):
             some, every = some | F.col(f"__f{i}"), every & F.col(f"__f{i}")
         return F.when(F.col(f"__w{n - 1}").isNotNull() & ~every, F.struct(
-            F.lit(n).alias("n"), F.concat_ws(" ", *[f"__k{i}" for i in range(n)]).alias("gram"),
+            F.lit(n).alias("n"), F.col("pos").alias("pos"), F.concat_ws(" ", *[f"__k{i}" for i in range(n)]).alias("gram"),
             F.concat_ws(" ", *[f"__w{i}" for i in range(n)]).alias("span"), some.alias("any_filler")))
 
-    return windows.select(*columns, "pos", F.explode(F.array_compact(F.array(*[gram(n) for n in range(1, max_n + 1)]))).alias("g")).select(
-        *columns, "g.n", "pos", "g.gram", "g.span", "g.any_filler")
+    grams = [gram(n) for n in range(1, max_n + 1)]
+    if whole is not None:
+        grams.append(F.when((F.col("pos") == 1) & F.col("__all").isNotNull(), F.struct(
+            F.lit(0).alias("n"), F.lit(0).alias("pos"), F.array_join(F.transform("__all", text.sound_key), " ").alias("gram"),
+            F.col("__text").alias("span"), F.lit(False).alias("any_filler"))))
+    return windows.select(*columns, F.explode(F.array_compact(F.array(*grams))).alias("g")).select(*columns, "g.n", "g.pos", "g.gram", "g.span", "g.any_filler")
 
 
 def ngram_counts(texts: DataFrame, key: str, body: str, n: int, filler: Sequence[str] = fv.FILLER_WORDS) -> DataFrame:
-    """How often each n-gram of Latin tokens occurs per text, grams made only of filler words left out."""
-    words = spread(texts.select(key, body)).select(key, text.latin_tokens(F.col(body)).alias("__w"))
-    windows = words.select(key, F.explode(text.shifted(F.col("__w"), n)).alias("s")).select(key, "s.*").filter(F.col(f"w{n - 1}").isNotNull())
-    plain = F.lit(True)
-    for i in range(n):
-        plain = plain & F.lower(f"w{i}").isin(list(filler))
-    grams = windows.filter(~plain).select(key, F.concat_ws(" ", *[f"w{i}" for i in range(n)]).alias("gram"))
-    return grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
+    """How often each n-gram of Latin tokens occurs per text, grams made only of filler words left out.
+
+    The grams of a key that one row holds are counted in that row; only those of keys with several rows are shuffled.
+    """
+    rows = texts.select(key, body)
+    repeated = freeze(rows.groupBy(key).agg(F.count("*").alias("__rows")).filter("__rows > 1").select(key, F.lit(True).alias("__again")))
+    if repeated.isEmpty():
+        return _row_grams(rows, key, body, n, filler)
+    marked = null_safe_join(rows, maybe_broadcast(repeated), [key], "left")
+    once = _row_grams(marked.filter("__again IS NULL").select(key, body), key, body, n, filler)
+    again = _row_grams(marked.filter("__again").select(key, body), key, body, n, filler)
+    return once.unionByName(again.groupBy(key, "gram").agg(F.sum("n").alias("n")))
+
+
+def _row_grams(texts: DataFrame, key: str, body: str, n: int, filler: Sequence[str]) -> DataFrame:
+    """key, gram, n: the different grams of every row and how often they occur in it."""
+    def plain(s: Column) -> Column:
+        out = F.lit(True)
+        for i in range(n):
+            out = out & F.lower(s[f"w{i}"]).isin(list(filler))
+        return out
+
+    def runs(grams: Column) -> Column:
+        """The sorted grams as structs (gram, n), from the places where a run of equal ones ends."""
+        places = F.sequence(F.lit(1), F.greatest(F.size(grams), F.lit(1)))
+        ends = F.filter(places, lambda i: (i == F.size(grams)) | (F.get(grams, i - 1) != F.get(grams, i)))
+        return text.let(ends, lambda e: F.transform(e, lambda end, j: F.struct(
+            F.get(grams, end - 1).alias("gram"), (end - F.coalesce(F.get(e, j - 1), F.lit(0))).cast("long").alias("n"))))
+
+    words = spread(texts).select(key, text.latin_tokens(F.col(body)).alias("__w"))
+    kept = F.filter(text.shifted(F.col("__w"), n), lambda s: s[f"w{n - 1}"].isNotNull() & ~plain(s))
+    grams = words.select(key, F.transform(kept, lambda s: F.concat_ws(" ", *[s[f"w{i}"] for i in range(n)])).alias("__g"))
+    return grams.select(key, F.explode(text.let(F.sort_array("__g"), runs)).alias("c")).select(key, "c.gram", "c.n")
 
 
 def first_listed_token(texts: DataFrame, key: str, body: str, listed: DataFrame, token: str, order: str) -> DataFrame:
@@ -204,12 +238,10 @@ def alias_match(texts: DataFrame, key: str, body: str, aliases: DataFrame, max_n
     """
     table = maybe_broadcast(aliases.select(F.col("alias_key").alias("gram"), "division"))
     longest = aliases.agg(F.max(F.size(F.split("alias_key", " "))).alias("m")).scalar()
-    short = spread(texts.select(key, body)).filter(F.size(text.latin_tokens(F.col(body))).between(F.lit(1), longest))
-    whole = short.select(key, text.latin_key(F.col(body)).alias("gram"), F.col(body).alias("span")).join(table, "gram").select(
-        key, F.struct(F.lit(-1_000_000).alias("a"), F.lit(0).alias("b"), "division", "span").alias("o"), F.lit(0).alias("n"))
-    parts = gram_table(texts, [key], body, max_n, dictionary=table).join(table, "gram").select(
-        key, F.struct((-F.col("n")).alias("a"), F.col("pos").alias("b"), "division", "span").alias("o"), "n")
-    best = whole.unionByName(parts).groupBy(key).agg(F.min(F.struct("o", "n")).alias("m"))
+    grams = gram_table(texts, [key], body, max_n, dictionary=table, whole=longest).join(table, "gram")
+    rank = F.when(F.col("n") == 0, -1_000_000).otherwise(-F.col("n"))
+    order = F.struct(rank.alias("a"), F.col("pos").alias("b"), "division", "span")
+    best = grams.groupBy(key).agg(F.min(F.struct(order.alias("o"), "n")).alias("m"))
     return best.select(key, "m.o.division", "m.o.span", "m.n")
 
 
@@ -224,19 +256,16 @@ def exact_ngram_match(texts: DataFrame, key: str, body: str, names: DataFrame, m
 def contains_match(texts: DataFrame, key: str, body: str, names: DataFrame) -> DataFrame:
     """The longest dictionary name contained in the text, ties by area then name. `names`: name, division, area.
 
-    Names are looked up by their first six (or three) characters among the distinct character windows of the text,
-    then verified in full; shorter names than three characters are not offered.
+    Names are looked up by their first six (or three) bytes among the distinct byte windows of the text, as numbers, then
+    verified in full; shorter names than three characters are not offered.
     """
-    offered = names.filter(F.length("name") >= 3).withColumn("__w", F.when(F.length("name") >= 6, 6).otherwise(3))
-    offered = offered.withColumn("__head", F.left(F.col("name"), F.col("__w")))
+    head = F.substring(F.encode("name", "UTF-8"), 1, F.when(F.octet_length("name") >= 6, 6).otherwise(3))
+    offered = names.filter(F.length("name") >= 3).withColumn("__head", F.conv(F.hex(head), 16, 10).cast("long"))
     heads = maybe_broadcast(offered.select("__head").distinct())
-
-    def windows(width: int) -> Column:
-        """Distinct overlapping character windows, by a zero-width match at every position."""
-        return F.array_distinct(F.regexp_extract_all(F.col(body), F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
-
-    seen = texts.select(key, F.explode(F.concat(windows(3), windows(6))).alias("__head")).join(heads, "__head", "left_semi")
-    pairs = seen.join(maybe_broadcast(offered), "__head").select(key, "name", "division", "area")
+    rows = spread(texts.select(F.col(key).alias("__key"), F.col(body).cast("string").alias("__text")).filter("__key IS NOT NULL AND __text IS NOT NULL"))
+    windows = rows.mapInArrow(blocks.byte_windows, rows.select("__key", F.lit(0).cast("long").alias("__head")).schema)
+    seen = windows.join(heads, "__head", "left_semi")
+    pairs = seen.join(maybe_broadcast(offered), "__head").select(F.col("__key").alias(key), "name", "division", "area")
     verified = texts.select(key, F.col(body).alias("__t")).join(pairs, key).filter(F.contains("__t", "name"))
     best = verified.groupBy(key).agg(F.min(F.struct((-F.length("name")).alias("l"), "area", "name", "division")).alias("b"))
     return best.select(key, "b.division", "b.name")
