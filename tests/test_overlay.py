@@ -81,3 +81,53 @@ def test_units_of_a_full_cell_are_dealt_over_tasks_with_the_same_areas(spark, mo
         x, y = 0.001 * (k % 37), 0.0007 * (k % 41)
         under = sum(max(0, min(x + side, a + 0.015) - max(x, a)) * max(0, min(y + side, b + 0.015) - max(y, b)) for a, b in ((0.02 * i, 0.01 * (i % 2)) for i in range(4)))
         assert abs(row["area"] - side * side) < 1e-12 and abs(row["under_0"] - under) < 1e-12
+
+
+def flat(rings):
+    return np.concatenate([np.empty((0, 2)), *rings]), np.array([len(r) for r in rings], np.int64)
+
+
+@pytest.mark.parametrize("points", [2**16, 40])
+def test_rings_cut_together_give_the_pieces_of_each(points, monkeypatch):
+    monkeypatch.setattr(overlay, "POINTS", points)  # with few points at once, large rings go cell by cell
+    rng = np.random.default_rng(3)
+    shapes = [star(rng, int(rng.integers(3, 9)), rng.random(2) * 4 - 2, rng.random()) for _ in range(60)]
+    shapes += [np.array([(0.0, 0.0), (1.0, 1.0)]), np.empty((0, 2)), np.array([(-0.25, 0.25), (0.5, 0.25), (0.5, 0.5), (-0.25, 0.5)]), star(rng, 30, (0, 0), 3)]
+    expected = [(n, c, r, p.tobytes()) for n, ring in enumerate(shapes) for c, r, p in overlay.cell_pieces(ring, 0.25)]
+    found = []
+    for number, column, row, p, sizes in overlay._cut(*flat(shapes), 0.25):
+        found += [(int(n), int(c), int(r), part.tobytes()) for n, c, r, part in zip(number, column, row, np.split(p, np.cumsum(sizes)[:-1]))]
+    assert sorted(found) == sorted(expected)
+
+
+@pytest.mark.parametrize("numbers, edges", [(2**18, 160), (200, 160), (2**18, 30)])
+def test_units_swept_together_have_the_areas_of_each(numbers, edges, monkeypatch):
+    monkeypatch.setattr(overlay, "NUMBERS", numbers)
+    monkeypatch.setattr(overlay, "EDGES", edges)  # beyond it a unit goes alone and is cut in four
+    rng = np.random.default_rng(4)
+    unit = rng.permutation(np.concatenate([np.arange(50), rng.integers(0, 50, 20)]))
+    own = [star(rng, int(rng.integers(3, 8)), rng.random(2) * 3, 0.4) for _ in unit]
+    layer = rng.integers(0, 2, 40)
+    covers = [star(rng, int(rng.integers(3, 12)), rng.random(2) * 3, 0.5) for _ in layer]
+    covers[:3], layer[:3] = [own[0], own[0], own[1][::-1]], 0  # edges on edges
+    found = overlay.areas_of_units(unit, *flat(own), *flat(covers), layer, 2)
+    whole = [overlay.areas_within([r for u, r in zip(unit, own) if u == k], [[r for a, r in zip(layer, covers) if a == j] for j in range(2)]) for k in range(50)]
+    assert np.allclose(found, whole, atol=1e-11)
+    none = overlay.areas_of_units(unit, *flat(own), *flat([]), np.empty(0, np.int64), 2)
+    assert np.allclose(none[:, 0], found[:, 0], atol=1e-11) and not none[:, 1:].any()
+
+
+def test_many_units_are_not_measured_one_by_one(spark, monkeypatch):
+    square = [(0.001, 0.001), (0.002, 0.001), (0.002, 0.002), (0.001, 0.002)]
+    units = spark.createDataFrame([(i, rings(square)) for i in range(2000)], f"k long, rings {RINGS}")
+    own = overlay.areas_of_units
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(unit, *rest):
+        calls.add(1)
+        return own(unit, *rest)
+
+    monkeypatch.setattr(overlay, "areas_of_units", counted)
+    found = overlay.overlay_areas(units, "k", [units.limit(1)], 0.05).collect()
+    assert len(found) == 2000 and {round(r["under_0"], 12) for r in found} == {1e-06}
+    assert calls.value == 1  # one cell, one task
