@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelytics.operators import features as ft
+from parcelytics.operators import forest
 from parcelytics.operators.aggregates import correlation, spearman
 from parcelytics.operators.boosting import SecondOrderBooster
-from parcelytics.plans.scale import attach_scalar, attach_stats, exact_quantiles, is_small, maybe_broadcast, with_positions, with_value_rank
+from parcelytics.plans.scale import attach_scalar, attach_stats, exact_quantiles, is_small, maybe_broadcast, reads_plainly, with_positions, with_value_rank
 from parcelytics.session import freeze
 
 BUCKETS = 1_000_000
@@ -114,6 +115,11 @@ def settled(df: DataFrame, columns: Sequence[str], limit: int | None = None) ->
     return df if is_small(df, limit) else freeze(df.select(*dict.fromkeys(c for c in columns if c in df.columns)))
 
 
+def grows_together(df: DataFrame, kind: str, params: Iterable[str]) -> bool:
+    """True for forests of a large input with no other settings than number and depth of the trees."""
+    return kind == "forest" and set(params) <= {"numTrees", "maxDepth"} and not is_small(df, FIT_BYTES)
+
+
 def fit_regressor(train: DataFrame, columns: Sequence[str], target: str, kind: str = "forest", **params):
     """Fit on the ordered features; the model scores tables made by `features.assemble`."""
     shaped = ft.assemble(train.withColumn("label", F.col(target)), columns, keep=["label"])
@@ -146,11 +152,22 @@ def predict(model, df: DataFrame, columns: Sequence[str], name: str = "predictio
 
 def random_search_cv(train: DataFrame, columns: Sequence[str], target: str, fold: str, kind: str, space: dict[str, Sequence],
                      n: int, k: int, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """n sampled settings, k folds from the fold column, mean R2 per setting, best first."""
+    """n sampled settings, k folds from the fold column, mean R2 per setting, best first.
+
+    Forests of a large input grow together, all settings and folds at once (`forest`), where their cells fit a task.
+    """
     names = sorted(space)
     grid = list(itertools.product(*[space[p] for p in names]))
     drawn = random.Random(seed).sample(grid, min(n, len(grid)))
     estimator = regressor(kind)
+    if grows_together(train, kind, names):
+        train = train if reads_plainly(train) else settled(train, [*columns, target, fold], FIT_BYTES)
+        settings = [(found.get("numTrees", 20), found.get("maxDepth", 5)) for found in (dict(zip(names, values)) for values in drawn)]
+        most = [max(one) for one in zip(*settings)]
+        found = forest.grown(train.withColumn(fold, F.col(fold).cast("int")), columns, target, fold, None, range(k), *most, settings=settings, only=True)
+        if found:
+            rows = [(str(dict(zip(names, values))), sum(r2) / k) for values, r2 in zip(drawn, found[2])]
+            return train.sparkSession.createDataFrame(rows, "params string, mean_r2 double").orderBy(F.col("mean_r2").desc())
     if not is_small(train):  # models trained side by side would hold their inputs in memory at the same time
         train, parallelism = settled(train, [*columns, target, fold]), 1
     maps = [{getattr(estimator, p): v for p, v in zip(names, values)} for values in drawn]
