@@ -235,8 +235,14 @@ def cross_validate(df: DataFrame, columns: Sequence[str], target: str, fold: str
 
     With `group`, training rows get an out-of-fold encoding over the remaining folds and validation rows the encoding
     of the whole training part. Folds run side by side on one session, those of a large input one after the other: there a fit
-    uses all cores, and the inputs of several would not fit into memory together.
+    uses all cores, and the inputs of several would not fit into memory together. Forests of a large input grow together (`forest`).
     """
+    if grows_together(df, kind, params):
+        df = df if reads_plainly(df) else settled(df, [*columns, target, fold, *([group] if group else [])], FIT_BYTES)
+        found = forest.grown(df, columns, target, fold, group, folds, params.get("numTrees", 20), params.get("maxDepth", 5))
+        if found:
+            scored = metrics(freeze(forest.scores(*found[:2])), "label", "prediction", ["held"])
+            return with_mean(scored.select(*[c for c in scored.columns if c != "held"], F.col("held").alias("fold")))
     return _cross_validate(settled(df, [*columns, target, fold, *([group] if group else [])]), columns, target, fold, group, kind, folds, parallelism, **params)
 
 
@@ -269,6 +275,11 @@ def _cross_validate(df: DataFrame, columns: Sequence[str], target: str, fold: st
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
+    return with_mean(rows)
+
+
+def with_mean(rows: DataFrame) -> DataFrame:
+    """The metrics of the folds and their mean."""
     names = [c for c in rows.columns if c not in ("fold", "n")]
     mean = rows.agg(F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in names]).withColumn("fold", F.lit("mean"))
     return rows.unionByName(mean)

@@ -54,6 +54,25 @@ def listings(spark):
     return ml.freeze(df.withColumn("y", F.log(F.col("a") + 1) + F.coalesce("b", F.lit(0)) / 4 + F.col("c") + F.coalesce(F.length("place"), F.lit(0)) + noise))
 
 
+def test_large_inputs_are_cross_validated_together(spark, listings, monkeypatch):
+    of = lambda rows: {r["fold"]: r for r in rows.collect()}
+    for group in ("place", None):
+        small = of(ml.cross_validate(listings, ["a", "b", "c"], "y", "fold", group, "forest", numTrees=6, maxDepth=4))
+        with monkeypatch.context() as patch:
+            patch.setattr(ml, "FIT_BYTES", 0)
+            patch.setattr(ml, "fit_regressor", lambda *_, **__: pytest.fail("one fit after the other"))
+            patch.setattr(forest, "FEW", 100)  # c has more
+            large = ml.cross_validate(listings, ["a", "b", "c"], "y", "fold", group, "forest", numTrees=6, maxDepth=4)
+            whole = of(large)
+            patch.setattr(forest, "SUMS", 1)  # a fold at a time
+            single = of(ml.cross_validate(listings, ["a", "b", "c"], "y", "fold", group, "forest", numTrees=6, maxDepth=4))
+        assert large.columns == ["n", "r2", "rmse_log", "mae_log", "mae", "mape", "median_ape", "fold"]
+        assert {f: r["n"] for f, r in whole.items()} == {f: r["n"] for f, r in small.items()} and len(whole) == 6
+        for f, r in whole.items():
+            assert abs(r["r2"] - small[f]["r2"]) < 0.03 and abs(r["median_ape"] / small[f]["median_ape"] - 1) < 0.1
+            assert np.allclose([r[c] for c in large.columns[:-1]], [single[f][c] for c in large.columns[:-1]])
+
+
 def test_large_inputs_are_searched_together(spark, listings, monkeypatch):
     space, of = {"numTrees": [2, 8], "maxDepth": [1, 5]}, lambda rows: {r["params"]: r["mean_r2"] for r in rows.collect()}
     args = (listings, ["a", "b", "c"], "y", "fold", "forest", space, 4, 5)
@@ -88,3 +107,11 @@ def test_rows_without_label_or_with_nan_are_refused(spark, listings):
     for broken in (listings.withColumn("y", F.when(F.col("a") > 0, F.col("y"))), listings.withColumn("a", F.when(F.col("a") > 0, F.col("a")).otherwise(float("nan")))):
         with pytest.raises(ValueError):
             forest.grown(broken, ["a"], "y", "fold", None, None, 1, 1)
+
+
+def test_inputs_with_too_many_cells_go_the_plain_way(spark, listings, monkeypatch):
+    monkeypatch.setattr(ml, "FIT_BYTES", 0)
+    monkeypatch.setattr(forest, "CELLS", 20)
+    assert forest.grown(listings, ["a", "b"], "y", "fold", None, None, 1, 1) is None
+    rows = ml.cross_validate(listings, ["a", "b"], "y", "fold", None, "forest", numTrees=2, maxDepth=2).collect()
+    assert {r["fold"] for r in rows} == {"0", "1", "2", "3", "4", "mean"}
